@@ -3,10 +3,12 @@
 from pixelframe.llm import op3_decontaminate as op3
 from pixelframe.llm.op1_sentencepiece import op1_sentencepiece
 from pixelframe.llm.op4_quality import op4_quality
+from pixelframe.llm.op9_simhash import op9_simhash
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_decontaminate": op3.op3_decontaminate,
     "op4_quality": op4_quality,
+    "op9_simhash": op9_simhash,
 }
 ORACLE = {"op3_decontaminate": op3.ORACLE}
