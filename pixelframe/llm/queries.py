@@ -1,14 +1,18 @@
 """The operators' queries, and their SQL where SQL can express them."""
 
+from pixelframe.llm import op2_topk as op2
 from pixelframe.llm import op3_decontaminate as op3
 from pixelframe.llm.op1_sentencepiece import op1_sentencepiece
 from pixelframe.llm.op4_quality import op4_quality
+from pixelframe.llm.op7_warc import op7_warc
 from pixelframe.llm.op9_simhash import op9_simhash
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_topk": op2.op2_topk,
     "op3_decontaminate": op3.op3_decontaminate,
     "op4_quality": op4_quality,
+    "op7_warc": op7_warc,
     "op9_simhash": op9_simhash,
 }
-ORACLE = {"op3_decontaminate": op3.ORACLE}
+ORACLE = {"op2_topk": op2.ORACLE, "op3_decontaminate": op3.ORACLE}
