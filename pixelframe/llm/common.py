@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,3 +63,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and lets Spark drop the shuffle files of what is no longer referred to."""
+    for df in tables:
+        for path in {str(name).rpartition("/")[0] for name in df.inputFiles()}:
+            _remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

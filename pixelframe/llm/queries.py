@@ -5,6 +5,7 @@ from pixelframe.llm import op3_decontaminate as op3
 from pixelframe.llm import op10_licenses as op10
 from pixelframe.llm.op1_sentencepiece import op1_sentencepiece
 from pixelframe.llm.op4_quality import op4_quality
+from pixelframe.llm.op6_suffixes import op6_suffixes
 from pixelframe.llm.op7_warc import op7_warc
 from pixelframe.llm.op9_simhash import op9_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_topk": op2.op2_topk,
     "op3_decontaminate": op3.op3_decontaminate,
     "op4_quality": op4_quality,
+    "op6_suffixes": op6_suffixes,
     "op7_warc": op7_warc,
     "op9_simhash": op9_simhash,
     "op10_licenses": op10.op10_licenses,
