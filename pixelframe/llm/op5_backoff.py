@@ -366,13 +366,17 @@ def _oracle(order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) ->
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
     micro = lambda x: f"floor(ln({x}) * {_MICRO} + 0.5)::BIGINT"
     w = "string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')"
-    grams = ", ".join(f"c{n} AS (SELECT w[i - {n - 1} : i] AS g, count(*) AS c FROM p WHERE i >= {n} GROUP BY 1" + f" HAVING count(*) >= {least}" * (n > 1) + ")" for n in range(1, order + 1))
-    joins = " ".join(f"LEFT JOIN c{n} AS g{n} ON p.i >= {n} AND g{n}.g = p.w[p.i - {n - 1} : p.i]" for n in range(1, order + 1))
-    joins += " " + " ".join(f"LEFT JOIN c{n - 1} AS b{n} ON g{n}.c IS NOT NULL AND b{n}.g = p.w[p.i - {n - 1} : p.i - 1]" for n in range(2, order + 1))
+    gram = lambda n: "concat_ws(' ', " + ", ".join(f"w{k}" for k in range(n - 1, -1, -1)) + ")"
+    before = lambda n: "concat_ws(' ', " + ", ".join(f"w{k}" for k in range(n - 1, 0, -1)) + ")"
+    lags = ", ".join(f"lag(x, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, order))
+    grams = ", ".join(f"c{n} AS (SELECT {gram(n)} AS g, count(*) AS c FROM p WHERE i >= {n} GROUP BY 1" + f" HAVING count(*) >= {least}" * (n > 1) + ")" for n in range(1, order + 1))
+    joins = " ".join(f"LEFT JOIN c{n} AS g{n} ON p.i >= {n} AND g{n}.g = {gram(n)}" for n in range(1, order + 1))
+    joins += " " + " ".join(f"LEFT JOIN c{n - 1} AS b{n} ON p.i >= {n} AND b{n}.g = {before(n)}" for n in range(2, order + 1))
     cases = " ".join(f"WHEN g{n}.c IS NOT NULL THEN {micro(f'g{n}.c / b{n}.c')} + {lost} * (least(p.i, {order}) - {n})" for n in range(order, 1, -1))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter({w}, lambda x: x <> '') AS w FROM documents),
-p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+u AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+p AS (SELECT r, i, x AS w0, {lags} FROM u),
 {grams},
 s AS (SELECT p.r, sum(CASE {cases} ELSE {micro('g1.c / (SELECT count(*) FROM p)')} + {lost} * (least(p.i, {order}) - 1) END)::BIGINT AS micro FROM p {joins} GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(micro, 0)::BIGINT AS micro, CASE WHEN len(w) > 0 THEN micro::DOUBLE / {_MICRO} / len(w) END AS score

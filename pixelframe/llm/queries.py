@@ -3,6 +3,7 @@
 from pixelframe.llm import op2_topk as op2
 from pixelframe.llm import op3_decontaminate as op3
 from pixelframe.llm import op5_backoff as op5
+from pixelframe.llm import op8_tool_calls as op8
 from pixelframe.llm import op10_licenses as op10
 from pixelframe.llm.op1_sentencepiece import op1_sentencepiece
 from pixelframe.llm.op4_quality import op4_quality
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_backoff": op5.op5_backoff,
     "op6_suffixes": op6_suffixes,
     "op7_warc": op7_warc,
+    "op8_tool_calls": op8.op8_tool_calls,
     "op9_simhash": op9_simhash,
     "op10_licenses": op10.op10_licenses,
 }
-ORACLE = {"op2_topk": op2.ORACLE, "op3_decontaminate": op3.ORACLE, "op5_backoff": op5.ORACLE, "op10_licenses": op10.ORACLE}
+ORACLE = {"op2_topk": op2.ORACLE, "op3_decontaminate": op3.ORACLE, "op5_backoff": op5.ORACLE, "op8_tool_calls": op8.ORACLE, "op10_licenses": op10.ORACLE}
