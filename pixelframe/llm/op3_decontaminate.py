@@ -99,13 +99,14 @@ def _keep(words: np.ndarray, text: str | None) -> str | None:
 
 def scan(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, share: int = 20, broadcast_limit: int = BROADCAST_LIMIT, cleaned: bool = False,
+    window: int = WINDOW, share: int = 20, broadcast_limit: int = BROADCAST_LIMIT, cleaned: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row for each document: its key, n_words, n_hit, n_items, items_sha256, contaminated, and with ``cleaned``
-    its text without the hit spans. It is contaminated if hit words are at least one in ``share``."""
+    """A row for each document: its key, n_words, n_hit, n_items, items_sha256, contaminated, with ``cleaned`` its
+    text without the hit spans, and ``carried``, a struct of the columns to ``carry``. It is contaminated if hit
+    words are at least one in ``share``."""
     benchmark = items.select(F.col(item).alias("item"), F.col(item_text).alias("said"))
     size = benchmark.select(F.sum(F.size(F.split(F.coalesce("said", F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     if size > broadcast_limit:
         return _joined(docs, benchmark, window, share, cleaned)
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(row) for row in benchmark.collect()], window))
@@ -118,9 +119,16 @@ def scan(
         out = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for _, _, x in rows], pa.int64()), pa.array(digest), pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)])]
         if cleaned:
             out.append(pa.array([_keep(hit, t) for (_, hit, _), t in zip(rows, texts, strict=True)], pa.string()))
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["cleaned"] * cleaned])
+        return pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["cleaned"] * cleaned, *batch.schema.names[2:]])
 
-    return map_arrow(docs, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", cleaned string" * cleaned, work)
+    return map_arrow(docs, _SCHEMA + ", cleaned string" * cleaned + _carried(docs), work)
+
+
+_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _carried(docs: DataFrame) -> str:
+    return f", carried {docs.schema['carried'].dataType.simpleString()}" if "carried" in docs.columns else ""
 
 
 def _digest(items: set[int]) -> str:
@@ -146,8 +154,9 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: int, cleaned:
     out = docs.join(marked, "row", "left").join(held, "row", "left").withColumn("n_words", F.size("words").cast("long")).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
     columns = ["doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest(set()))).alias("items_sha256"), "contaminated"]
+    carried = ["carried"] if "carried" in docs.columns else []
     if not cleaned:
-        return out.select(*columns)
+        return out.select(*columns, *carried)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = []
@@ -155,10 +164,10 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: int, cleaned:
             mask = np.zeros(n, bool)
             mask[hit or []] = True
             kept.append(_keep(mask, text))
-        names = [name for name in batch.schema.names if name not in ("text", "hit")]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.string())], [*names, "cleaned"])
+        names = [name for name in batch.schema.names if name not in ("text", "hit", "carried")]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.string()), *(batch.column(n) for n in carried)], [*names, "cleaned", *carried])
 
-    return map_arrow(out.select(*columns, "text", "hit"), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, cleaned string", work)
+    return map_arrow(out.select(*columns, "text", "hit", *carried), _SCHEMA + ", cleaned string" + _carried(docs), work)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,15 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``bits``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """``doc_id``, ``bits``, the fingerprint as a signed long, and ``row``, a long that the caller may want to keep."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), batch.column(2)], ["doc_id", "bits", "row"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(F.col(key).alias("doc_id"), text), f"doc_id {kind}, bits long", work)
+    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text), (F.lit(None).cast("long") if row is None else row).alias("row")), f"doc_id {kind}, bits long, row long", work)
 
 
 class Forest:
@@ -197,16 +197,31 @@ def components(edges: DataFrame) -> DataFrame:
         said = now
 
 
+def _roots(marked: DataFrame, budget: int) -> DataFrame:
+    """``bits``, ``least``, the smallest identifier with them, and ``root``, the smallest bits reachable."""
+    distinct = cut(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(links(distinct.select("bits"), budget))
+    return distinct.join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id``, the smallest identifier reachable, for each row."""
     marked = cut(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = cut(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(links(distinct.select("bits"), budget))
-    named = distinct.join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    named = _roots(marked, budget)
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(firsts, "root").select("bits", "component_id")
     return marked.join(of, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """One row of each component, whole: that of the smallest identifier, nulls last. Rows alike in all columns are one."""
+    row = F.xxhash64(*(F.col(c) for c in docs.columns))
+    marked = cut(fingerprints(docs, key, text, shingle, row), "fingerprints")
+    named = cut(_roots(marked, budget).select("bits", "root"), "roots")
+    first = marked.join(named, "bits").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    chosen = first.select(F.col("first.row").alias("__row")).distinct()
+    return docs.withColumn("__row", row).join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
