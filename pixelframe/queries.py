@@ -372,7 +372,7 @@ def q_roi_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_LAB}, held AS (SELECT lab.* FROM lab JOIN big USING (image_id, y, x)), total AS (SELECT image_id, count(*) AS total FROM held GROUP BY 1),
 long AS ({' UNION ALL '.join(f"SELECT image_id, '{n}' AS channel, {c} AS intensity FROM held" for n, c in pixels.CHANNELS.items())}), counts AS (SELECT image_id, channel, intensity, count(*) AS n FROM long GROUP BY 1, 2, 3)
-SELECT image_id, channel, intensity::INTEGER AS intensity, coalesce(n, 0) / total * 100 AS pct FROM total, (SELECT unnest({list(pixels.CHANNELS)}) AS channel), (SELECT unnest(range(256)) AS intensity) LEFT JOIN counts USING (image_id, channel, intensity)""")
+SELECT image_id, channel, intensity::INTEGER AS intensity, coalesce(n, 0) / total * 100 AS pct FROM (SELECT * FROM total, (SELECT unnest({list(pixels.CHANNELS)}) AS channel), (SELECT unnest(range(256)) AS intensity)) LEFT JOIN counts USING (image_id, channel, intensity)""")
 def q_channel_histogram(spark: SparkSession, d: str) -> DataFrame:
     return features.histograms(embeddings_as_images(spark, d))
 
