@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import cut, free, map_arrow, table
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
-#: Rows of the two broadcast tables.
-HOT = 1 << 16
+#: The most rows of each of the two broadcast tables.
+HOT = 1 << 18
 #: Words that a task looks at together, and bytes of text for a bucket.
 PORTION, BUCKET_BYTES = 1_000_000, 8_000_000
 _ESCAPED = np.uint64(1 << 63)
@@ -79,7 +79,7 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers, as planes of bytes, compressed. Most planes are nearly empty."""
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
     return pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -107,23 +107,39 @@ class _Codes:
         return np.where(self.sorted[at] == hashes, self.place[at], hashes)
 
 
-def _grams(words: list[list[bytes]], order: int):
-    """For each n, keys of n-grams of local word numbers and the row of each; and the hashes of these words."""
+def _pack_grams(columns: list[np.ndarray], *more: np.ndarray) -> bytes:
+    """Sorted rows of codes: the rare words' hashes once for the block, codes as short numbers, the first as steps."""
+    rare = np.unique(np.concatenate([c[c >= _ESCAPED] for c in columns]))
+    short = [np.where(c < _ESCAPED, c, np.uint64(HOT) + np.searchsorted(rare, c).astype(np.uint64)).astype(np.uint32) for c in columns]
+    short[0] = np.diff(short[0], prepend=np.uint32(0))
+    return len(rare).to_bytes(4, "little") + _pack(rare, *short, *more)
+
+
+def _unpack_grams(data: bytes, size: int, n: int, *more: tuple[int, type]) -> list[np.ndarray]:
+    rares = int.from_bytes(data[:4], "little")
+    rare, *columns = _unpack(data[4:], (rares, np.uint64), *[(size, np.uint32)] * n, *more)
+    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    every = np.concatenate([np.arange(HOT, dtype=np.uint64), rare]) if rares else None
+    return [*(c.astype(np.uint64) if every is None else every[c] for c in columns[:n]), *columns[n:]]
+
+
+def _grams(words: list[list[bytes]], order: int, code: _Codes):
+    """For each n, keys of n-grams of local word numbers and the row of each; and the codes of these words."""
     number: dict[bytes, int] = defaultdict(lambda: len(number))
     flat = np.fromiter((number[w] for row in words for w in row), np.uint64, sum(map(len, words)))
     sizes = np.array([len(row) for row in words], np.int64)
     row = np.repeat(np.arange(len(words)), sizes)
-    hashes = _hashes(list(number))
-    rank = np.argsort(np.argsort(hashes)).astype(np.uint64)  # the order of keys is then that of hashes
-    flat, hashes = rank[flat.astype(np.int64)] if len(flat) else flat, np.sort(hashes)
-    bits = max(1, int(len(hashes)).bit_length())
+    codes = code(_hashes(list(number)))
+    rank = np.argsort(np.argsort(codes)).astype(np.uint64)  # keys are then sorted as codes are
+    flat, codes = rank[flat.astype(np.int64)] if len(flat) else flat, np.sort(codes)
+    bits = max(1, len(codes).bit_length())
     made, key = {}, flat if bits * order <= 64 else flat.astype(object)  # a text of millions of different words: whole numbers of any size
     for n in range(1, order + 1):
         if n > 1:
             key = (key[:-1] << bits) | flat[n - 1 :].astype(key.dtype)
         inside = row[n - 1 :] == row[: len(row) - n + 1] if len(row) >= n else np.zeros(0, bool)
         made[n] = key[inside] if len(key) else key, row[: len(inside)][inside]
-    return made, hashes, bits
+    return made, codes, bits
 
 
 def _columns(keys: np.ndarray, n: int, bits: int, codes: np.ndarray) -> list[np.ndarray]:
@@ -185,20 +201,19 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _Codes(shared.value)
         for _, words in _portions(batches):
-            made, hashes, bits = _grams(words, order)
-            codes = code(hashes)
+            made, codes, bits = _grams(words, order, code)
             rows = []
             for n in range(2, order + 1):
                 keys, counts = np.unique(made[n][0], return_counts=True)
                 if len(keys):
                     columns = _columns(keys, n, bits, codes)
-                    rows += [(b, n, len(at), _pack(*(c[at] for c in columns), counts[at].astype(np.uint32))) for b, at in _by_bucket(columns, buckets)]
+                    rows += [(b, n, len(at), _pack_grams([c[at] for c in columns], counts[at].astype(np.uint32))) for b, at in _by_bucket(columns, buckets)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n", "size", "data"])
 
     def add(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bucket, n = group
-        parts = [_unpack(d, *[(s, np.uint64)] * n, (s, np.uint32)) for s, d in zip(rows["size"], rows["data"], strict=True)]
+        parts = [_unpack_grams(d, s, n, (s, np.uint32)) for s, d in zip(rows["size"], rows["data"], strict=True)]
         *columns, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, first, where = np.unique(_mixed(columns), return_index=True, return_inverse=True)
         total = np.bincount(where, counts).astype(np.int64)
@@ -215,33 +230,33 @@ def _micro(ratio) -> F.Column:
     return F.floor(F.log(ratio) * _MICRO + 0.5)
 
 
-def differences(words: DataFrame, grams: DataFrame, total: int, order: int, backoff: float) -> DataFrame:
-    """``bucket, n, w0, ..., micro, count``: what a known gram adds to the score of its suffix."""
+def differences(words: DataFrame, grams: DataFrame, total: int, order: int, backoff: float) -> list[DataFrame]:
+    """For each n from 2, ``bucket, n, w0, ..., micro, own, count``: a gram's score, and what it adds to its suffix's."""
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
-    names = [f"w{k}" for k in range(order)]
-    counts = {n: grams.where(F.col("n") == n).select(*names[:n], F.col("count").alias("c")) for n in range(2, order + 1)}
-    counts[1] = words.select(F.col("code").alias("w0"), F.col("n").alias("c"))
-
-    def of(rows: DataFrame, first: int, last: int, name: str) -> DataFrame:
-        """With the count of the words from place ``first`` to before ``last``."""
-        if first == last:
-            return rows.withColumn(name, F.lit(total).cast("long"))
-        held = counts[last - first].select(*(F.col(names[k]).alias(f"w{first + k}") for k in range(last - first)), F.col("c").alias(name))
-        return rows.join(held, names[first:last])
-
-    out = None
+    names, out = [f"w{k}" for k in range(order)], []
+    shorter = words.select(F.col("code").alias("w0"), F.col("n").alias("count"), _micro(F.col("n") / F.lit(max(1, total))).alias("own"))
     for n in range(2, order + 1):
-        rows = grams.where(F.col("n") == n)
-        rows = of(of(of(rows, 0, n - 1, "before"), 1, n, "suffix"), 1, n - 1, "inner")
-        rows = rows.withColumn("micro", _micro(F.col("count") / F.col("before")) - _micro(F.col("suffix") / F.col("inner")) - lost)
-        rows = rows.select("bucket", "n", *names, "micro", "count")
-        out = rows if out is None else out.unionByName(rows)
+        before = shorter.select(*names[: n - 1], F.col("count").alias("before"))
+        suffix = shorter.select(*(F.col(names[k]).alias(names[k + 1]) for k in range(n - 1)), F.col("own").alias("suffix"))
+        rows = grams.where(F.col("n") == n).select("bucket", *names[:n], "count").join(before, names[: n - 1])
+        rows = rows.withColumn("own", _micro(F.col("count") / F.col("before"))).drop("before").join(suffix, names[1:n])
+        rows = rows.select("bucket", F.lit(n).alias("n"), *names[:n], (F.col("own") - F.col("suffix") - lost).alias("micro"), "own", "count")
+        shorter = cut(rows, "differences")
+        free(words.sparkSession)
+        out.append(shorter.withColumns({w: F.lit(0).cast("long") for w in names[n:]}))
     return out
 
 
-def _frequent(rows: DataFrame, count: str, *ties: str) -> pd.DataFrame:
-    """The ``HOT`` rows of the largest counts: a table of a fixed size, for a broadcast."""
-    return rows.orderBy(F.desc(count), *ties).limit(HOT).toPandas()
+def _frequent(rows: DataFrame, count: str) -> pd.DataFrame:
+    """The rows of the largest counts, ``HOT`` at most, for a broadcast. Where to stop is read from a histogram."""
+    step = F.floor(F.log2(count) * 16)
+    held, least = 0, None
+    for at, n in sorted(map(tuple, rows.groupBy(step).count().collect()), reverse=True):  # a thousand rows at most
+        if held + n > HOT:
+            break
+        held, least = held + n, at
+    found = rows.where(step >= least) if least is not None else rows.limit(0)
+    return found.toArrow().to_pandas()
 
 
 def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,17 +266,25 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
     counted = cut(word_counts(docs, key, text), "word-counts")
     total, size = counted.agg(F.sum("n")).first()[0] or 0, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    frequent = _frequent(counted, "n", "hash")
+    frequent = _frequent(counted, "n").sort_values(["n", "hash"], ascending=[False, True])
     hot = frequent["hash"].to_numpy(np.int64).view(np.uint64)
-    # Broadcast: HOT rows of two numbers.
-    numbered = spark.createDataFrame(frequent.assign(place=range(len(frequent)))[["hash", "place"]].astype("int64"), "hash long, place long")
-    words = cut(counted.join(F.broadcast(numbered), "hash", "left").select(F.coalesce("place", "hash").alias("code"), "n"), "words")
+    places = spark.sparkContext.broadcast(hot)
+
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = _Codes(places.value)(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], ["code", "n"])
+
+    words = cut(map_arrow(counted, "code long, n long", coded), "words")
     grams = cut(gram_counts(docs, hot, buckets, order, least, key, text), "grams")
     free(spark, counted)
-    known = cut(differences(words, grams, total, order, backoff), "differences")
-    free(spark, grams)
     names = [f"w{k}" for k in range(order)]
-    top = _frequent(known, "count", "n", *names)
+    levels = differences(words, grams, total, order, backoff)
+    free(spark, grams)
+    known = levels[0]
+    for more in levels[1:]:
+        known = known.unionByName(more)
+    known = known.select("bucket", "n", *names, "micro", "count")
+    top = _frequent(known, "count")
     single = np.floor(np.log(frequent["n"].to_numpy(float) / max(1, total)) * _MICRO + 0.5).astype(np.int64)
     local: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in range(2, order + 1):
@@ -279,8 +302,8 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
         hot, single, local = shared.value
         code = _Codes(hot)
         for nth, (keys, words) in enumerate(_portions(batches)):
-            made, hashes, bits = _grams(words, order)
-            codes, portion = code(hashes), f"{TaskContext.get().partitionId()}-{nth}"
+            made, codes, bits = _grams(words, order, code)
+            portion = f"{TaskContext.get().partitionId()}-{nth}"
             sizes, sums = np.array([len(row) for row in words], np.int64), np.zeros(len(words), np.int64)
             rows = []
             for n in range(1, order + 1):
@@ -309,7 +332,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
                 for b, at in _by_bucket(columns, buckets):
                     n_of, start = counts[rest[at]], begin[rest[at]]
                     within = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-                    rows.append((portion, b, n, len(at), int(n_of.sum()), _pack(*(c[at] for c in columns), n_of.astype(np.uint32), row[np.repeat(start, n_of) + within])))
+                    rows.append((portion, b, n, len(at), int(n_of.sum()), _pack_grams([c[at] for c in columns], n_of.astype(np.uint32), row[np.repeat(start, n_of) + within])))
             own = _sealed(pa.array(keys, pa.int64() if whole else pa.string()), sizes, sums)
             rows.append((portion, xxhash.xxh3_64_intdigest(portion) % buckets, 0, 0, 0, own))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -329,7 +352,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
             by = np.argsort(mixed)
             mixed, values = mixed[by], mine["micro"].to_numpy(np.int64)[by]
             for portion, size, all_of, data in zip(part["portion"], part["size"], part["total"], part["data"], strict=True):
-                *columns, n_of, row = _unpack(data, *[(size, np.uint64)] * n, (size, np.uint32), (all_of, np.uint32))
+                *columns, n_of, row = _unpack_grams(data, size, n, (size, np.uint32), (all_of, np.uint32))
                 key = _mixed(columns)
                 at = np.minimum(np.searchsorted(mixed, key), len(mixed) - 1)
                 there = mixed[at] == key
