@@ -40,7 +40,7 @@ ORDER, LEAST, BACKOFF = 3, 2, 0.4
 #: The most rows of each of the two broadcast tables.
 HOT = 1 << 18
 #: Words that a task looks at together, and bytes of text for a bucket.
-PORTION, BUCKET_BYTES = 1_000_000, 8_000_000
+PORTION, BUCKET_BYTES = 600_000, 8_000_000
 _ESCAPED = np.uint64(1 << 63)
 _MICRO = 1_000_000
 
@@ -165,15 +165,7 @@ def _sealed(keys: pa.Array, sizes: np.ndarray, sums: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _bucketed(buckets: int):
-    """Single words with their bucket."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code = batch.column(0).to_numpy(zero_copy_only=False)
-        bucket = (_mixed([code.view(np.uint64)]) % np.uint64(buckets)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
-
-    return work
+_BLOCKS = "bucket int, n int, size long, data binary"
 
 
 def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -195,7 +187,7 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORDER, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``bucket, n, w0, w1, ..., count`` of the n-grams, n from 2, that occur ``least`` times in all documents."""
+    """``n, w0, w1, ..., count`` of the n-grams, n from 2, that occur ``least`` times in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +204,7 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORD
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n", "size", "data"])
 
     def add(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, n = group
+        _, n = group
         parts = [_unpack_grams(d, s, n, (s, np.uint32)) for s, d in zip(rows["size"], rows["data"], strict=True)]
         *columns, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, first, where = np.unique(_mixed(columns), return_index=True, return_inverse=True)
@@ -220,10 +212,10 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORD
         kept = total >= least
         at = first[kept]
         words = {f"w{k}": columns[k][at].view(np.int64) if k < n else np.zeros(len(at), np.int64) for k in range(order)}
-        return pd.DataFrame({"bucket": np.int32(bucket), "n": np.int32(n), **words, "count": total[kept]})
+        return pd.DataFrame({"n": np.int32(n), **words, "count": total[kept]})
 
-    blocks = _read(docs, key, text).mapInArrow(run, "bucket int, n int, size long, data binary")
-    return blocks.groupBy("bucket", "n").applyInPandas(add, "bucket int, n int, " + "".join(f"w{k} long, " for k in range(order)) + "count long")
+    blocks = _read(docs, key, text).mapInArrow(run, _BLOCKS)
+    return blocks.groupBy("bucket", "n").applyInPandas(add, "n int, " + "".join(f"w{k} long, " for k in range(order)) + "count long")
 
 
 def _micro(ratio) -> F.Column:
@@ -231,22 +223,50 @@ def _micro(ratio) -> F.Column:
 
 
 def differences(words: DataFrame, grams: DataFrame, total: int, order: int, backoff: float) -> list[DataFrame]:
-    """For each n from 2, ``bucket, n, w0, ..., micro, own, count``: a gram's score, and what it adds to its suffix's."""
+    """For each n from 2, ``w0, ..., micro, own, count``: a gram's score, and what it adds to its suffix's."""
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
     names, out = [f"w{k}" for k in range(order)], []
     shorter = words.select(F.col("code").alias("w0"), F.col("n").alias("count"), _micro(F.col("n") / F.lit(max(1, total))).alias("own"))
     for n in range(2, order + 1):
         before = shorter.select(*names[: n - 1], F.col("count").alias("before"))
         suffix = shorter.select(*(F.col(names[k]).alias(names[k + 1]) for k in range(n - 1)), F.col("own").alias("suffix"))
-        rows = grams.where(F.col("n") == n).select("bucket", *names[:n], "count").join(before, names[: n - 1])
-        rows = rows.withColumn("own", _micro(F.col("count") / F.col("before"))).drop("before").join(suffix, names[1:n])
-        rows = rows.select("bucket", F.lit(n).alias("n"), *names[:n], (F.col("own") - F.col("suffix") - lost).alias("micro"), "own", "count")
-        shorter = cut(rows, "differences")
+        rows = grams.where(F.col("n") == n).select(*names[:n], "count").join(before, names[: n - 1])
+        half = cut(rows.select(*names[:n], "count", _micro(F.col("count") / F.col("before")).alias("own")), "scores")
         free(words.sparkSession)
-        out.append(shorter.withColumns({w: F.lit(0).cast("long") for w in names[n:]}))
+        rows = half.join(suffix, names[1:n])
+        shorter = cut(rows.select(*names[:n], (F.col("own") - F.col("suffix") - lost).alias("micro"), "own", "count"), "differences")
+        free(words.sparkSession, half)
+        out.append(shorter)
     return out
 
 
+def _value_blocks(buckets: int, n: int):
+    """Packed blocks, by bucket, of rows w0, w1, ..., micro."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def blocks() -> pa.RecordBatch:
+            codes = [np.concatenate(c).view(np.uint64) for c in list(zip(*held, strict=True))[:n]]
+            micro = np.concatenate([h[n] for h in held])
+            by = np.lexsort(codes[::-1])
+            codes, micro = [c[by] for c in codes], micro[by]
+            rows = [(b, n, len(at), _pack_grams([c[at] for c in codes], micro[at])) for b, at in _by_bucket(codes, buckets)]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n", "size", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+            if size >= PORTION:
+                yield blocks()
+                held, size = [], 0
+        if size:
+            yield blocks()
+
+    return run
+
+
 def _frequent(rows: DataFrame, count: str) -> pd.DataFrame:
     """The rows of the largest counts, ``HOT`` at most, for a broadcast. Where to stop is read from a histogram."""
     step = F.floor(F.log2(count) * 16)
@@ -270,21 +290,30 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
     hot = frequent["hash"].to_numpy(np.int64).view(np.uint64)
     places = spark.sparkContext.broadcast(hot)
 
-    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = _Codes(places.value)(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], ["code", "n"])
 
-    words = cut(map_arrow(counted, "code long, n long", coded), "words")
+    class Coded:
+        def __init__(self) -> None:
+            self.code = _Codes(places.value)
+
+        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+            codes = self.code(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], ["code", "n"])
+
+    words = cut(map_arrow(counted, "code long, n long", Coded), "words")
     grams = cut(gram_counts(docs, hot, buckets, order, least, key, text), "grams")
     free(spark, counted)
     names = [f"w{k}" for k in range(order)]
     levels = differences(words, grams, total, order, backoff)
     free(spark, grams)
-    known = levels[0]
-    for more in levels[1:]:
-        known = known.unionByName(more)
-    known = known.select("bucket", "n", *names, "micro", "count")
+    values = words.where("code < 0").select(F.col("code").alias("w0"), _micro(F.col("n") / F.lit(max(1, total))).alias("micro")).mapInArrow(_value_blocks(buckets, 1), _BLOCKS)
+    known = None
+    for n, level in enumerate(levels, 2):
+        values = values.unionByName(level.select(*names[:n], "micro").mapInArrow(_value_blocks(buckets, n), _BLOCKS))
+        wide = level.select(F.lit(n).alias("n"), *(F.col(w) if k < n else F.lit(0).cast("long").alias(w) for k, w in enumerate(names)), "micro", "count")
+        known = wide if known is None else known.unionByName(wide)
     top = _frequent(known, "count")
+    values = cut(values, "values")
+    free(spark, words, *levels)
     single = np.floor(np.log(frequent["n"].to_numpy(float) / max(1, total)) * _MICRO + 0.5).astype(np.int64)
     local: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in range(2, order + 1):
@@ -348,9 +377,11 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
             part, mine = asked[asked["n"] == n], held[held["n"] == n]
             if not len(part) or not len(mine):
                 continue
-            mixed = _mixed([mine[w].to_numpy(np.int64).view(np.uint64) for w in names[:n]])
+            parts = [_unpack_grams(data, size, n, (size, np.int64)) for size, data in zip(mine["size"], mine["data"], strict=True)]
+            *codes, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mixed = _mixed(codes)
             by = np.argsort(mixed)
-            mixed, values = mixed[by], mine["micro"].to_numpy(np.int64)[by]
+            mixed, values = mixed[by], values[by]
             for portion, size, all_of, data in zip(part["portion"], part["size"], part["total"], part["data"], strict=True):
                 *columns, n_of, row = _unpack_grams(data, size, n, (size, np.uint32), (all_of, np.uint32))
                 key = _mixed(columns)
@@ -372,9 +403,6 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
                 sums[rows] += more
         return docs.set_column(2, "micro", pa.array(sums))
 
-    rare = words.where("code < 0").select(F.col("code").alias("w0"), _micro(F.col("n") / max(1, total)).alias("micro"))
-    rare = map_arrow(rare, "bucket int, w0 long, micro long", _bucketed(buckets)).withColumn("n", F.lit(1)).withColumns({w: F.lit(0).cast("long") for w in names[1:]})
-    values = rare.unionByName(known.drop("count"))
     found = values.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(look, "portion string, size long, data binary")
     sums = found.groupBy("portion").applyInArrow(add, f"doc_id {'long' if whole else 'string'}, n_words long, micro long")
     return sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "micro", F.when(F.col("n_words") > 0, F.col("micro") / _MICRO / F.col("n_words")).alias("score"))
