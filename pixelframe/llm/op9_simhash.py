@@ -5,7 +5,7 @@ collapse to one row, so copies cost nothing more. Distinct fingerprints form a b
 walked together: a pair's differing bits add up on the way down, and it is dropped when they pass the budget.
 
 The upper trie is walked by Spark, a few bits a round, as equi-joins of node pairs with the nodes' sizes. A pair of
-nodes with few fingerprints is handed to one task, which walks on within. A node with many is walked further, so a
+nodes with few fingerprints meets as one row with the fingerprints of both, within which a task walks on. A node with many is walked further, so a
 crowded part of the trie is spread over tasks. Tasks return a spanning forest of the links that they find, which
 keeps components whole; the components are then those of alternating large-star and small-star rounds.
 
@@ -16,8 +16,9 @@ are null; other columns are ignored, whatever their names; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,24 +158,29 @@ def links(distinct: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFr
     leaves, depths = ready[0], range(0, depth + 1)
     for more in ready[1:]:
         leaves = leaves.unionByName(more)
+    leaves = leaves.withColumn("same", F.col("u") == F.col("v"))
+    # Each node that a pair names becomes one row with its fingerprints (at most ``node``, or one at the last bit).
+    named = leaves.select("depth", F.explode(F.array("u", "v")).alias("at")).distinct()
     used = [d for d in depths if d == depth or d % STEP == 0]
-    nodes = distinct.select("bits", F.inline(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.col("bits"), d).alias("at")) for d in used))))
-    sides = leaves.select("depth", "u", "v", "errors", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("at")), F.struct(F.lit(1).alias("side"), F.col("v").alias("at"))))).where((F.col("side") == 0) | (F.col("u") != F.col("v")))
-    members = nodes.join(sides, ["depth", "at"]).select("depth", "u", "v", "errors", "side", "bits")
-
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        depth, u, v, errors = key
-        bits = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        a = np.sort(bits[rows["side"].to_numpy() == 0])
-        b = a if u == v else np.sort(bits[rows["side"].to_numpy() == 1])
-        whole, shift = np.concatenate([a, b]) if u != v else a, 0 if u == v else len(a)
-        forest = Forest(len(whole))
-        for i, j in close_pairs(a, b, int(depth), int(errors), budget, u == v):
-            forest.join(i, j + shift)
-        linked = np.flatnonzero(forest.label != np.arange(len(whole)))
-        return pd.DataFrame({"a": whole[linked].view(np.int64), "b": whole[forest.label[linked]].view(np.int64)})
-
-    return members.groupBy("depth", "u", "v", "errors").applyInPandas(walk, "a long, b long")
+    below = distinct.select("bits", F.inline(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.col("bits"), d).alias("at")) for d in used))))
+    nodes = cut(below.join(named, ["depth", "at"]).groupBy("depth", "at").agg(F.collect_list("bits").alias("held")), "nodes")
+    side = lambda at, held: nodes.select("depth", F.col("at").alias(at), F.col("held").alias(held))
+    pairs = leaves.join(side("u", "left"), ["depth", "u"]).join(side("v", "right"), ["depth", "v"]).select("depth", "errors", "same", "left", "right")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                depth, errors, same = (batch.column(c)[k].as_py() for c in range(3))
+                a, b = (np.sort(batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in (3, 4))
+                whole, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+                forest = Forest(len(whole))
+                for i, j in close_pairs(a, a if same else b, depth, errors, budget, same):
+                    forest.join(i, j + shift)
+                linked = np.flatnonzero(forest.label != np.arange(len(whole)))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[linked].view(np.int64)), pa.array(whole[forest.label[linked]].view(np.int64))], ["a", "b"])
+
+    return pairs.mapInArrow(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
