@@ -11,8 +11,9 @@ Scores are whole millionths of a nat, so sums do not depend on their order.
 
 Tasks explode n-grams in numpy and send them as packed columns, a block for each bucket of the hash, which keeps
 what is shuffled to a few bytes an n-gram; all that a bucket holds is bounded, as buckets grow with the text. Two
-tables of ``HOT`` rows are broadcast: the most frequent words, which get short numbers, and the most frequent grams,
-which are looked up where they are and so never crowd a bucket. Everything else is looked up in its bucket.
+tables of bounded size are broadcast: the ``HOT`` most frequent words, which get short numbers, and up to
+``HOT_GRAMS`` of the most frequent grams, in a hash table of ``SLOTS`` slots, which are looked up where they are and
+so never crowd a bucket. Everything else, so too a gram whose slot a more frequent one has, is looked up in its bucket.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. They are told apart by 63-bit hashes.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import cut, free, map_arrow, table
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
-#: The most rows of each of the two broadcast tables.
-HOT = 1 << 18
+#: The most rows of the two broadcast tables, and the slots of the second.
+HOT, HOT_GRAMS, SLOTS = 1 << 18, 1 << 20, 1 << 21
 #: Words that a task looks at together, and bytes of text for a bucket.
 PORTION, BUCKET_BYTES = 600_000, 8_000_000
 _ESCAPED = np.uint64(1 << 63)
@@ -110,7 +112,11 @@ class _Codes:
 def _pack_grams(columns: list[np.ndarray], *more: np.ndarray) -> bytes:
     """Sorted rows of codes: the rare words' hashes once for the block, codes as short numbers, the first as steps."""
     rare = np.unique(np.concatenate([c[c >= _ESCAPED] for c in columns]))
-    short = [np.where(c < _ESCAPED, c, np.uint64(HOT) + np.searchsorted(rare, c).astype(np.uint64)).astype(np.uint32) for c in columns]
+    short = []
+    for c in columns:
+        escaped = np.flatnonzero(c >= _ESCAPED)
+        short.append(c.astype(np.uint32))
+        short[-1][escaped] = HOT + np.searchsorted(rare, c[escaped])
     short[0] = np.diff(short[0], prepend=np.uint32(0))
     return len(rare).to_bytes(4, "little") + _pack(rare, *short, *more)
 
@@ -125,8 +131,8 @@ def _unpack_grams(data: bytes, size: int, n: int, *more: tuple[int, type]) -> li
 
 def _grams(words: list[list[bytes]], order: int, code: _Codes):
     """For each n, keys of n-grams of local word numbers and the row of each; and the codes of these words."""
-    number: dict[bytes, int] = defaultdict(lambda: len(number))
-    flat = np.fromiter((number[w] for row in words for w in row), np.uint64, sum(map(len, words)))
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
     sizes = np.array([len(row) for row in words], np.int64)
     row = np.repeat(np.arange(len(words)), sizes)
     codes = code(_hashes(list(number)))
@@ -142,6 +148,33 @@ def _grams(words: list[list[bytes]], order: int, code: _Codes):
     return made, codes, bits
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``keys`` that brings equal ones together, and where in it each group begins."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    return by, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else by
+
+
+class _Slots:
+    """A hash table of one probe. Of grams that meet in a slot, the last stays."""
+
+    def __init__(self, mixed: np.ndarray, micro: np.ndarray, slots: int) -> None:
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.keys, self.micro = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        at = self._slot(mixed)
+        last = len(at) - 1 - np.unique(at[::-1], return_index=True)[1]
+        self.keys[at[last]], self.micro[at[last]] = mixed[last], micro[last]
+
+    def _slot(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> self.shift).astype(np.int64)
+
+    def __call__(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each gram is there, and its value."""
+        at = self._slot(mixed)
+        here = self.keys[at] == mixed
+        return here, np.where(here, self.micro[at], 0).astype(np.int64)
+
+
 def _columns(keys: np.ndarray, n: int, bits: int, codes: np.ndarray) -> list[np.ndarray]:
     mask = (1 << bits) - 1
     return [codes[((keys >> bits * (n - 1 - k)) & mask).astype(np.int64)] for k in range(n)]
@@ -207,10 +240,10 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORD
         _, n = group
         parts = [_unpack_grams(d, s, n, (s, np.uint32)) for s, d in zip(rows["size"], rows["data"], strict=True)]
         *columns, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, where = np.unique(_mixed(columns), return_index=True, return_inverse=True)
-        total = np.bincount(where, counts).astype(np.int64)
+        by, begin = _grouped(_mixed(columns))
+        total = np.add.reduceat(counts[by].astype(np.int64), begin)
         kept = total >= least
-        at = first[kept]
+        at = by[begin[kept]]
         words = {f"w{k}": columns[k][at].view(np.int64) if k < n else np.zeros(len(at), np.int64) for k in range(order)}
         return pd.DataFrame({"n": np.int32(n), **words, "count": total[kept]})
 
@@ -267,12 +300,12 @@ def _value_blocks(buckets: int, n: int):
     return run
 
 
-def _frequent(rows: DataFrame, count: str) -> pd.DataFrame:
-    """The rows of the largest counts, ``HOT`` at most, for a broadcast. Where to stop is read from a histogram."""
+def _frequent(rows: DataFrame, count: str, most: int) -> pd.DataFrame:
+    """The rows of the largest counts, ``most`` at most, for a broadcast. Where to stop is read from a histogram."""
     step = F.floor(F.log2(count) * 16)
     held, least = 0, None
     for at, n in sorted(map(tuple, rows.groupBy(step).count().collect()), reverse=True):  # a thousand rows at most
-        if held + n > HOT:
+        if held + n > most:
             break
         held, least = held + n, at
     found = rows.where(step >= least) if least is not None else rows.limit(0)
@@ -286,7 +319,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
     counted = cut(word_counts(docs, key, text), "word-counts")
     total, size = counted.agg(F.sum("n")).first()[0] or 0, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    frequent = _frequent(counted, "n").sort_values(["n", "hash"], ascending=[False, True])
+    frequent = _frequent(counted, "n", HOT).sort_values(["n", "hash"], ascending=[False, True])
     hot = frequent["hash"].to_numpy(np.int64).view(np.uint64)
     places = spark.sparkContext.broadcast(hot)
 
@@ -311,17 +344,17 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
         values = values.unionByName(level.select(*names[:n], "micro").mapInArrow(_value_blocks(buckets, n), _BLOCKS))
         wide = level.select(F.lit(n).alias("n"), *(F.col(w) if k < n else F.lit(0).cast("long").alias(w) for k, w in enumerate(names)), "micro", "count")
         known = wide if known is None else known.unionByName(wide)
-    top = _frequent(known, "count")
+    top = _frequent(known, "count", HOT_GRAMS).sort_values("count")
     values = cut(values, "values")
     free(spark, words, *levels)
     single = np.floor(np.log(frequent["n"].to_numpy(float) / max(1, total)) * _MICRO + 0.5).astype(np.int64)
-    local: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    mixed = np.zeros(len(top), np.uint64)
     for n in range(2, order + 1):
-        rows = top[top["n"] == n]
-        mixed = _mixed([rows[w].to_numpy(np.int64).view(np.uint64) for w in names[:n]])
-        by = np.argsort(mixed)
-        local[n] = mixed[by], rows["micro"].to_numpy(np.int64)[by]
+        of = top["n"].to_numpy() == n
+        mixed[of] = _mixed([top[w].to_numpy(np.int64)[of].view(np.uint64) for w in names[:n]])
+    local = _Slots(mixed, top["micro"].to_numpy(np.int64), SLOTS)
     shared = spark.sparkContext.broadcast((hot, single, local))
+    del top, mixed, local, known
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
 
     whole = kind in ("bigint", "int", "smallint", "tinyint")
@@ -338,22 +371,18 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
             for n in range(1, order + 1):
                 found, row = made[n]
                 sums += lost * np.bincount(row, minlength=len(words)) * (n > 1)
-                by = np.argsort(found, kind="stable")
-                unique, counts = np.unique(found, return_counts=True)
-                if not len(unique):
+                by, begin = _grouped(found)
+                if not len(begin):
                     continue
+                unique, counts = found[by[begin]], np.diff(begin, append=len(found))
                 columns = _columns(unique, n, bits, codes)
                 if n == 1:
                     here = columns[0] < len(single)
                     micro = single[np.where(here, columns[0], 0).astype(np.int64)] if len(single) else np.zeros(len(unique), np.int64)
                 else:
-                    known, values = local[n]
-                    mixed = _mixed(columns)
-                    at = np.minimum(np.searchsorted(known, mixed), max(0, len(known) - 1))
-                    here = known[at] == mixed if len(known) else np.zeros(len(unique), bool)
-                    micro = values[at] if len(known) else np.zeros(len(unique), np.int64)
+                    here, micro = local(_mixed(columns))
                 np.add.at(sums, row[by], np.repeat(np.where(here, micro, 0), counts))
-                row, begin = row[by].astype(np.uint32), np.cumsum(counts) - counts
+                row = row[by].astype(np.uint32)
                 rest = np.flatnonzero(~here)
                 if not len(rest):
                     continue
@@ -388,9 +417,9 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
                 at = np.minimum(np.searchsorted(mixed, key), len(mixed) - 1)
                 there = mixed[at] == key
                 if there.any():
-                    rows, where = np.unique(row[np.repeat(there, n_of)], return_inverse=True)
-                    sums = np.bincount(where, np.repeat(values[at][there], n_of[there]).astype(float)).astype(np.int64)  # below 2 ** 53
-                    out.append((portion, len(rows), _pack(rows, sums)))
+                    sums = np.bincount(row, np.repeat(np.where(there, values[at], 0), n_of).astype(float)).astype(np.int64)  # below 2 ** 53
+                    rows = np.flatnonzero(sums)
+                    out.append((portion, len(rows), _pack(rows.astype(np.uint32), sums[rows])))
         return pd.DataFrame(out, columns=["portion", "size", "data"])
 
     def add(found: pa.Table) -> pa.Table:
