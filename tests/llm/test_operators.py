@@ -32,6 +32,13 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE[name])
 
 
+def test_backoff_looks_rare_grams_up_in_buckets(same_as_sql, monkeypatch):
+    """With tiny broadcast tables, nearly every gram and most words go through the buckets."""
+    for name, value in {"HOT": 64, "HOT_GRAMS": 64, "SLOTS": 32, "BUCKET_BYTES": 50_000}.items():
+        monkeypatch.setattr(op5, name, value)
+    same_as_sql(QUERIES["op5_backoff"], ORACLE["op5_backoff"])
+
+
 SCANS = {
     "op1": lambda d: op1.encode(d, op1.model_bytes()),
     "op3": lambda d: op3.scan(d, d.select(F.col("doc_id").alias("item_id"), "text"), cleaned=True),
