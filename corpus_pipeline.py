@@ -1,6 +1,7 @@
 """A training-data pipeline: each stage works on what the stage before it kept, written as Parquet and read again.
 
-1. quality: documents that the classifier rejects go. 2. near_duplicates: one document of each SimHash group stays.
+1. quality: documents that the classifier rejects go. 2. near_duplicates: one document of each group of near copies stays:
+texts whose five-word shingles have a Jaccard similarity from 0.8 are linked (op9_simhash has its own contract).
 3. repeated_passages: bytes of strings of 400 bytes that start elsewhere too are cut out of the texts.
 4. decontamination: documents with benchmark passages go. 5. tokens: what is left is encoded and decoded.
 """
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import op3_decontaminate, op4_quality, op6_suffixes, op9_simhash
+from pixelframe.llm import near_copies, op3_decontaminate, op4_quality, op6_suffixes
 from pixelframe.llm.common import cut, table
 from pixelframe.llm.op1_sentencepiece import encode, model_bytes
 
@@ -26,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op9_simhash.keep_one(docs.select(*COLUMNS))
+    return near_copies.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

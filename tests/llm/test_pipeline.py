@@ -9,3 +9,34 @@ def test_stages_keep_the_columns_and_drop_what_they_should(spark, tables):
             assert sorted(docs.columns) == sorted(before.columns)
         assert 0 < docs.count() <= before.count()
         assert docs.join(before, "doc_id", "left_anti").isEmpty()
+
+
+def test_near_copies_go_against_brute_force(spark, tables):
+    """Planted copies with a word changed in every so many, and all pairs of texts by their sets of five words."""
+    import random
+
+    r = random.Random(3)
+    rows, word = [], lambda: f"w{r.randrange(900)}"
+    for k in range(40):
+        words = [word() for _ in range(r.choice([30, 120, 400]))]
+        rows.append((10 * k, " ".join(words)))
+        for copy in range(1, 4):
+            other = words[:]
+            for at in r.sample(range(len(words)), max(1, len(words) * copy // 90)):
+                other[at] = word()
+            rows.append((10 * k + copy, " ".join(other)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b")]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def five(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, top = {k: five(x) for k, x in rows}, {k: k for k, _ in rows}
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = {k: new if t == old else t for k, t in top.items()}
+    kept = {row.doc_id for row in corpus_pipeline.near_duplicates(spark, docs, tables).collect()}
+    assert kept == set(top.values()) and len(kept) < 110
