@@ -2,7 +2,8 @@
 
 1. quality: documents that the classifier rejects go. 2. near_duplicates: one document of each group of near copies stays:
 texts whose five-word shingles have a Jaccard similarity from 0.8 are linked (op9_simhash has its own contract).
-3. repeated_passages: bytes of strings of 400 bytes that start elsewhere too are cut out of the texts.
+3. repeated_passages: passages of over 50 words that stand elsewhere too are cut out of the texts (op6_suffixes itself
+cuts strings of 400 bytes).
 4. decontamination: documents with benchmark passages go. 5. tokens: what is left is encoded and decoded.
 """
 
@@ -18,6 +19,8 @@ from pixelframe.llm.common import cut, table
 from pixelframe.llm.op1_sentencepiece import encode, model_bytes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The words of the shortest passage of over 50 words.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = op6_suffixes.dedup(docs, ("kept_text",), carry=("lang", "source", "n_chars"))
+    kept = op6_suffixes.dedup(docs, ("kept_text",), PASSAGE_WORDS, carry=("lang", "source", "n_chars"), words=True)
     n_chars = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 

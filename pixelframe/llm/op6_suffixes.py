@@ -16,6 +16,9 @@ Names are hashes, not sorted numbers: equality is all that is asked, and so a ro
 Names that decide (rounds 2 and 3) have 128 bits. Nothing is grouped without being counted first, and the joins with
 the counts are plain equi-joins, which Spark splits where a name is frequent.
 
+With ``words`` the positions are those of words (runs of anything but ASCII white space) and ``threshold`` counts words:
+texts are then read as rows of 64-bit hashes of their words, and what goes are the bytes from the first to the last word.
+
 Cases: null and empty texts have no bytes; texts shorter than the threshold lose nothing; rows of equal texts are
 copies of each other, whatever their keys, and lose all if they are long enough; null keys are allowed; other
 columns are ignored, whatever their names; an empty table gives an empty result.
@@ -24,6 +27,7 @@ columns are ignored, whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,8 @@ THRESHOLD = 400
 #: Bytes of text that are looked at together.
 _PORTION = 1 << 21
 _ROW = ["key", "tag"]
+#: Bytes of a word's hash.
+_WORD = 8
 
 
 def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,29 +53,43 @@ def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
-def anchors(texts: list[bytes], threshold: int) -> list[np.ndarray]:
-    """For each text rows (anchor, first start, last start) of the strings of ``threshold`` bytes in it."""
+def word_codes(text: bytes) -> bytes:
+    """The hashes of a text's words, one after another."""
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64).tobytes()
+
+
+def word_spans(text: bytes) -> list[tuple[int, int]]:
+    """Where each word begins and ends."""
+    return [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text)]
+
+
+def anchors(texts: list[bytes], threshold: int, unit: int = 1) -> list[np.ndarray]:
+    """For each text rows (anchor, first start, last start) of the strings of ``threshold`` units in it."""
     width = threshold // 4
     none = np.zeros((0, 3), np.int64)
-    if not any(len(text) >= threshold for text in texts):
+    if not any(len(text) >= threshold * unit for text in texts):
         return [none for _ in texts]
-    value = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    for n in (1, 2, 4):
-        value = (value[:-n] << np.uint64(8 * n)) | value[n:]
+    if unit == _WORD:
+        value = np.frombuffer(b"".join(texts), np.uint64)
+        value = value[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ value[1:]  # of two words, as single ones are too often alike
+    else:
+        value = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+        for n in (1, 2, 4):
+            value = (value[:-n] << np.uint64(8 * n)) | value[n:]
     value *= np.uint64(0x9E3779B97F4A7C15)
     value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     value = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
     least = (_slide_min(value, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     out, begin = [], 0
     for text in texts:
-        n = len(text) - threshold + 1
+        n = len(text) // unit - threshold + 1
         if n > 0:
             of = least[begin : begin + n] - begin
             first = np.flatnonzero(np.diff(of, prepend=-1))
             out.append(np.stack([of[first], first, np.append(first[1:], n) - 1], 1))
         else:
             out.append(none)
-        begin += len(text)
+        begin += len(text) // unit
     return out
 
 
@@ -83,18 +103,22 @@ def _portions(texts: list[bytes]) -> Iterator[slice]:
     yield slice(begin, len(texts))
 
 
-def _anchor_rows(threshold: int):
+def _units(texts: pa.Array, unit: int) -> list[bytes]:
+    return [word_codes(text) for text in texts.to_pylist()] if unit == _WORD else texts.to_pylist()
+
+
+def _anchor_rows(threshold: int, unit: int):
     tail = threshold - threshold // 4 + 1
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, name = batch.column(2).to_pylist(), xxhash.xxh3_64_intdigest
+        texts, name = _units(batch.column(2), unit), xxhash.xxh3_64_intdigest
         short, whole, found = [], [], []
         for part in _portions(texts):
-            for row, (text, places) in enumerate(zip(texts[part], anchors(texts[part], threshold), strict=True), part.start):
+            for row, (text, places) in enumerate(zip(texts[part], anchors(texts[part], threshold, unit), strict=True), part.start):
                 view = memoryview(text)
                 for q, lo, hi in places.tolist():
-                    short.append(name(view[q : q + tail]))
-                    whole.append(name(view[lo : hi + threshold], q - lo))
+                    short.append(name(view[q * unit : (q + tail) * unit]))
+                    whole.append(name(view[lo * unit : (hi + threshold) * unit], q - lo))
                 found.append(np.column_stack([np.full(len(places), row), places[:, 1:]]))
         at = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         rows = pa.array(at[:, 0])
@@ -104,16 +128,16 @@ def _anchor_rows(threshold: int):
     return work
 
 
-def _string_rows(threshold: int):
+def _string_rows(threshold: int, unit: int):
     half = threshold // 2
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         name, out, rows = xxhash.xxh3_64_intdigest, [], []
-        for row, (text, ranges) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for row, (text, ranges) in enumerate(zip(_units(batch.column(2), unit), batch.column(3).to_pylist(), strict=True)):
             view = memoryview(text)
             for r in ranges:
                 for p in range(r["lo"], r["hi"] + 1):
-                    out.append((name(view[p : p + half]), name(view[p + half : p + threshold]), p))
+                    out.append((name(view[p * unit : (p + half) * unit]), name(view[(p + half) * unit : (p + threshold) * unit]), p))
             rows += [row] * (len(out) - len(rows))
         left, right, at = (np.array(out, np.uint64).reshape(-1, 3).T).copy()
         taken = pa.array(rows, pa.int64())
@@ -127,10 +151,10 @@ def _twice(rows: DataFrame, *name: str) -> DataFrame:
     return rows.groupBy(*name).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
 
 
-def _rounds(keyed: DataFrame, threshold: int) -> DataFrame:
+def _rounds(keyed: DataFrame, threshold: int, unit: int = 1) -> DataFrame:
     """``key, tag, ranges``: for each text with repeated strings, the first and last starts of runs of them."""
     spark = keyed.sparkSession
-    first = cut(map_arrow(keyed, "short long, whole long, key long, tag int, lo int, hi int", _anchor_rows(threshold)), "anchors")
+    first = cut(map_arrow(keyed, "short long, whole long, key long, tag int, lo int, hi int", _anchor_rows(threshold, unit)), "anchors")
     second = cut(first.join(_twice(first, "short"), "short"), "survivors")
     free(spark, first)
 
@@ -142,7 +166,7 @@ def _rounds(keyed: DataFrame, threshold: int) -> DataFrame:
     one_each = met.groupBy("short", "whole").agg(F.min(F.struct("key", "tag", "lo", "hi")).alias("spot"))
     ask = left.select("key", "tag", "lo", "hi").unionByName(one_each.select("spot.*"))
     asked = ask.groupBy(*_ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    third = cut(map_arrow(keyed.join(asked, _ROW).select("key", "tag", "bytes", "ranges"), "left long, right long, key long, tag int, at int", _string_rows(threshold)), "strings")
+    third = cut(map_arrow(keyed.join(asked, _ROW).select("key", "tag", "bytes", "ranges"), "left long, right long, key long, tag int, at int", _string_rows(threshold, unit)), "strings")
     free(spark)
     strings = cut(third.join(_twice(third, "left", "right"), ["left", "right"]).select("key", "tag", F.col("at").alias("lo"), F.col("at").alias("hi")), "repeated")
     free(spark, third)
@@ -168,20 +192,24 @@ COLUMNS = {
 _TYPES = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "kept_text": "string", "spans": "array<struct<begin:long,end:long>>"}
 
 
-def dedup(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "spans", "kept"), threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "spans", "kept"), threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), words: bool = False) -> DataFrame:
     """``key``, the columns to ``carry``, and the ``columns`` asked for (see COLUMNS) of every row."""
     if threshold < 40:
-        raise ValueError("threshold must be at least 40 bytes")
+        raise ValueError("threshold must be at least 40 bytes or words")
     own = [key, *carry]
     named = [F.xxhash64(F.col(key), F.col(text)).alias("key"), F.hash(F.col(text), F.col(key)).alias("tag"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("bytes")]
-    found = _rounds(docs.select(*named), threshold)
+    found = _rounds(docs.select(*named), threshold, _WORD if words else 1)
     rows = docs.select(*named, F.struct(*own).alias("own")).join(found, _ROW, "left").select("own", "bytes", "ranges")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", " + ", ".join(f"`{c}` {_TYPES[c]}" for c in columns)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = {c: [] for c in columns}
         for raw, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = _removed(len(raw), ranges, threshold)
+            if words and ranges:
+                at = word_spans(raw)
+                spans = [(at[lo][0], at[hi - 1][1]) for lo, hi in _removed(len(at), ranges, threshold)]
+            else:
+                spans = _removed(len(raw), ranges, threshold)
             kept = b"".join(raw[a:b] for a, b in zip([0, *(hi for _, hi in spans)], [*(lo for lo, _ in spans), len(raw)], strict=True))
             row = {"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(spans), "kept": kept}
             for c, out in made.items():

@@ -40,3 +40,32 @@ def test_near_copies_go_against_brute_force(spark, tables):
                 top = {k: new if t == old else t for k, t in top.items()}
     kept = {row.doc_id for row in corpus_pipeline.near_duplicates(spark, docs, tables).collect()}
     assert kept == set(top.values()) and len(kept) < 110
+
+
+def test_repeated_passages_go_against_brute_force(spark, tables):
+    """Windows of 51 words that stand in two places, in short words, long ones, and with other white space between."""
+    import random
+    import re
+    from collections import Counter
+
+    r = random.Random(4)
+    text = lambda n, size: " ".join("".join(r.choices("abcdefgh", k=size)) for _ in range(n))
+    rows = [(0, None), (1, ""), (2, text(60, 4))]
+    for k, (n, size) in enumerate([(51, 1), (51, 3), (60, 5), (50, 3), (50, 9), (130, 4), (51, 30)]):
+        passage = text(n, size)
+        rows += [(10 + 2 * k, f"{text(70, 5)} {passage} {text(40, 6)}"), (11 + 2 * k, text(30, 5) + "\n" + passage.replace(" ", "\n", 7))]
+    rows += [(40, rows[-1][1]), (41, " " + text(51, 3) + "  ")]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    seen = Counter(tuple(w[p : p + 51]) for _, x in rows for w in [(x or "").split()] for p in range(len(w) - 50))
+    got = {row.doc_id: row.text for row in corpus_pipeline.repeated_passages(spark, docs, tables).collect()}
+    changed = 0
+    for k, x in rows:
+        spans = [m.span() for m in re.finditer(r"\S+", x or "")]
+        gone = bytearray(len(x or ""))
+        for p in range(len(spans) - 50):
+            if seen[tuple((x or "").split()[p : p + 51])] > 1:
+                begin, end = spans[p][0], spans[p + 50][1]
+                gone[begin:end] = b"\1" * (end - begin)
+        assert got[k] == "".join(c for c, g in zip(x or "", gone, strict=True) if not g)
+        changed += any(gone)
+    assert changed == 11
