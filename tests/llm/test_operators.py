@@ -154,3 +154,8 @@ def _parts(nodes, pairs):
 def test_one_row_of_a_group_stays(odd):
     kept = op9.keep_one(odd.select("doc_id", "text")).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 6, 7]
+
+
+def test_backoff_counts_every_gram(same_as_sql):
+    """The recursion over all n-grams, those that occur once too."""
+    same_as_sql(QUERIES["op5_backoff"], op5._oracle(least=1))
