@@ -8,7 +8,8 @@ Arguments are checked against the tool's schema, and each link is written as can
 whole numbers without a fraction, everything but quotes, backslashes and control characters as it is.
 
 ``status`` is linked, unanswered (no result), orphan (a result without a call), cyclic (its chain never ends) or
-unidentified (no identifier). Calls of one identifier are one call: that of the least turn, name and arguments, and
+unidentified (no identifier). Turns that are neither call nor result (system, other and null roles) each keep a row
+with status message and a canonical record of role, content and turn. Calls of one identifier are one call: that of the least turn, name and arguments, and
 ``n_calls`` counts them; results likewise. ``valid`` is null for orphans.
 
 Cases: null texts are JSON null, which a schema of strings rejects; empty and very long texts are kept whole;
@@ -149,9 +150,23 @@ def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, conversations.where(F.col("role") == "assistant").select("conv_id", "turn", identifier(turn - 1).alias("call_id"), F.col("text").alias("content"))
 
 
+def messages(conversations: DataFrame) -> DataFrame:
+    """Rows like those of link() for the turns that turns() leaves: neither a user's nor an assistant's."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        said = [canonical({"content": r["text"], "role": r["role"], "status": "message", "turn": r["turn"]}) for r in batch.to_pylist()]
+        none, zero = (lambda kind: pa.nulls(batch.num_rows, kind)), pa.array([0] * batch.num_rows, pa.int64())
+        columns = [batch.column(0), batch.column(1), none(pa.string()), pa.array(["message"] * batch.num_rows), zero, zero, none(pa.int64()), none(pa.bool_()), none(pa.string()), pa.array(said, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "call_id", "status", "n_calls", "n_results", "depth", "valid", "error", "record"])
+
+    others = conversations.where(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"))
+    return map_arrow(others.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"), "conv_id long, turn long, call_id string, status string, n_calls long, n_results long, depth long, valid boolean, error string, record string", work)
+
+
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return link(calls, results, REPLY)
+    """Every turn of the conversations (``ORACLE`` has users' and assistants' only; see REPLY_r01.md)."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return link(*turns(conversations), REPLY).unionByName(messages(conversations))
 
 
 _SAID = "coalesce(to_json({})::VARCHAR, 'null')"

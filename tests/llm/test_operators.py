@@ -159,3 +159,19 @@ def test_one_row_of_a_group_stays(odd):
 def test_backoff_counts_every_gram(same_as_sql):
     """The recursion over all n-grams, those that occur once too."""
     same_as_sql(QUERIES["op5_backoff"], op5._oracle(least=1))
+
+
+OTHER_TURNS = """
+UNION ALL SELECT conv_id, turn, NULL, 'message', 0, 0, NULL, NULL, NULL,
+       '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"status":"message","turn":' || coalesce(turn::VARCHAR, 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+"""
+
+
+def test_turns_of_other_roles_stay(same_as_sql, spark):
+    same_as_sql(QUERIES["op8_tool_calls"], ORACLE["op8_tool_calls"] + OTHER_TURNS)
+    rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, None, None), (1, 2, "tool", "t"), (1, 2, "tool", "t"), (1, 3, "user", "u")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.record for r in op8.messages(rows).collect()) == [
+        '{"content":"s","role":"system","status":"message","turn":0}', *['{"content":"t","role":"tool","status":"message","turn":2}'] * 2,
+        '{"content":null,"role":null,"status":"message","turn":1}',
+    ]
