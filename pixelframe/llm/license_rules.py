@@ -120,7 +120,7 @@ GPL-3.0 | gpl | (gnu )?gpl( version)? v?3( 0)?
 GPL-2.0 | gplv2 | gplv2
 GPL-3.0 | gplv3 | gplv3
 GPL-any | gpl | gpl
-LGPL-2.0 | lesser | (gnu )?(lesser|library) general public license( version)? v?2( 0)?
+LGPL-2.0 | license | (gnu )?(lesser|library) general public license( version)? v?2( 0)?
 LGPL-2.1 | lesser | (gnu )?lesser general public license( version)? v?2 1
 LGPL-3.0 | lesser | (gnu )?lesser general public license( version)? v?3( 0)?
 LGPL | lesser | (gnu )?lesser general public license

@@ -175,3 +175,39 @@ def test_turns_of_other_roles_stay(same_as_sql, spark):
         '{"content":"s","role":"system","status":"message","turn":0}', *['{"content":"t","role":"tool","status":"message","turn":2}'] * 2,
         '{"content":null,"role":null,"status":"message","turn":1}',
     ]
+
+
+def _readings(pattern):
+    """What an expression matches: each alternative, with and without each part that may be absent."""
+    import itertools
+    from re import _parser as parser
+
+    def of(node):
+        kind, what = str(node[0]), node[1]
+        if kind == "LITERAL":
+            return [chr(what)]
+        if kind == "IN":
+            return [chr(x[1]) if str(x[0]) == "LITERAL" else chr(x[1][0]) if str(x[0]) == "RANGE" else "7" for x in what]
+        if kind == "SUBPATTERN":
+            return every(what[3])
+        if kind == "BRANCH":
+            return [x for part in what[1] for x in every(part)]
+        assert kind == "MAX_REPEAT"
+        return [""] * (what[0] == 0) + every(what[2])
+
+    def every(nodes):
+        return ["".join(x) for x in itertools.product(*map(of, nodes))]
+
+    return every(parser.parse(pattern))
+
+
+def test_keywords_hide_no_alternative_of_a_rule(spark):
+    from pixelframe.llm.license_rules import RULES
+
+    texts = {x for r in RULES if r.priority != 2 for x in _readings(r.pattern)}
+    texts |= {f"licensed under the {x}" for r in RULES if r.priority == 3 for x in _readings(r.pattern)}
+    docs = spark.createDataFrame([(k, f"{x} zzz") for k, x in enumerate(sorted(texts))], "doc_id long, text string").repartition(4)
+    labels = lambda rules: {r.doc_id: r.labels for r in op10.scan(docs, rules=rules).select("doc_id", "labels").collect()}
+    assert labels(RULES) == labels([r._replace(keyword="zzz") for r in RULES])
+    real = spark.createDataFrame([(1, "GNU Library General Public License version 2")], "doc_id long, text string")
+    assert op10.scan(real).first().labels == "LGPL-2.0,gpl"
