@@ -1,10 +1,16 @@
-"""Near copies by similarity: groups of texts whose sets of five-word shingles have a Jaccard similarity from 0.8.
+"""Operator 9 by similarity: groups of texts whose sets of five-word shingles have a Jaccard similarity from 0.8.
 
-Texts with equal sets collapse to one node. A node's MinHash signature (``BANDS`` bands of ``ROWS`` minima) is cut into
-bands, and nodes that agree in a band are candidates: a pair of similarity 0.8 has such a band with probability
-1 - (1 - 0.8 ** 6) ** 24, some 0.9993, and more similar pairs have it more often. Candidates are verified by the exact
-similarity of their texts. First each node of a band meets the least one; then all pairs within a band that are not
-connected yet meet, so that no candidate link between two groups is left out, and groups joined early cost little.
+Texts with equal sets collapse to one node. A node's fingerprint is a SimHash of ``WORDS`` times 64 bits. At similarity
+0.8 some 15 % of the bits differ, too many for one trie: node pairs would hardly be pruned. So several tries are walked,
+each over the bits in an order of its own. The first ``bits`` levels allow no error, which is an equi-join on a prefix;
+below them pairs walk down together with the whole budget. The number of levels follows the number of nodes, so that
+some ``CROWD`` unrelated ones share a prefix, and the number of tries follows from the levels: a pair of similarity 0.8
+has no common prefix with a probability of ``MISSED``, and passes the budget of differing bits with some 0.0015; more
+similar pairs are missed less. Pairs within the budget are verified by the exact similarity of their texts.
+
+First each node meets one close node of each trie; then all close pairs that are not connected yet are verified, so no
+link that was found between two groups is left out. A prefix that many nodes share is cut into pieces of a bounded
+size, by group: pieces of one and the same group need not meet, and so a large group costs in proportion to its size.
 
 Cases: null and empty texts are one node; texts of fewer words than a shingle are one shingle; repeated rows are one
 node; null identifiers are allowed; other columns are carried, whatever their names; an empty table stays empty.
@@ -12,6 +18,9 @@ node; null identifiers are allowed; other columns are carried, whatever their na
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.llm.common import cut, map_arrow
-from pixelframe.llm.op9_simhash import components
+from pixelframe.llm.op9_simhash import close_pairs, components, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 6
-_SEED = 43
-_MULTIPLIERS = np.random.default_rng(_SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of 64 bits in a fingerprint; unrelated nodes that share a prefix; pairs of the least similarity without one.
+WORDS, CROWD, MISSED = 4, 256, 0.005
+#: Nodes of one prefix that a task holds together.
+PIECE = 4096
+_STEPS = np.random.default_rng(43).integers(0, 1 << 63, WORDS, np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -36,13 +47,13 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in joined], np.uint64))
 
 
-def bands(held: np.ndarray) -> list[int]:
-    """A hash of each band of the signature."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(held), 512):
-        mixed = held[at : at + 512, None] * _MULTIPLIERS
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
-    return [xxhash.xxh3_64_intdigest(part.tobytes(), n) - (1 << 63) for n, part in enumerate(least.reshape(BANDS, ROWS))]
+def fingerprint(held: np.ndarray) -> bytes:
+    """The SimHash of a set, in the machine's byte order."""
+    if not len(held):
+        return bytes(8 * WORDS)
+    mixed = (held[:, None] ^ _STEPS) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return majority(mixed ^ (mixed >> np.uint64(29))).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -50,11 +61,88 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def differing(similar: float = SIMILARITY) -> float:
+    """The share of a fingerprint's bits that differ between sets of such a similarity, on average."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def _budget(bits: int) -> int:
+    """Differing bits among so many: three standard deviations above the average."""
+    p = differing()
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+
+
+def tries(nodes: int) -> tuple[int, int]:
+    """The levels without an error and the number of tries for so many nodes."""
+    levels = max(4, math.ceil(math.log2(max(2, nodes) / CROWD)))
+    return levels, math.ceil(math.log(MISSED) / math.log(1 - (1 - differing()) ** levels))
+
+
 def _marks(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = [shingles(x) for x in batch.column(0).to_pylist()]
     node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-    of = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node), of], ["id", "row", "node", "bands"])
+    return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node), pa.array(map(fingerprint, sets), pa.binary())], ["id", "row", "node", "bits"])
+
+
+def _prefixes(levels: int, number: int):
+    """Rows (prefix, node, bits): a node under its prefix in each trie."""
+    order = np.random.default_rng(44)
+    places = [order.choice(64 * WORDS, levels, replace=False) for _ in range(number)]
+    powers = np.int64(1) << np.arange(levels)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fields = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+        bits = np.unpackbits(fields, axis=1).astype(np.int64)
+        prefix = np.concatenate([(bits[:, at] @ powers) * number + nth for nth, at in enumerate(places)])
+        row = pa.array(np.tile(np.arange(len(fields)), number))
+        return pa.RecordBatch.from_arrays([pa.array(prefix), batch.column(0).take(row), batch.column(1).take(row)], ["prefix", "node", "bits"])
+
+    return work
+
+
+def _pieces(spread: DataFrame, root: str) -> DataFrame:
+    """``prefix, part, held, root, one``: the nodes of a prefix in pieces; ``one`` tells that all are of one root."""
+    crowds = spread.groupBy("prefix", root).agg(F.count("*").alias("__own"))
+    totals = crowds.groupBy("prefix").agg(F.sum("__own").alias("__all")).where(F.col("__all") > PIECE)
+    large = crowds.where(F.col("__own") > PIECE // 2)
+    parts = lambda n: F.ceil(2 * F.col(n) / PIECE)
+    rows = spread.join(totals, "prefix", "left").join(large, ["prefix", root], "left")
+    own = F.xxhash64(root, F.pmod(F.xxhash64("node"), parts("__own")))
+    part = F.when(F.col("__all").isNull(), F.lit(0)).when(F.col("__own").isNotNull(), own).otherwise(F.pmod(F.xxhash64(root), parts("__all")))
+    rows = rows.select("prefix", part.alias("part"), F.col(root).alias("root"), F.struct("node", F.col(root).alias("root"), "bits").alias("held"))
+    return rows.groupBy("prefix", "part").agg(F.collect_list("held").alias("held"), F.min("root").alias("root"), (F.min("root") == F.max("root")).alias("one"))
+
+
+def _close(whole: bool):
+    """Pairs (a > b) of nodes of different roots within the budget: of each node one, or with ``whole`` all."""
+    first, every = _budget(64), _budget(64 * WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for prefix, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [*left, *(right or ())]
+                node, root = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root"))
+                bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(-1, WORDS)
+                rank = np.argsort(np.argsort((node ^ np.int64(prefix)) * np.int64(-7046029254386353131), kind="stable"))
+                mine = [np.argsort(bits[: len(left), 0]), len(left) + np.argsort(bits[len(left) :, 0])]
+                a, b = mine[0], mine[0 if right is None else 1]
+                best = np.arange(len(rows))
+                for i, j in close_pairs(bits[a, 0], bits[b, 0], 0, 0, first, right is None):
+                    i, j = a[i], b[j]
+                    near = (root[i] != root[j]) & (np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= every)
+                    i, j = i[near], j[near]
+                    if whole and len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+                    low, high = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+                    better = np.lexsort((rank[low], high))[::-1]
+                    low, high = low[better], high[better]
+                    best[high] = np.where(rank[low] < rank[best[high]], low, best[high])
+                met = np.flatnonzero(best != np.arange(len(rows)))
+                if not whole and len(met):
+                    i, j = node[met], node[best[met]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
+
+    return run
 
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -82,25 +170,36 @@ def _links(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node that has a similar one."""
-    nodes = marked.groupBy("node").agg(F.first("bands").alias("bands"))
-    spread = cut(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    shared = spread.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = cut(spread.join(shared, "band"), "met")
-    star = cut(met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "candidates")
+    nodes = cut(marked.groupBy("node").agg(F.first("bits").alias("bits")), "nodes")
+    spread = cut(map_arrow(nodes, "prefix long, node long, bits binary", _prefixes(*tries(nodes.count()))), "prefixes")
+    pairs = "a long, b long"
+
+    def self_met(pieces: DataFrame) -> DataFrame:
+        return pieces.select("prefix", "held", F.lit(None).cast(pieces.schema["held"].dataType).alias("other"))
+
+    def two_met(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        many = pieces.join(pieces.groupBy("prefix").agg(F.count("*").alias("__n"), F.min("part").alias("__first")).where("__n > 1"), "prefix")
+        return many, many.select("prefix", F.col("part").alias("p2"), F.col("held").alias("other"), F.col("root").alias("r2"), F.col("one").alias("o2"))
+
+    pieces = cut(_pieces(spread, "node"), "pieces")
+    many, others = two_met(pieces)
+    star = self_met(pieces).unionByName(many.where("part = __first").join(others, "prefix").where("p2 <> part").select("prefix", "held", "other"))
+    star = cut(star.mapInArrow(_close(False), pairs).distinct(), "candidates")
     first = _links(star, marked, docs)
-    placed = met.join(components(first), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    placed = cut(placed.join(mixed, "band"), "mixed")
-    left, right = placed.toDF("band", "a", "ra"), placed.toDF("band", "b", "rb")
-    pairs = left.join(right, "band").where("a > b and ra <> rb").select("a", "b").distinct()
-    second = _links(cut(pairs.join(star, ["a", "b"], "left_anti"), "candidates"), marked, docs)
+
+    placed = spread.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pieces = cut(_pieces(placed, "root"), "pieces")
+    many, others = two_met(pieces)
+    apart = many.join(others, "prefix").where("part < p2 and not (one and o2 and root = r2)").select("prefix", "held", "other")
+    found = self_met(pieces.where("not one")).unionByName(apart).mapInArrow(_close(True), pairs).distinct()
+    second = _links(cut(found.join(star, ["a", "b"], "left_anti"), "candidates"), marked, docs)
     return components(first.unionByName(second))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, whole: that of the smallest identifier, nulls last. Rows alike in all columns are one."""
     row, kind = F.xxhash64(*(F.col(c) for c in docs.columns)), docs.schema[key].dataType.simpleString()
-    marked = cut(map_arrow(docs.select(F.col(text), F.col(key), row), f"id {kind}, row long, node long, bands array<long>", _marks), "marks")
+    marked = cut(map_arrow(docs.select(F.col(text), F.col(key), row), f"id {kind}, row long, node long, bits binary", _marks), "marks")
     named = cut(groups(marked, docs.select(row.alias("__row"), F.col(text).alias("__text"))), "groups")
     of = marked.join(named, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     chosen = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("__row")).distinct()

@@ -33,8 +33,20 @@ SEED = 42
 NODE = 8192
 #: Bits that a round of Spark walks down.
 STEP = 3
-#: Node pairs that a task holds at once.
-_HELD = 200_000
+#: Node pairs that a task holds at once, and hashes whose bits it counts together.
+_HELD, _COUNTED = 200_000, 255 * 64
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of hashes the bits that are set in over half of them, as one row of big-endian words."""
+    rows, width = hashes.reshape(len(hashes), -1), 8 * hashes.reshape(len(hashes), -1).shape[1]
+    counts = np.zeros(8 * width, np.int64)
+    for at in range(0, len(rows), _COUNTED):
+        bits = np.unpackbits(rows[at : at + _COUNTED].astype(">u8").view(np.uint8), axis=1)
+        whole = len(bits) // 255 * 255  # so many fit into a sum of one byte
+        counts += bits[:whole].reshape(-1, 255, 8 * width).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        counts += bits[whole:].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(rows)).view(">u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -43,12 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    return int(majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64))[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
