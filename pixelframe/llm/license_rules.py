@@ -1,7 +1,8 @@
 """Signature rules of the licence scan, over words in lower case: ``1.1`` reads as the words ``1 1``.
 
 A rule has a label, a priority (1 is best), a keyword that every match contains as a word, and a regular
-expression. Its syntax is what Java's and RE2's engines share; a space stands between words.
+expression. Its syntax is what Java's and RE2's engines share; a space stands between words. Parts repeat a bounded
+number of times only: Java matches a repeated group by recursion.
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ OFL-1.1 | font | this font software is licensed under the sil open font license
 _HINTS = """
 Public-Domain | domain | (in|into|to) the public domain
 Public-Domain | domain | public domain( dedication| software| work)?
-Copyright | copyright | copyright( c)?( \\d\\d\\d\\d)+
+Copyright | copyright | copyright( c)?( \\d\\d\\d\\d){1,8}
 Copyright | copyright | copyright
 Copyright | copyrighted | copyrighted( material| work)?
 Rights-Kept | reserved | (all|some|no) rights (are )?reserved
@@ -224,7 +225,7 @@ Rights-Kept | droits | tous droits réservés
 Proprietary | proprietary | proprietary( and confidential)?( software| license)?
 Proprietary | confidential | (strictly |company )?confidential( and proprietary| information)
 Proprietary | redistribute | (do not|may not|not to) redistribute
-Proprietary | permission | without (the )?(prior |express )*(written )?permission
+Proprietary | permission | without (the )?(prior |express ){0,4}(written )?permission
 Commercial | commercial | commercial (use|licen[sc]e)( only)?
 Non-Commercial | noncommercial | noncommercial( use)?( only)?
 Non-Commercial | commercial | non commercial( use)?( only)?
@@ -235,7 +236,7 @@ Trademark | trademark | (registered )?trademark
 Trademark | trademarks | (registered )?trademarks
 Patent-Grant | patent | patent (grant|license)
 License-Mention | licensed | licensed (under|by|to)
-License-Mention | license | (end user |open source |free |software )*license( agreement| file| terms)?
+License-Mention | license | (end user |open source |free |software ){0,4}license( agreement| file| terms)?
 License-Mention | licence | (software )?licence( agreement| file| terms)?
 License-Mention | eula | eula
 License-Mention | copyleft | (strong |weak )?copyleft
