@@ -1,21 +1,20 @@
 """Operator 5: language-model scores by stupid backoff, computed relationally.
 
-Count tables hold every word and the n-grams (n from 2 to ``order``) of all documents that occur ``least`` times or
-more; they are partitioned by hash. A word scores ln(c(gram) / c(gram without its last word)) for the longest known
-gram that ends in it, plus ln(``backoff``) for each order given up; a single word scores ln(c(word) / words).
+One count table holds every n-gram (n from 1 to ``order``) of all documents that occurs ``least`` times or more, grouped
+by the n-gram's hash and counted before and after the shuffle. Joined to itself it gives each n-gram's score: a word
+scores ln(c(gram) / c(gram without its last word)) for the longest known gram that ends in it, plus ln(``backoff``) for
+each order given up; a single word scores ln(c(word) / words). The scores are joined to the exploded n-grams of the
+documents and summed per document. They are whole millionths of a nat, so sums do not depend on their order.
 
-That is a sum over grams. A known gram implies that its suffix is known, so the word's score is that of the single
-word, plus for each longer known gram the difference to the score of its suffix. The table of these differences is
-made by joins of the count tables, it is then joined to the n-grams of the documents, and summed per document.
-Scores are whole millionths of a nat, so sums do not depend on their order.
+If every gram counts (``least`` is 1), a word's longest gram is always known, and only that one is exploded. Otherwise
+the sum is taken over all grams: a known gram implies that its suffix is known, so a word's score is that of the single
+word, plus for each longer known gram the difference to the score of its suffix.
 
-Tasks explode n-grams in numpy and send them as packed columns, a block for each bucket of the hash, which keeps
-what is shuffled to a few bytes an n-gram; all that a bucket holds is bounded, as buckets grow with the text. Two
-tables of bounded size are broadcast: the ``HOT`` most frequent words, which get short numbers, and up to
-``HOT_GRAMS`` of the most frequent grams, in a hash table of ``SLOTS`` slots, which are looked up where they are and
-so never crowd a bucket. Everything else, so too a gram whose slot a more frequent one has, is looked up in its bucket.
+All joins are plain equi-joins of shuffled tables, which Spark splits where a gram is frequent; nothing is broadcast or
+collected but the number of all words. Words and grams are told apart by 64-bit hashes, which are not verified: among
+10 ** 9 different grams some 0.03 pairs are expected to share a hash, among 10 ** 12 some 27,000.
 
-Words are runs of anything but ASCII white space, A-Z in lower case. They are told apart by 63-bit hashes.
+Words are runs of anything but ASCII white space, A-Z in lower case.
 
 Cases: null and empty texts have no words and no score (null); repeated rows each count and each get a row; a null
 key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -24,422 +23,92 @@ key is allowed; other columns are ignored, whatever their names; an empty table
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import chain, count
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, free, map_arrow, table
+from pixelframe.llm.common import cut, free, table
 
-ORDER, LEAST, BACKOFF = 3, 2, 0.4
-#: The most rows of the two broadcast tables, and the slots of the second.
-HOT, HOT_GRAMS, SLOTS = 1 << 18, 1 << 20, 1 << 21
-#: Words that a task looks at together, and bytes of text for a bucket.
-PORTION, BUCKET_BYTES = 600_000, 8_000_000
-_ESCAPED = np.uint64(1 << 63)
+ORDER, LEAST, BACKOFF = 3, 1, 0.4
 _MICRO = 1_000_000
+#: What tells rows of documents apart; rows that are alike have one score.
+_ROW = ["row", "tag"]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []  # of bytes: ASCII letters and white space only
+def words_of(text: Column) -> Column:
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lower, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Keys and words of rows, some ``PORTION`` words at a time (more only where one text has more)."""
-    keys, words, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            words.append(words_of(text))
-            size += len(words[-1])
-            if size >= PORTION:
-                yield keys, words
-                keys, words, size = [], [], 0
-    if keys:
-        yield keys, words
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) | _ESCAPED
-
-
-def _mixed(columns: list[np.ndarray]) -> np.ndarray:
-    """One hash of each row of codes."""
-    value = np.full(len(columns[0]), len(columns), np.uint64)
-    for column in columns:
-        value = (value ^ (value >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + column
-        value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return value ^ (value >> np.uint64(31))
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, as planes of bytes, compressed. Most planes are nearly empty."""
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
-    return pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, *kinds: tuple[int, type]) -> list[np.ndarray]:
-    """Columns of so many values and such types."""
-    raw = np.frombuffer(pa.decompress(data, sum(n * np.dtype(kind).itemsize for n, kind in kinds), codec="zstd"), np.uint8)
-    out, at = [], 0
-    for n, kind in kinds:
-        wide = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).reshape(n))
-        at += n * wide
-    return out
-
-
-class _Codes:
-    """Codes of words: a frequent word's place in the broadcast table, or else its hash."""
-
-    def __init__(self, hot: np.ndarray) -> None:
-        self.sorted, self.place = np.sort(hot), np.argsort(hot).astype(np.uint64)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return hashes
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.place[at], hashes)
-
-
-def _pack_grams(columns: list[np.ndarray], *more: np.ndarray) -> bytes:
-    """Sorted rows of codes: the rare words' hashes once for the block, codes as short numbers, the first as steps."""
-    rare = np.unique(np.concatenate([c[c >= _ESCAPED] for c in columns]))
-    short = []
-    for c in columns:
-        escaped = np.flatnonzero(c >= _ESCAPED)
-        short.append(c.astype(np.uint32))
-        short[-1][escaped] = HOT + np.searchsorted(rare, c[escaped])
-    short[0] = np.diff(short[0], prepend=np.uint32(0))
-    return len(rare).to_bytes(4, "little") + _pack(rare, *short, *more)
-
-
-def _unpack_grams(data: bytes, size: int, n: int, *more: tuple[int, type]) -> list[np.ndarray]:
-    rares = int.from_bytes(data[:4], "little")
-    rare, *columns = _unpack(data[4:], (rares, np.uint64), *[(size, np.uint32)] * n, *more)
-    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
-    every = np.concatenate([np.arange(HOT, dtype=np.uint64), rare]) if rares else None
-    return [*(c.astype(np.uint64) if every is None else every[c] for c in columns[:n]), *columns[n:]]
-
-
-def _grams(words: list[list[bytes]], order: int, code: _Codes):
-    """For each n, keys of n-grams of local word numbers and the row of each; and the codes of these words."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
-    sizes = np.array([len(row) for row in words], np.int64)
-    row = np.repeat(np.arange(len(words)), sizes)
-    codes = code(_hashes(list(number)))
-    rank = np.argsort(np.argsort(codes)).astype(np.uint64)  # keys are then sorted as codes are
-    flat, codes = rank[flat.astype(np.int64)] if len(flat) else flat, np.sort(codes)
-    bits = max(1, len(codes).bit_length())
-    made, key = {}, flat if bits * order <= 64 else flat.astype(object)  # a text of millions of different words: whole numbers of any size
+def grams(docs: DataFrame, order: int, longest: bool = False) -> DataFrame:
+    """``row, tag, n, gram, before, suffix`` for all n-grams of ``words``, or for each word the longest that ends in it:
+    hashes of the n-gram, and of it without its last and without its first word."""
+    coded = docs.select(*_ROW, F.transform("words", lambda w: F.xxhash64(w)).alias("w0"))
+    shifted = lambda k: F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice("w0", 1, F.greatest(F.size("w0") - k, F.lit(0))))
+    lags = [f"w{k}" for k in range(order)]
+    coded = coded.select(*_ROW, "w0", *(shifted(k).alias(lags[k]) for k in range(1, order)))
+    said = coded.select(*_ROW, F.inline(F.arrays_zip(*lags))).where("w0 is not null")
+    each = []
     for n in range(1, order + 1):
-        if n > 1:
-            key = (key[:-1] << bits) | flat[n - 1 :].astype(key.dtype)
-        inside = row[n - 1 :] == row[: len(row) - n + 1] if len(row) >= n else np.zeros(0, bool)
-        made[n] = key[inside] if len(key) else key, row[: len(inside)][inside]
-    return made, codes, bits
-
-
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of ``keys`` that brings equal ones together, and where in it each group begins."""
-    by = np.argsort(keys)
-    ordered = keys[by]
-    return by, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else by
-
-
-class _Slots:
-    """A hash table of one probe. Of grams that meet in a slot, the last stays."""
-
-    def __init__(self, mixed: np.ndarray, micro: np.ndarray, slots: int) -> None:
-        self.shift = np.uint64(64 - (slots.bit_length() - 1))
-        self.keys, self.micro = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
-        at = self._slot(mixed)
-        last = len(at) - 1 - np.unique(at[::-1], return_index=True)[1]
-        self.keys[at[last]], self.micro[at[last]] = mixed[last], micro[last]
-
-    def _slot(self, mixed: np.ndarray) -> np.ndarray:
-        return (mixed >> self.shift).astype(np.int64)
-
-    def __call__(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each gram is there, and its value."""
-        at = self._slot(mixed)
-        here = self.keys[at] == mixed
-        return here, np.where(here, self.micro[at], 0).astype(np.int64)
-
-
-def _columns(keys: np.ndarray, n: int, bits: int, codes: np.ndarray) -> list[np.ndarray]:
-    mask = (1 << bits) - 1
-    return [codes[((keys >> bits * (n - 1 - k)) & mask).astype(np.int64)] for k in range(n)]
-
-
-def _by_bucket(columns: list[np.ndarray], buckets: int):
-    """Bucket, and the places of its rows in their order."""
-    bucket = (_mixed(columns) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(starts)).tolist():
-        yield b, order[starts[b] : starts[b + 1]]
-
+        words = lags[n - 1 :: -1]
+        before, suffix = (F.xxhash64(*w) if w else F.lit(None).cast("long") for w in (words[:-1], words[1:]))
+        each.append(F.when(F.col(lags[n - 1]).isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*words).alias("gram"), before.alias("before"), suffix.alias("suffix"))))
+    if longest:
+        return said.select(*_ROW, F.coalesce(*each[::-1]).alias("g")).select(*_ROW, "g.*")
+    return said.select(*_ROW, F.explode(F.array_compact(F.array(*each))).alias("g")).select(*_ROW, "g.*")
 
-def _sealed(keys: pa.Array, sizes: np.ndarray, sums: np.ndarray) -> bytes:
-    """Rows of documents in one value."""
-    batch = pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(sums)], ["doc_id", "n_words", "micro"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
 
+def gram_counts(exploded: DataFrame, least: int = LEAST) -> DataFrame:
+    """``n, gram, before, count`` of the n-grams that occur ``least`` times, words all; with a suffix if some are left out."""
+    return exploded.groupBy("n", "gram", "before", *["suffix"] * (least > 1)).agg(F.count("*").alias("count")).where((F.col("n") == 1) | (F.col("count") >= least))
 
-_BLOCKS = "bucket int, n int, size long, data binary"
 
-
-def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-
-
-def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``hash`` and ``n`` of every word of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _portions(batches):
-            counts = Counter()
-            for row in words:
-                counts.update(row)
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(list(counts)).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["hash", "n"])
-
-    return _read(docs, key, text).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(docs: DataFrame, hot: np.ndarray, buckets: int, order: int = ORDER, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``n, w0, w1, ..., count`` of the n-grams, n from 2, that occur ``least`` times in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _Codes(shared.value)
-        for _, words in _portions(batches):
-            made, codes, bits = _grams(words, order, code)
-            rows = []
-            for n in range(2, order + 1):
-                keys, counts = np.unique(made[n][0], return_counts=True)
-                if len(keys):
-                    columns = _columns(keys, n, bits, codes)
-                    rows += [(b, n, len(at), _pack_grams([c[at] for c in columns], counts[at].astype(np.uint32))) for b, at in _by_bucket(columns, buckets)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n", "size", "data"])
-
-    def add(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, n = group
-        parts = [_unpack_grams(d, s, n, (s, np.uint32)) for s, d in zip(rows["size"], rows["data"], strict=True)]
-        *columns, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by, begin = _grouped(_mixed(columns))
-        total = np.add.reduceat(counts[by].astype(np.int64), begin)
-        kept = total >= least
-        at = by[begin[kept]]
-        words = {f"w{k}": columns[k][at].view(np.int64) if k < n else np.zeros(len(at), np.int64) for k in range(order)}
-        return pd.DataFrame({"n": np.int32(n), **words, "count": total[kept]})
-
-    blocks = _read(docs, key, text).mapInArrow(run, _BLOCKS)
-    return blocks.groupBy("bucket", "n").applyInPandas(add, "n int, " + "".join(f"w{k} long, " for k in range(order)) + "count long")
-
-
-def _micro(ratio) -> F.Column:
+def _micro(ratio: Column) -> Column:
     return F.floor(F.log(ratio) * _MICRO + 0.5)
 
 
-def differences(words: DataFrame, grams: DataFrame, total: int, order: int, backoff: float) -> list[DataFrame]:
-    """For each n from 2, ``w0, ..., micro, own, count``: a gram's score, and what it adds to its suffix's."""
-    lost = math.floor(math.log(backoff) * _MICRO + 0.5)
-    names, out = [f"w{k}" for k in range(order)], []
-    shorter = words.select(F.col("code").alias("w0"), F.col("n").alias("count"), _micro(F.col("n") / F.lit(max(1, total))).alias("own"))
-    for n in range(2, order + 1):
-        before = shorter.select(*names[: n - 1], F.col("count").alias("before"))
-        suffix = shorter.select(*(F.col(names[k]).alias(names[k + 1]) for k in range(n - 1)), F.col("own").alias("suffix"))
-        rows = grams.where(F.col("n") == n).select(*names[:n], "count").join(before, names[: n - 1])
-        half = cut(rows.select(*names[:n], "count", _micro(F.col("count") / F.col("before")).alias("own")), "scores")
-        free(words.sparkSession)
-        rows = half.join(suffix, names[1:n])
-        shorter = cut(rows.select(*names[:n], (F.col("own") - F.col("suffix") - lost).alias("micro"), "own", "count"), "differences")
-        free(words.sparkSession, half)
-        out.append(shorter)
-    return out
-
-
-def _value_blocks(buckets: int, n: int):
-    """Packed blocks, by bucket, of rows w0, w1, ..., micro."""
+def scores(counts: DataFrame) -> DataFrame:
+    """``micro`` of each gram of ``counts``: what it scores by itself."""
+    total = counts.where("n = 1").agg(F.sum("count")).first()[0] or 1
+    single = counts.where("n = 1").withColumn("micro", _micro(F.col("count") / F.lit(total)))
+    shorter = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("before"), F.col("count").alias("of"))
+    longer = counts.where("n > 1").join(shorter, ["n", "before"]).withColumn("micro", _micro(F.col("count") / F.col("of")))
+    return single.unionByName(longer.drop("of")).drop("before", "count")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def blocks() -> pa.RecordBatch:
-            codes = [np.concatenate(c).view(np.uint64) for c in list(zip(*held, strict=True))[:n]]
-            micro = np.concatenate([h[n] for h in held])
-            by = np.lexsort(codes[::-1])
-            codes, micro = [c[by] for c in codes], micro[by]
-            rows = [(b, n, len(at), _pack_grams([c[at] for c in codes], micro[at])) for b, at in _by_bucket(codes, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n", "size", "data"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                size += batch.num_rows
-            if size >= PORTION:
-                yield blocks()
-                held, size = [], 0
-        if size:
-            yield blocks()
-
-    return run
-
-
-def _frequent(rows: DataFrame, count: str, most: int) -> pd.DataFrame:
-    """The rows of the largest counts, ``most`` at most, for a broadcast. Where to stop is read from a histogram."""
-    step = F.floor(F.log2(count) * 16)
-    held, least = 0, None
-    for at, n in sorted(map(tuple, rows.groupBy(step).count().collect()), reverse=True):  # a thousand rows at most
-        if held + n > most:
-            break
-        held, least = held + n, at
-    found = rows.where(step >= least) if least is not None else rows.limit(0)
-    return found.toArrow().to_pandas()
+def differences(known: DataFrame, lost: int) -> DataFrame:
+    """The same, less what the suffix scores and a step back costs."""
+    shorter = known.select((F.col("n") + 1).alias("n"), F.col("gram").alias("suffix"), F.col("micro").alias("less"))
+    longer = known.where("n > 1").join(shorter, ["n", "suffix"]).withColumn("micro", F.col("micro") - F.col("less") - lost)
+    return known.where("n = 1").unionByName(longer.drop("less")).drop("suffix")
 
 
 def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, micro, score`` of every row under the model of all rows: the sum in millionths of a nat,
     and its mean for a word in nats."""
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    counted = cut(word_counts(docs, key, text), "word-counts")
-    total, size = counted.agg(F.sum("n")).first()[0] or 0, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    frequent = _frequent(counted, "n", HOT).sort_values(["n", "hash"], ascending=[False, True])
-    hot = frequent["hash"].to_numpy(np.int64).view(np.uint64)
-    places = spark.sparkContext.broadcast(hot)
-
-
-    class Coded:
-        def __init__(self) -> None:
-            self.code = _Codes(places.value)
-
-        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes = self.code(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], ["code", "n"])
-
-    words = cut(map_arrow(counted, "code long, n long", Coded), "words")
-    grams = cut(gram_counts(docs, hot, buckets, order, least, key, text), "grams")
-    free(spark, counted)
-    names = [f"w{k}" for k in range(order)]
-    levels = differences(words, grams, total, order, backoff)
-    free(spark, grams)
-    values = words.where("code < 0").select(F.col("code").alias("w0"), _micro(F.col("n") / F.lit(max(1, total))).alias("micro")).mapInArrow(_value_blocks(buckets, 1), _BLOCKS)
-    known = None
-    for n, level in enumerate(levels, 2):
-        values = values.unionByName(level.select(*names[:n], "micro").mapInArrow(_value_blocks(buckets, n), _BLOCKS))
-        wide = level.select(F.lit(n).alias("n"), *(F.col(w) if k < n else F.lit(0).cast("long").alias(w) for k, w in enumerate(names)), "micro", "count")
-        known = wide if known is None else known.unionByName(wide)
-    top = _frequent(known, "count", HOT_GRAMS).sort_values("count")
-    values = cut(values, "values")
-    free(spark, words, *levels)
-    single = np.floor(np.log(frequent["n"].to_numpy(float) / max(1, total)) * _MICRO + 0.5).astype(np.int64)
-    mixed = np.zeros(len(top), np.uint64)
-    for n in range(2, order + 1):
-        of = top["n"].to_numpy() == n
-        mixed[of] = _mixed([top[w].to_numpy(np.int64)[of].view(np.uint64) for w in names[:n]])
-    local = _Slots(mixed, top["micro"].to_numpy(np.int64), SLOTS)
-    shared = spark.sparkContext.broadcast((hot, single, local))
-    del top, mixed, local, known
+    spark = docs.sparkSession
+    read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.xxhash64(text, key).alias("tag"), words_of(F.col(text)).alias("words"))
+    counts = cut(gram_counts(grams(read, order), least), "counts")
+    values = cut(scores(counts), "scores")
+    free(spark, counts)
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
-
-    whole = kind in ("bigint", "int", "smallint", "tinyint")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents with what is known at once, and blocks of the grams that buckets must look up."""
-        hot, single, local = shared.value
-        code = _Codes(hot)
-        for nth, (keys, words) in enumerate(_portions(batches)):
-            made, codes, bits = _grams(words, order, code)
-            portion = f"{TaskContext.get().partitionId()}-{nth}"
-            sizes, sums = np.array([len(row) for row in words], np.int64), np.zeros(len(words), np.int64)
-            rows = []
-            for n in range(1, order + 1):
-                found, row = made[n]
-                sums += lost * np.bincount(row, minlength=len(words)) * (n > 1)
-                by, begin = _grouped(found)
-                if not len(begin):
-                    continue
-                unique, counts = found[by[begin]], np.diff(begin, append=len(found))
-                columns = _columns(unique, n, bits, codes)
-                if n == 1:
-                    here = columns[0] < len(single)
-                    micro = single[np.where(here, columns[0], 0).astype(np.int64)] if len(single) else np.zeros(len(unique), np.int64)
-                else:
-                    here, micro = local(_mixed(columns))
-                np.add.at(sums, row[by], np.repeat(np.where(here, micro, 0), counts))
-                row = row[by].astype(np.uint32)
-                rest = np.flatnonzero(~here)
-                if not len(rest):
-                    continue
-                columns = [c[rest] for c in columns]
-                for b, at in _by_bucket(columns, buckets):
-                    n_of, start = counts[rest[at]], begin[rest[at]]
-                    within = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-                    rows.append((portion, b, n, len(at), int(n_of.sum()), _pack_grams([c[at] for c in columns], n_of.astype(np.uint32), row[np.repeat(start, n_of) + within])))
-            own = _sealed(pa.array(keys, pa.int64() if whole else pa.string()), sizes, sums)
-            rows.append((portion, xxhash.xxh3_64_intdigest(portion) % buckets, 0, 0, 0, own))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["portion", "bucket", "n", "size", "total", "data"])
-
-    blocks = _read(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long" if whole else "string"))
-    blocks = blocks.mapInArrow(explode, "portion string, bucket int, n int, size long, total long, data binary")
-
-    def look(group: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """Of each block the sums of its documents; rows of documents pass through."""
-        out = [(portion, -1, data) for portion, n, data in zip(asked["portion"], asked["n"], asked["data"], strict=True) if n == 0]
-        for n in range(1, order + 1):
-            part, mine = asked[asked["n"] == n], held[held["n"] == n]
-            if not len(part) or not len(mine):
-                continue
-            parts = [_unpack_grams(data, size, n, (size, np.int64)) for size, data in zip(mine["size"], mine["data"], strict=True)]
-            *codes, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-            mixed = _mixed(codes)
-            by = np.argsort(mixed)
-            mixed, values = mixed[by], values[by]
-            for portion, size, all_of, data in zip(part["portion"], part["size"], part["total"], part["data"], strict=True):
-                *columns, n_of, row = _unpack_grams(data, size, n, (size, np.uint32), (all_of, np.uint32))
-                key = _mixed(columns)
-                at = np.minimum(np.searchsorted(mixed, key), len(mixed) - 1)
-                there = mixed[at] == key
-                if there.any():
-                    sums = np.bincount(row, np.repeat(np.where(there, values[at], 0), n_of).astype(float)).astype(np.int64)  # below 2 ** 53
-                    rows = np.flatnonzero(sums)
-                    out.append((portion, len(rows), _pack(rows.astype(np.uint32), sums[rows])))
-        return pd.DataFrame(out, columns=["portion", "size", "data"])
-
-    def add(found: pa.Table) -> pa.Table:
-        sizes, data = found.column("size").to_pylist(), found.column("data").to_pylist()
-        docs = pa.ipc.open_stream(data[sizes.index(-1)]).read_all()
-        sums = docs.column("micro").to_numpy().copy()
-        for size, packed in zip(sizes, data, strict=True):
-            if size > 0:
-                rows, more = _unpack(packed, (size, np.uint32), (size, np.int64))
-                sums[rows] += more
-        return docs.set_column(2, "micro", pa.array(sums))
-
-    found = values.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(look, "portion string, size long, data binary")
-    sums = found.groupBy("portion").applyInArrow(add, f"doc_id {'long' if whole else 'string'}, n_words long, micro long")
-    return sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "micro", F.when(F.col("n_words") > 0, F.col("micro") / _MICRO / F.col("n_words")).alias("score"))
+    asked = grams(read, order, longest=least <= 1)
+    if least > 1:
+        values = differences(values, lost)
+    # Equal rows are summed together; ``said``, their words, tells how many they are.
+    found = asked.join(values, ["n", "gram"]).groupBy(*_ROW).agg(F.sum("micro").alias("total"), F.count_if(F.col("n") == 1 if least > 1 else F.lit(True)).alias("said"))
+    rows = read.select("doc_id", *_ROW, F.size("words").cast("long").alias("n_words")).join(found, _ROW, "left")
+    n = F.col("n_words")
+    micro = F.when(n > 0, F.expr("total div (said div n_words)")).otherwise(0)
+    if least > 1:
+        steps = sum((F.greatest(n - k, F.lit(0)) for k in range(1, order)), F.lit(0))
+        micro = micro + lost * steps
+    return rows.select("doc_id", "n_words", micro.cast("long").alias("micro")).withColumn("score", F.when(n > 0, F.col("micro") / _MICRO / n))
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under the model of all n-grams, those that occur once too (``ORACLE`` still prunes them; see REPLY_r01.md)."""
-    return score(table(spark, sf_dir, "documents"), least=1)
+    """Under the model of all n-grams of the documents."""
+    return score(table(spark, sf_dir, "documents"))
 
 
 def _oracle(order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> str:
