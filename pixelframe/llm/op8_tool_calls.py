@@ -5,7 +5,8 @@ its depth is the number of calls that must come before it, so (depth, turn, call
 come from pointer doubling: each round joins every call with the call that it points to and takes over its pointer,
 so a chain of n calls takes log2(n) joins, whichever conversation it is in, and no conversation is held by one task.
 Arguments are checked against the tool's schema, and each link is written as canonical JSON: sorted keys, no spaces,
-whole numbers without a fraction, everything but quotes, backslashes and control characters as it is.
+whole numbers without a fraction, everything but quotes, backslashes, control characters and halves of surrogate
+pairs as it is.
 
 ``status`` is linked, unanswered (no result), orphan (a result without a call), cyclic (its chain never ends) or
 unidentified (no identifier). Turns that are neither call nor result (system, other and null roles) each keep a row
@@ -13,6 +14,8 @@ with status message and a canonical record of role, content and turn. Calls of o
 ``n_calls`` counts them; results likewise. ``valid`` is null for orphans.
 
 Cases: null texts are JSON null, which a schema of strings rejects; empty and very long texts are kept whole;
+arguments that are no JSON (NaN and infinities too), hold numbers beyond a double, or are nested deeper than ``DEEPEST``
+are an error and stay in the record as the text that they are;
 repeated rows are counted; a null identifier links to nothing and keeps its row; a call after one that does not
 exist is a first call; other columns are ignored, whatever their names; empty tables give an empty result.
 """
@@ -21,14 +24,17 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, map_arrow, table
+from pixelframe.llm.common import cut, discard, map_arrow, table
 
+#: Levels of arrays and objects in arguments.
+DEEPEST = 200
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -40,7 +46,33 @@ def canonical(value: Any) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _whole(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 can't express, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _number(text: str) -> float:
+    if math.isinf(value := float(text)):
+        raise ValueError("beyond a double")
+    return value
+
+
+def _no_constant(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def parsed(text: str) -> Any:
+    """The value of a JSON text; what is no JSON or too deep is a ValueError."""
+    deep = most = 0
+    for bracket in re.findall(r"[\[{}\]]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text)):
+        deep += 1 if bracket in "[{" else -1
+        most = max(most, deep)
+    if most > DEEPEST:
+        raise ValueError("nested too deeply")
+    return json.loads(text, parse_float=_number, parse_constant=_no_constant)
 
 
 def _of_kind(value: Any, kind: str) -> bool:
@@ -81,19 +113,19 @@ def first_error(value: Any, schema: dict, at: str = "$") -> str | None:
 def depths(calls: DataFrame) -> DataFrame:
     """``call_id`` and ``depth`` (null in a cycle) of calls with a unique ``call_id`` and an ``after``."""
     known = calls.select(F.col("call_id").alias("after"))
-    at = cut(calls.select("call_id", "after").join(known.withColumn("there", F.lit(1)), "after", "left").select("call_id", F.when(F.col("there") == 1, F.col("after")).alias("at"), F.coalesce("there", F.lit(0)).cast("long").alias("depth")), "pointers")
-    done, rounds = at.where("at is null").select("call_id", "depth"), math.ceil(math.log2(at.count() + 1)) + 1
-    active = at.where("at is not null")
-    for _ in range(rounds):
+    first = F.when(F.col("there") == 1, F.col("after"))
+    state = calls.select("call_id", "after").join(known.withColumn("there", F.lit(1)), "after", "left").select("call_id", first.alias("at"), F.coalesce("there", F.lit(0)).cast("long").alias("depth"))
+    state = cut(state, "pointers")
+    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
+        active = state.where("at is not null")
         if active.isEmpty():
             break
-        onward = at.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        moved = cut(active.join(onward, "at").select("call_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth")), "pointers")
-        done = done.unionByName(moved.where("at is null").select("call_id", "depth"))
-        # A pointer that has arrived stays; the others must find it under its own identifier in the next round.
-        at = moved.unionByName(done.withColumn("at", F.lit(None).cast("string")).join(moved.select("call_id"), "call_id", "left_anti").select("call_id", "at", "depth"))
-        active = moved.where("at is not null")
-    return done.unionByName(active.select("call_id", F.lit(None).cast("long").alias("depth")))
+        onward = state.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        moved = active.join(onward, "at").select("call_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        # A pointer that has arrived stays; the others find it under its own identifier in the next round.
+        before, state = state, cut(moved.unionByName(state.where("at is null")), "pointers")
+        discard(before)
+    return state.select("call_id", F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -119,12 +151,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             arguments, error = None, None
             if row["n_calls"]:
                 try:
-                    arguments = json.loads(row["arguments"] or "null")
+                    arguments = parsed(row["arguments"] or "null")
                     error = first_error(arguments, schemas[row["name"]]) if row["name"] in schemas else "unknown tool"
                 except ValueError:
                     arguments, error = row["arguments"], "not JSON"
             valid.append(error is None if row["n_calls"] else None)
-            errors.append(error)
+            errors.append(error and _whole(error))
             records.append(canonical({"arguments": arguments, "depth": row["depth"], "id": row["call_id"], "name": row["name"], "result": row["content"], "status": row["status"]}))
         kept = ["conv_id", "turn", "call_id", "status", "n_calls", "n_results", "depth"]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(records, pa.string())], [*kept, "valid", "error", "record"])
@@ -164,7 +196,7 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of the conversations (``ORACLE`` has users' and assistants' only; see REPLY_r01.md)."""
+    """Every turn of the conversations: calls with their results, and messages of other roles."""
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return link(*turns(conversations), REPLY).unionByName(messages(conversations))
 
@@ -185,4 +217,7 @@ SELECT conv_id, turn, call_id, status, n_calls, n_results, depth::BIGINT AS dept
          || ',"depth":' || coalesce(depth::VARCHAR, 'null') || ',"id":"' || call_id || '","name":' || CASE WHEN n_calls = 0 THEN 'null' ELSE '"reply"' END
          || ',"result":' || {_SAID.format("content")} || ',"status":"' || status || '"}}' AS record
 FROM j
+UNION ALL SELECT conv_id, turn, NULL, 'message', 0, 0, NULL, NULL, NULL,
+       '{{"content":' || {_SAID.format("text")} || ',"role":' || {_SAID.format("role")} || ',"status":"message","turn":' || coalesce(turn::VARCHAR, 'null') || '}}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
