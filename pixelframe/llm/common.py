@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,39 +12,49 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Texts are read whole, so a batch holds few of them.
+#: Rows that a step takes together. Texts are read whole, and what is made of them takes many times their size.
 BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """One output batch for each input batch. ``work`` may be a class: it is then made once a task."""
+    """One output batch for ``BATCH_ROWS`` input rows. ``work`` may be a class: it is then made once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work() if isinstance(work, type) else work
         for batch in batches:
-            out = step(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = step(batch.slice(at, BATCH_ROWS))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the session's Python process ends."""
+    """A new path in the shared folder; it goes when the session's Python process ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -65,10 +76,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote and lets Spark drop the shuffle files of what is no longer referred to."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
     for df in tables:
         for path in {str(name).rpartition("/")[0] for name in df.inputFiles()}:
-            _remove(spark, path)
+            _remove(df.sparkSession, path)
+
+
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Discards tables and lets Spark drop the shuffle files of what is no longer referred to."""
+    discard(*tables)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, map_arrow
+from pixelframe.llm.common import cut, map_arrow, spare
 from pixelframe.llm.op9_simhash import close_pairs, components, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -202,5 +202,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     marked = cut(map_arrow(docs.select(F.col(text), F.col(key), row), f"id {kind}, row long, node long, bits binary", _marks), "marks")
     named = cut(groups(marked, docs.select(row.alias("__row"), F.col(text).alias("__text"))), "groups")
     of = marked.join(named, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
-    chosen = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("__row")).distinct()
-    return docs.withColumn("__row", row).join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    own = spare(docs, "__row")
+    chosen = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias(own)).distinct()
+    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own]).drop(own)

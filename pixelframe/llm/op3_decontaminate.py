@@ -8,8 +8,8 @@ The set is broadcast only up to ``broadcast_limit`` windows (its size is counted
 by joining the windows of documents and items on their hash instead, aggregated to (document, window) before.
 
 Cases: null and empty texts have no words; an item without words has no window and never occurs; items with equal
-windows all count; repeated documents each get a row; other columns are ignored, whatever their names; without
-items nothing is hit; without documents the result is empty.
+windows all count; an item without an identifier hits words but is not among the items; repeated documents each get a
+row; other columns are ignored, whatever their names; without items nothing is hit; without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class WindowSet:
                 if items := self.items.get(tuple(flat[at : at + size].tolist())):
                     hit[at] += 1
                     hit[at + size] -= 1
-                    found[int(np.searchsorted(starts, at, "right")) - 1] |= items
+                    found[int(np.searchsorted(starts, at, "right")) - 1] |= items - {None}
         hit = np.cumsum(hit)[:-1] > 0
         return [(w, hit[at : at + len(w)], items) for at, w, items in zip(starts, words, found, strict=False)]
 
@@ -138,20 +138,24 @@ def _digest(items: set[int]) -> str:
 def _joined(docs: DataFrame, items: DataFrame, window: int, share: int, cleaned: bool) -> DataFrame:
     """The same for a benchmark of any size: windows meet in a shuffle, keyed by their own words."""
     words = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORD.pattern})"), F.lit(1))
-    key = lambda at, size: F.sha2(F.array_join(F.slice("words", at + 1, size), " "), 256)
+    held_in = lambda at, size: F.slice("words", at + 1, size)
+    # Two hashes of 64 bits: they stand for the words in the shuffle.
+    key = lambda at, size: [F.xxhash64(held_in(at, size)).alias("window"), F.xxhash64(F.lit(1), size, held_in(at, size)).alias("check")]
     items = items.select("item", words("said").alias("words")).where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
-    items = items.select("item", "size", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at")).select("item", "size", key(F.col("at"), F.col("size")).alias("window")).distinct()
+    items = items.select("item", "size", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at")).select("item", "size", *key(F.col("at"), F.col("size"))).distinct()
     # A document key need not be unique: the row gets a number of its own, from what it holds.
-    docs = docs.withColumn("row", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)).withColumn("words", words("text"))
+    own = ["row", "tag"]
+    docs = docs.withColumns({"row": F.xxhash64("doc_id", "text"), "tag": F.xxhash64("text", "doc_id"), "words": words("text")})
     lengths = [row[0] for row in items.select("size").distinct().collect()]  # at most as many as a window has words
-    unique = docs.dropDuplicates(["row"])
-    at = unique.select("row", "words", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("size")).where(F.size("words") >= F.col("size"))
-    at = at.select("row", "words", "size", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at")).select("row", "size", "at", key(F.col("at"), F.col("size")).alias("window"))
-    hits = at.join(items.select("size", "window").distinct(), ["size", "window"], "left_semi")
-    marked = hits.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"), F.collect_list("word").alias("hit"))
-    held = hits.select("row", "size", "window").distinct().join(items, ["size", "window"]).select("row", "item").distinct()
-    held = held.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ","), 256).alias("items_sha256"))
-    out = docs.join(marked, "row", "left").join(held, "row", "left").withColumn("n_words", F.size("words").cast("long")).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
+    unique = docs.dropDuplicates(own)
+    at = unique.select(*own, "words", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("size")).where(F.size("words") >= F.col("size"))
+    at = at.select(*own, "words", "size", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at")).select(*own, "size", "at", *key(F.col("at"), F.col("size")))
+    same = ["window", "check", "size"]
+    hits = at.join(items.select(*same).distinct(), same, "left_semi")
+    marked = hits.select(*own, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy(*own).agg(F.count("*").alias("n_hit"), F.collect_list("word").alias("hit"))
+    held = hits.select(*own, *same).distinct().join(items.where("item is not null"), same).select(*own, "item").distinct()
+    held = held.groupBy(*own).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ","), 256).alias("items_sha256"))
+    out = docs.join(marked, own, "left").join(held, own, "left").withColumn("n_words", F.size("words").cast("long")).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
     columns = ["doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest(set()))).alias("items_sha256"), "contaminated"]
     carried = ["carried"] if "carried" in docs.columns else []

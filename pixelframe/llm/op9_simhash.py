@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, map_arrow, table
+from pixelframe.llm.common import cut, map_arrow, spare, table
 
 SHINGLE = 3
 BUDGET = 2
@@ -232,8 +232,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     marked = cut(fingerprints(docs, key, text, shingle, row), "fingerprints")
     named = cut(_roots(marked, budget).select("bits", "root"), "roots")
     first = marked.join(named, "bits").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    chosen = first.select(F.col("first.row").alias("__row")).distinct()
-    return docs.withColumn("__row", row).join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    own = spare(docs, "__row")
+    chosen = first.select(F.col("first.row").alias(own)).distinct()
+    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
