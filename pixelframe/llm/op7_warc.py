@@ -1,9 +1,12 @@
 """Operator 7: WARC archives, written and read as a chunked record table.
 
-Writing: each task writes one ``.warc.gz`` file, a gzip member for each record. Of records with equal payloads of
-at least ``least_bytes`` bytes the one with the largest identifier is a response and the others revisit it.
-Reading: a record comes as rows of (record, chunk number), at most ``chunk_bytes`` of payload in each, with the
-digest of the payload up to there, so no record is ever held whole. A record's last chunk carries its full digest.
+Writing: payloads are cut into rows of (record, chunk number), at most ``CHUNK`` bytes in each, which follow one another
+in a partition; each task streams them into one ``.warc.gz`` file, a gzip member for each record, and carries the digest
+along. Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest identifier is a
+response and the others revisit it.
+Reading: a record comes as the same kind of rows, with the digest of the payload up to there. Python holds a few chunks
+at a time and never a whole record (the table's own reader gives a payload as one value). A record's last chunk
+carries its full digest.
 
 Files lie in the folder that spark.checkpoint.dir names and are opened through pyarrow's file systems. A task that
 runs again writes a file of a new name, and only files that the finished tasks name are read.
@@ -49,44 +52,63 @@ def assign(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
     return rows.select("page_id", "url", "html", "digest", F.when(F.octet_length("html") < least_bytes, None).when((F.col("page_id") < F.col("last")) | F.col("page_id").isNull(), F.col("last")).alias("refers_to"))
 
 
-def write(records: DataFrame, folder: str, compress: int = 1) -> DataFrame:
+def chunk_rows(records: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+    """What assign() gives as ``page_id, url, digest, refers_to, bytes, chunk, last, payload``: the chunks of a record in
+    their order, one after another. A revisit has one chunk of no bytes. Nothing is shuffled."""
+    rows = records.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit(b"")))
+    chunks = F.greatest(F.ceil(F.octet_length("html") / chunk_bytes), F.lit(1)).cast("int")
+    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("page_id", "url", "digest", "refers_to", "bytes", "chunk", (F.col("chunk") == F.col("chunks") - 1).alias("last"), F.expr(f"substring(html, chunk * {chunk_bytes} + 1, {chunk_bytes})").alias("payload"))
+
+
+def write(records: DataFrame, folder: str, compress: int = 1, chunk_bytes: int = CHUNK) -> DataFrame:
     """Writes what assign() gives; returns ``file`` and ``records`` of each file, once all are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _store(folder)
-        out, name, n = None, f"{at}/{uuid.uuid4().hex}.warc.gz", 0
+        out, record, name, n = None, None, f"{at}/{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                *head, last, payload = (column[k] for column in batch.columns)
                 if out is None:
                     store.create_dir(at)
                     out = store.open_output_stream(name, compression=None)
-                _write_record(out, row, compress)
-                n += 1
+                if record is None:
+                    record = _Record(out, *(x.as_py() for x in head[:5]), compress)
+                record.add(payload.as_buffer())
+                if last.as_py():
+                    record.end()
+                    record, n = None, n + 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
-    return cut(records.mapInArrow(run, "file string, records long"), "warc-files")
-
-
-def _write_record(out, row: dict, compress: int) -> None:
-    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-    page, refers = row["page_id"], row["refers_to"]
-    kind, payload = ("response", row["html"]) if refers is None else ("revisit", b"")
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    url = "".join((row["url"] or "").split())
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page is None else page}", f"X-Payload-Length: {len(row['html'])}",
-    ]
-    if refers is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
-    packer = zlib.compressobj(compress, zlib.DEFLATED, 31)
-    out.write(packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http))
-    for begin in range(0, len(payload), CHUNK):
-        out.write(packer.compress(payload[begin : begin + CHUNK]))
-    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+    return cut(chunk_rows(records, chunk_bytes).mapInArrow(run, "file string, records long"), "warc-files")
+
+
+class _Record:
+    """A gzip member that is being written, and the digest of what it has of its payload so far."""
+
+    def __init__(self, out, page: int | None, url: str | None, digest: str, refers: int | None, size: int, compress: int) -> None:
+        self.out, self.packer, self.digest, self.declared, self.own = out, zlib.compressobj(compress, zlib.DEFLATED, 31), hashlib.sha1(), digest, refers is None
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+        head = [
+            "WARC/1.1", f"WARC-Type: {'response' if self.own else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {''.join((url or '').split())}",
+            f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Page-ID: {'' if page is None else page}", f"X-Payload-Length: {size}",
+        ]
+        if not self.own:
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers}"]
+        head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + size * self.own}"]
+        out.write(self.packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http))
+
+    def add(self, chunk) -> None:
+        self.digest.update(chunk)
+        self.out.write(self.packer.compress(chunk))
+
+    def end(self) -> None:
+        if self.own and self.digest.hexdigest() != self.declared:
+            raise ValueError("the chunks of a record are not those of its payload")
+        self.out.write(self.packer.compress(b"\r\n\r\n") + self.packer.flush())
 
 
 class _Bytes:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 from collections import Counter
 
@@ -102,12 +103,39 @@ def test_repeated_bytes_against_brute_force(spark, tables, threshold):
         assert row.n_spans == sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
 
 
-def test_archives_round_trip(spark):
-    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "v", "x" * 700_000), (5, "w", "")], "page_id long, url string, html string")
-    rows = {r.page_id: r for r in op7.archive(pages).collect()}
-    assert [(k, rows[k].record_type, rows[k].refers_to, rows[k].payload_bytes) for k in sorted(rows)] == [
-        (1, "revisit", 2, 4), (2, "response", None, 4), (3, "revisit", 5, 0), (4, "response", None, 700_000), (5, "response", None, 0),
-    ]
+def test_archives_against_brute_force(spark, tables):
+    pages = spark.read.parquet(f"{tables}/pages.parquet").select("page_id", "html").collect()
+    last = {}
+    for page, html in sorted((r.page_id, r.html or "") for r in pages):
+        last[html] = page
+    expected = []
+    for page, html in ((r.page_id, r.html or "") for r in pages):
+        digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        expected.append((page, len(html.encode()), digest, *(("response", None) if last[html] == page else ("revisit", last[html]))))
+    got = op7.op7_warc(spark, tables).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_archives_keep_payloads_in_chunks(spark, tmp_path):
+    held = {1: "same", 2: "same", 3: None, 4: "x\r\n\r\n" * 2000, 5: "", 6: "é" * 7}
+    pages = spark.createDataFrame([(k, "u v", x) for k, x in held.items()], "page_id long, url string, html string").repartition(2)
+    folder = f"file://{tmp_path}/warc"
+    rows = op7.read(op7.write(op7.assign(pages), folder, chunk_bytes=100), folder, chunk_bytes=64).collect()
+    for page, kind, refers in ((1, "revisit", 2), (2, "response", None), (3, "revisit", 5), (4, "response", None), (5, "response", None), (6, "response", None)):
+        own = sorted((r for r in rows if r.page_id == page), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and all(len(r.payload) <= 64 for r in own) and [r.last for r in own] == [False] * (len(own) - 1) + [True]
+        assert {(r.record_type, r.refers_to) for r in own} == {(kind, refers)}
+        payload = b"".join(r.payload for r in own)
+        assert payload == ((held[page] or "").encode() if kind == "response" else b"")
+        assert own[-1].digest_so_far == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def test_archives_of_odd_rows(spark):
+    rows = [(1, "u", "same", 0), (1, "u", "same", 0), (2, "u", "same", 0), (None, None, "same", 0), (None, None, "alone", 0), (3, None, None, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in op7.archive(pages).collect()), key=repr)
+    assert got == sorted([(1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (None, "response", None), (3, "response", None)], key=repr)
+    assert op7.archive(pages.limit(0)).count() == 0
 
 
 def test_chains_cycles_and_orphans(spark):
