@@ -1,20 +1,22 @@
 """Operator 6: exact substring dedup by distributed prefix doubling.
 
-Bytes are removed that a string of ``threshold`` bytes covers which also starts anywhere else. Positions are named
-by what follows them, in rounds of growing length. In each round Spark sorts the names together, and positions
-whose name is unique drop out, until the names are as long as the threshold:
-
-1. Each string of ``threshold`` bytes has one anchor: the place of the least 8-byte hash in its first quarter, which
-   its content alone decides. Only anchors are named at first, by the three quarters that follow (about one position
-   in fifty). If an anchor's name is unique, so are all strings of that anchor.
-2. Anchors that remain are named by all that their strings cover. Is such a name not unique, then all its strings
-   are repeated, and they are settled together.
-3. The strings of the anchors that are left, at the edges of repeated passages, are named one by one with the pair
-   of names of their halves. One anchor of each settled name takes part, so that they meet what has been settled.
-
-Names are hashes, not sorted numbers: equality is all that is asked, and so a round costs one sort instead of two.
-Names that decide (rounds 2 and 3) have 128 bits. Nothing is grouped without being counted first, and the joins with
-the counts are plain equi-joins, which Spark splits where a name is frequent.
+Bytes are removed that a string of ``threshold`` bytes covers which also starts anywhere else. Positions are ranked
+by what follows them, in rounds that double the length: each round pairs a position's rank with the rank of what stands
+at the offset reached so far, Spark sorts the pairs together, a pair's name is the new rank, and positions whose pair is
+unique drop out, until the length is past the threshold.
+
+1. Not every position is ranked. Each string of ``threshold`` bytes has one anchor: the place of the least 8-byte hash
+   in its first quarter, which its content alone decides. Only anchors (about one position in fifty) take part in the
+   rounds, by the three quarters that follow them, in four blocks: lengths are one block, two and four. If an anchor's
+   rank is unique, so are all strings of that anchor.
+2. Anchors that remain are paired with the name of all that their strings cover. Is such a pair not unique, then all its
+   strings are repeated, and they are settled together.
+3. The strings of the anchors that are left, at the edges of repeated passages, are ranked one by one by the pair of
+   names of their halves. One anchor of each settled name takes part, so that they meet what has been settled.
+
+Ranks are names, equal or not, and hashes instead of sorted numbers, so a round costs one sort instead of two. Those that
+decide have 128 bits. Nothing is grouped without being counted first, and the joins with the counts are plain
+equi-joins, which Spark splits where a name is frequent.
 
 With ``words`` the positions are those of words (runs of anything but ASCII white space) and ``threshold`` counts words:
 texts are then read as rows of 64-bit hashes of their words, and what goes are the bytes from the first to the last word.
@@ -107,23 +109,35 @@ def _units(texts: pa.Array, unit: int) -> list[bytes]:
     return [word_codes(text) for text in texts.to_pylist()] if unit == _WORD else texts.to_pylist()
 
 
-def _anchor_rows(threshold: int, unit: int):
+#: Blocks of what follows an anchor, by the name of each; rounds rank one, two and four of them.
+_BLOCKS = ("n0", "n1", "n2", "n3")
+_ANCHORS = ", ".join(f"{n} long" for n in _BLOCKS) + ", whole long, key long, tag int, lo int, hi int"
+
+
+def _anchor_rows(threshold: int, unit: int, first_only: bool = False):
+    """Rows of _ANCHORS, or the first block's names alone."""
     tail = threshold - threshold // 4 + 1
+    edges = [unit * (tail * k // len(_BLOCKS)) for k in range(len(_BLOCKS) + 1)]
+    blocks = list(zip(edges[:-1], edges[1:], strict=True))[: 1 if first_only else None]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, name = _units(batch.column(2), unit), xxhash.xxh3_64_intdigest
-        short, whole, found = [], [], []
+        texts, name = _units(batch.column(batch.num_columns - 1), unit), xxhash.xxh3_64_intdigest
+        names, whole, found = [[] for _ in blocks], [], []
         for part in _portions(texts):
             for row, (text, places) in enumerate(zip(texts[part], anchors(texts[part], threshold, unit), strict=True), part.start):
-                view = memoryview(text)
-                for q, lo, hi in places.tolist():
-                    short.append(name(view[q * unit : (q + tail) * unit]))
-                    whole.append(name(view[lo * unit : (hi + threshold) * unit], q - lo))
-                found.append(np.column_stack([np.full(len(places), row), places[:, 1:]]))
+                view, at = memoryview(text), [q * unit for q in places[:, 0].tolist()]
+                for out, (begin, end) in zip(names, blocks, strict=True):
+                    out += [name(view[q + begin : q + end]) for q in at]
+                if not first_only:
+                    whole += [name(view[lo * unit : (hi + threshold) * unit], q - lo) for q, lo, hi in places.tolist()]
+                    found.append(np.column_stack([np.full(len(places), row), places[:, 1:]]))
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        if first_only:
+            return pa.RecordBatch.from_arrays([signed(names[0])], ["n0"])
         at = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         rows = pa.array(at[:, 0])
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([signed(short), signed(whole), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[:, 1].astype(np.int32)), pa.array(at[:, 2].astype(np.int32))], ["short", "whole", "key", "tag", "lo", "hi"])
+        columns = [*map(signed, names), signed(whole), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[:, 1].astype(np.int32)), pa.array(at[:, 2].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [*_BLOCKS, "whole", "key", "tag", "lo", "hi"])
 
     return work
 
@@ -154,16 +168,23 @@ def _twice(rows: DataFrame, *name: str) -> DataFrame:
 def _rounds(keyed: DataFrame, threshold: int, unit: int = 1) -> DataFrame:
     """``key, tag, ranges``: for each text with repeated strings, the first and last starts of runs of them."""
     spark = keyed.sparkSession
-    first = cut(map_arrow(keyed, "short long, whole long, key long, tag int, lo int, hi int", _anchor_rows(threshold, unit)), "anchors")
-    second = cut(first.join(_twice(first, "short"), "short"), "survivors")
-    free(spark, first)
+    # Round 1: one block. Texts are read twice, which is less than writing an anchor table that hardly anything is left of.
+    names = map_arrow(keyed.select("bytes"), "n0 long", _anchor_rows(threshold, unit, True))
+    second = cut(map_arrow(keyed, _ANCHORS, _anchor_rows(threshold, unit)).join(_twice(names, "n0"), "n0"), "ranks")
+    free(spark)
+    # Rounds 2 and 3: the rank so far, and that of as much again behind it.
+    for more in (("n1",), ("n2", "n3")):
+        before = second.withColumn("n0", F.xxhash64("n0", *more)).drop(*more)
+        second = cut(before.join(_twice(before, "n0"), "n0"), "ranks")
+        free(spark, before)
+    second = second.withColumnRenamed("n0", "short")
 
     marked = cut(second.join(_twice(second, "short", "whole").withColumn("settled", F.lit(True)), ["short", "whole"], "left"), "marked")
     free(spark, second)
     settled, left = marked.where("settled"), marked.where("settled is null")
     # Where a settled anchor may meet one that is left, one anchor of its name stands for all.
-    met = settled.join(left.select("short").distinct(), "short", "left_semi")
-    one_each = met.groupBy("short", "whole").agg(F.min(F.struct("key", "tag", "lo", "hi")).alias("spot"))
+    one_each = settled.groupBy("short", "whole").agg(F.min(F.struct("key", "tag", "lo", "hi")).alias("spot"))
+    one_each = one_each.join(left.select("short").distinct(), "short", "left_semi")
     ask = left.select("key", "tag", "lo", "hi").unionByName(one_each.select("spot.*"))
     asked = ask.groupBy(*_ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     third = cut(map_arrow(keyed.join(asked, _ROW).select("key", "tag", "bytes", "ranges"), "left long, right long, key long, tag int, at int", _string_rows(threshold, unit)), "strings")
