@@ -2,11 +2,13 @@
 
 Vectors are dealt to shards of a bounded size by a hash. A shard's tree splits at the median of the widest side, and
 each node has a tight bounding box, from which follows the most that a query can score below it. A query walks a
-tree best first and leaves out nodes that can't reach its kth score. It starts in one shard; the kth score found
-there goes with it to all others. Ties go to the smaller identifier, so a node is left out only if it scores less.
+tree best first and leaves out nodes that can't reach its kth score. It starts in one shard, its home, to which it alone
+is sent; the kth score found there goes with it to all others. Ties go to the smaller identifier, so a node is left out
+only if it scores less.
 
 Equal vectors score alike: a vector keeps its k + 1 smallest identifiers (one may be the query's own), so copies
-are stored once and lose nothing. Queries come in blocks of a bounded size.
+are stored once and lose nothing. A shard is written once, as one row. After the home visit queries come to the shards
+in broadcast blocks of ``BLOCK_BYTES`` at most: each pass reads the shards again, and only what is found is shuffled.
 
 Cases: null vectors and those that hold null or non-finite components take no part, nor do rows without an
 identifier; repeated rows count once; shorter vectors count as ending in zeros; with fewer than k candidates all
@@ -16,18 +18,19 @@ are returned; other columns are ignored, whatever their names; an empty table gi
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, table
+from pixelframe.llm.common import cut, discard, table
 
 K = 5
-#: Distinct vectors in a shard and queries in a block: what a task holds.
+#: Distinct vectors in a shard, and bytes of the queries (8 for a component) in a broadcast: what a task holds.
 SHARD = 8192
-BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 LEAF = 64
 FOUND = "query_id long, vec_id long, score long"
 
@@ -92,51 +95,73 @@ class Tree:
         return best
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), np.int64)
     for row, vector in enumerate(vectors):
         out[row, : len(vector)] = vector
     return out
 
 
-def _searched(k: int, leaf: int):
-    def run(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(held) and len(asked):
-            width = int(max(held["v"].map(len).max(), asked["v"].map(len).max()))
-            points, queries = _matrix(held["v"], width), _matrix(asked["v"], width)
-            most = float(np.abs(points.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * width
-            kind = np.float64 if most < 2**53 else object  # either is exact
-            tree, ids = Tree(points.astype(kind), leaf), held["ids"].tolist()
-            for at in range(0, len(queries), 256):
-                part = queries[at : at + 256].astype(kind)
-                for query, bounds, own, kth in zip(part, tree.bounds(part), asked["query_id"][at:], asked["kth"][at:], strict=False):
-                    best = tree.search(query, bounds, own, ids, k, None if pd.isna(kth) else int(kth))
-                    found += [(own, -negative, score) for score, negative in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    return run
-
-
-def top_k(vectors: DataFrame, asked: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def _search(held: list[dict], asked: list[dict], k: int, leaf: int) -> Iterator[pa.RecordBatch]:
+    """What queries (query_id, v, kth) find among the vectors (v, ids) of a shard."""
+    if not held or not asked:
+        return
+    width = max(len(row["v"]) for rows in (held, asked) for row in rows)
+    points = _matrix([row["v"] for row in held], width)
+    largest = float(np.abs(points.astype(float)).max(initial=0)) * max((abs(float(x)) for row in asked for x in row["v"]), default=0.0) * width
+    kind = np.float64 if largest < 2**53 else object  # either is exact
+    tree, ids = Tree(points.astype(kind), leaf), [row["ids"] for row in held]
+    for at in range(0, len(asked), 256):
+        part = asked[at : at + 256]
+        queries = _matrix([row["v"] for row in part], width).astype(kind)
+        found = [
+            (row["query_id"], -negative, score)
+            for row, query, bounds in zip(part, queries, tree.bounds(queries), strict=True)
+            for score, negative in tree.search(query, bounds, row["query_id"], ids, k, row["kth"])
+        ]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard: int = SHARD, block_bytes: int = BLOCK_BYTES, leaf: int = LEAF) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows for each row for which ``asked`` (of vec_id) holds."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
     ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     held = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
-    queries = cut(rows.where(asked).select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
-    shards, blocks = max(1, -(-held.count() // shard)), max(1, -(-queries.count() // block))
-    held = held.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(shards)).cast("int"))
-
-    def visit(queries: DataFrame) -> DataFrame:
-        return held.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(_searched(k, leaf), FOUND)
-
-    first = cut(visit(queries.select("query_id", "v", "block", F.col("home").alias("shard"), F.lit(None).cast("long").alias("kth"))), "home")
-    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).drop("n")
-    onward = queries.join(reached, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    found = first.unionByName(visit(onward.select("query_id", "v", "block", "shard", "kth")))
+    queries = rows.where(asked).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    shards = max(1, -(-held.count() // shard))
+    home = F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(shards)).cast("int")
+    queries = cut(queries.withColumn("home", home), "queries")
+    trees = cut(held.groupBy(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("v", "ids")).alias("held")), "shards")
+    discard(held)
+
+    def visit_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held, asked = (batch.column(c)[row].as_py() for c in range(2))
+                yield from _search(held, asked, k, leaf)
+
+    homes = queries.groupBy("home").agg(F.collect_list(F.struct("query_id", "v", F.lit(None).cast("long").alias("kth"))).alias("asked"))
+    found = cut(trees.join(homes, F.col("shard") == F.col("home")).select("held", "asked").mapInArrow(visit_home, FOUND), "found")
+
+    reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).drop("n")
+    width, n = queries.agg(F.max(F.size("v")), F.count("*")).first()
+    blocks = max(1, -(-n * 8 * max(1, width or 0) // block_bytes)) if shards > 1 else 0
+    onward = cut(queries.join(reached, "query_id", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))), "onward")
+    for nth in range(blocks):
+        sent = spark.sparkContext.broadcast(onward.where(F.col("block") == nth).drop("block").toArrow().to_pylist())
+
+        def visit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    at = batch.column(0)[row].as_py()
+                    yield from _search(batch.column(1)[row].as_py(), [q for q in sent.value if q["home"] != at], k, leaf)
+
+        found = found.unionByName(cut(trees.mapInArrow(visit, FOUND), "found"))
+        sent.unpersist()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -153,7 +153,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFr
         step = min(STEP, 64 - depth)
         depth += step
         below = distinct.groupBy(_prefix(F.col("bits"), depth).alias("child")).agg(F.count("*").alias("n"))
-        left = below.select(F.col("child").alias("cu"), F.col("n").alias("cn"), (_prefix(F.col("child"), 64 - step) if depth > step else F.lit(0).cast("long")).alias("u"))
+        left = below.select(F.col("child").alias("cu"), F.col("n").alias("cn"), F.shiftrightunsigned("child", step).alias("u"))
         flips = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("off")) for m in range(1 << step)))
         mates = wide.join(left, "u").select("u", "v", "errors", "cu", "cn", F.inline(flips)).withColumn("errors", F.col("errors") + F.col("off")).where(F.col("errors") <= budget)
         low = F.lit((1 << step) - 1).cast("long")

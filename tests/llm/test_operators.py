@@ -75,7 +75,7 @@ def test_top_k_against_all_pairs_with_small_shards(spark):
     rows = [(k, [float((k * 7 + j * 13) % 11 - 5) / 16 for j in range(6)]) for k in range(120)] + [(200, None), (201, [float("nan")] * 6)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     whole = {k: [int(x * 256 // 1) for x in v] for k, v in rows[:120]}
-    got = op2.top_k(vectors, F.col("vec_id") % 50 == 0, shard=16, block=2, leaf=4).collect()
+    got = op2.top_k(vectors, F.col("vec_id") % 50 == 0, shard=16, block_bytes=96, leaf=4).collect()
     for q in (0, 50, 100):
         expected = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q)[:5]
         assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == expected
