@@ -5,12 +5,13 @@ Texts with equal sets collapse to one node. A node's fingerprint is a SimHash of
 each over the bits in an order of its own. The first ``bits`` levels allow no error, which is an equi-join on a prefix;
 below them pairs walk down together with the whole budget. The number of levels follows the number of nodes, so that
 some ``CROWD`` unrelated ones share a prefix, and the number of tries follows from the levels: a pair of similarity 0.8
-has no common prefix with a probability of ``MISSED``, and passes the budget of differing bits with some 0.0015; more
+has no common prefix with a probability of ``MISSED``, and passes the budget of differing bits with some 0.005; more
 similar pairs are missed less. Pairs within the budget are verified by the exact similarity of their texts.
 
-First each node meets one close node of each trie; then all close pairs that are not connected yet are verified, so no
-link that was found between two groups is left out. A prefix that many nodes share is cut into pieces of a bounded
-size, by group: pieces of one and the same group need not meet, and so a large group costs in proportion to its size.
+First each node meets the closest other node of each trie; then the closest of each group that it isn't connected with;
+then all close pairs that are still not connected are verified, so no link that was found between two groups is left
+out. A prefix that many nodes share is cut into pieces of a bounded size, by group: pieces of one and the same group need
+not meet, and so a large group costs in proportion to its size.
 
 Cases: null and empty texts are one node; texts of fewer words than a shingle are one shingle; repeated rows are one
 node; null identifiers are allowed; other columns are carried, whatever their names; an empty table stays empty.
@@ -27,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, map_arrow, spare
+from pixelframe.llm.common import cut, discard, free, map_arrow, spare
 from pixelframe.llm.op9_simhash import close_pairs, components, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words of 64 bits in a fingerprint; unrelated nodes that share a prefix; pairs of the least similarity without one.
-WORDS, CROWD, MISSED = 4, 256, 0.005
-#: Nodes of one prefix that a task holds together.
-PIECE = 4096
+#: Words of 64 bits in a fingerprint, and in the part of it that goes through the first round; unrelated nodes that share
+#: a prefix; pairs of the least similarity without one.
+WORDS, PART, CROWD, MISSED = 16, 8, 1024, 0.005
+#: Nodes of one prefix that a task holds together, and pairs below two trie nodes that are not worth a walk.
+PIECE, FEW = 4096, 1 << 16
 _STEPS = np.random.default_rng(43).integers(0, 1 << 63, WORDS, np.uint64)
 
 
@@ -67,9 +69,9 @@ def differing(similar: float = SIMILARITY) -> float:
 
 
 def _budget(bits: int) -> int:
-    """Differing bits among so many: three standard deviations above the average."""
+    """Differing bits among so many: three standard deviations above the average in one word, 2.6 in more."""
     p = differing()
-    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + (3 if bits <= 64 else 2.6) * math.sqrt(bits * p * (1 - p)))
 
 
 def tries(nodes: int) -> tuple[int, int]:
@@ -95,52 +97,87 @@ def _prefixes(levels: int, number: int):
         bits = np.unpackbits(fields, axis=1).astype(np.int64)
         prefix = np.concatenate([(bits[:, at] @ powers) * number + nth for nth, at in enumerate(places)])
         row = pa.array(np.tile(np.arange(len(fields)), number))
-        return pa.RecordBatch.from_arrays([pa.array(prefix), batch.column(0).take(row), batch.column(1).take(row)], ["prefix", "node", "bits"])
+        part = pa.array([x[: 8 * PART] for x in batch.column(1).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(prefix), batch.column(0).take(row), part.take(row)], ["prefix", "node", "bits"])
 
     return work
 
 
-def _pieces(spread: DataFrame, root: str) -> DataFrame:
+def _pieces(spread: DataFrame) -> DataFrame:
     """``prefix, part, held, root, one``: the nodes of a prefix in pieces; ``one`` tells that all are of one root."""
-    crowds = spread.groupBy("prefix", root).agg(F.count("*").alias("__own"))
-    totals = crowds.groupBy("prefix").agg(F.sum("__own").alias("__all")).where(F.col("__all") > PIECE)
-    large = crowds.where(F.col("__own") > PIECE // 2)
+    totals = cut(spread.groupBy("prefix").agg(F.count("*").alias("__all")).where(F.col("__all") > PIECE), "crowded")
     parts = lambda n: F.ceil(2 * F.col(n) / PIECE)
-    rows = spread.join(totals, "prefix", "left").join(large, ["prefix", root], "left")
-    own = F.xxhash64(root, F.pmod(F.xxhash64("node"), parts("__own")))
-    part = F.when(F.col("__all").isNull(), F.lit(0)).when(F.col("__own").isNotNull(), own).otherwise(F.pmod(F.xxhash64(root), parts("__all")))
-    rows = rows.select("prefix", part.alias("part"), F.col(root).alias("root"), F.struct("node", F.col(root).alias("root"), "bits").alias("held"))
-    return rows.groupBy("prefix", "part").agg(F.collect_list("held").alias("held"), F.min("root").alias("root"), (F.min("root") == F.max("root")).alias("one"))
-
-
-def _close(whole: bool):
-    """Pairs (a > b) of nodes of different roots within the budget: of each node one, or with ``whole`` all."""
-    first, every = _budget(64), _budget(64 * WORDS)
+    part = F.pmod(F.xxhash64("root"), parts("__all"))
+    rows = spread.join(totals, "prefix", "left")
+    if not totals.isEmpty():
+        crowds = spread.join(totals, "prefix").groupBy("prefix", "root").agg(F.count("*").alias("__own")).where(F.col("__own") > PIECE // 2)
+        rows = rows.join(cut(crowds, "crowds"), ["prefix", "root"], "left")
+        part = F.when(F.col("__own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("node"), parts("__own")))).otherwise(part)
+    rows = rows.select("prefix", F.coalesce(part, F.lit(0)).alias("part"), "root", F.struct("node", "root", "bits").alias("held"))
+    pieces = cut(rows.groupBy("prefix", "part").agg(F.collect_list("held").alias("held"), F.min("root").alias("root"), (F.min("root") == F.max("root")).alias("one")), "pieces")
+    free(spread.sparkSession)
+    return pieces
+
+
+def _meetings(pieces: DataFrame, first: bool) -> DataFrame:
+    """``held`` and ``other`` (null: itself) of the pieces to compare: all that may hold two groups, or with ``first``
+    each piece and the first of its prefix."""
+    alone = pieces.where("not one").select("held", F.lit(None).cast(pieces.schema["held"].dataType).alias("other"))
+    many = cut(pieces.groupBy("prefix").agg(F.count("*").alias("__n"), F.min("part").alias("__first")).where("__n > 1"), "split")
+    if many.isEmpty():
+        return alone
+    left = pieces.join(many, "prefix")
+    right = left.select("prefix", F.col("part").alias("p2"), F.col("held").alias("other"), F.col("root").alias("r2"), F.col("one").alias("o2"))
+    met = left.join(right, "prefix").where("part < p2 and not (one and o2 and root = r2)")
+    return alone.unionByName((met.where("part = __first") if first else met).select("held", "other"))
+
+
+def _columns(lists: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list begins and ends, and the nodes, roots and bits of all."""
+    flat = lists.flatten()
+    bits = flat.field("bits").cast(pa.binary(8 * words))
+    raw = np.frombuffer(bits.buffers()[1], np.uint64).reshape(-1, words)[bits.offset : bits.offset + len(bits)] if len(bits) else np.zeros((0, words), np.uint64)
+    sizes = np.array(lists.value_lengths().fill_null(0))
+    return np.concatenate([[0], np.cumsum(sizes)]), flat.field("node").to_numpy(), flat.field("root").to_numpy(), raw
+
+
+def _close(kind: str):
+    """Pairs (a > b) of nodes of different roots within the budget: of each node the ``closest``, the closest of
+    ``each`` root, or ``all``."""
+    words = PART if kind == "closest" else WORDS
+    first, every = _budget(64), _budget(64 * words)
+
+    def least(to: np.ndarray, by: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places of the least value of each (to, by)."""
+        order = np.lexsort((value, by, to))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (to[order][1:] != to[order][:-1]) | (by[order][1:] != by[order][:-1])
+        return order[fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for prefix, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [*left, *(right or ())]
-                node, root = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root"))
-                bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(-1, WORDS)
-                rank = np.argsort(np.argsort((node ^ np.int64(prefix)) * np.int64(-7046029254386353131), kind="stable"))
-                mine = [np.argsort(bits[: len(left), 0]), len(left) + np.argsort(bits[len(left) :, 0])]
-                a, b = mine[0], mine[0 if right is None else 1]
-                best = np.arange(len(rows))
-                for i, j in close_pairs(bits[a, 0], bits[b, 0], 0, 0, first, right is None):
+            (la, *left), (ra, *right) = _columns(batch.column(0), words), _columns(batch.column(1), words)
+            for k in range(batch.num_rows):
+                mine, other = slice(la[k], la[k + 1]), slice(ra[k], ra[k + 1])
+                same = ra[k] == ra[k + 1]
+                node, root, bits = (np.concatenate([x[mine], y[other]]) for x, y in zip(left, right, strict=True))
+                a = np.argsort(bits[: la[k + 1] - la[k], 0])
+                b = a if same else len(a) + np.argsort(bits[len(a) :, 0])
+                found = []
+                for i, j in close_pairs(bits[a, 0], bits[b, 0], 0, 0, first, same, FEW):
                     i, j = a[i], b[j]
-                    near = (root[i] != root[j]) & (np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= every)
-                    i, j = i[near], j[near]
-                    if whole and len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
-                    low, high = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
-                    better = np.lexsort((rank[low], high))[::-1]
-                    low, high = low[better], high[better]
-                    best[high] = np.where(rank[low] < rank[best[high]], low, best[high])
-                met = np.flatnonzero(best != np.arange(len(rows)))
-                if not whole and len(met):
-                    i, j = node[met], node[best[met]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
+                    far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    near = (root[i] != root[j]) & (far <= every)
+                    i, j, far = i[near], j[near], far[near]
+                    if kind != "all" and len(i):
+                        to, by = np.concatenate([i, j]), np.concatenate([j, i])
+                        own = least(to, root[by] if kind == "each" else np.zeros(len(by), np.int64), np.concatenate([far, far]))
+                        i, j = to[own], by[own]
+                    if len(i):
+                        found.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1))
+                if found:
+                    pairs = np.unique(np.concatenate(found), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -170,30 +207,26 @@ def _links(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node that has a similar one."""
+    spark = marked.sparkSession
     nodes = cut(marked.groupBy("node").agg(F.first("bits").alias("bits")), "nodes")
     spread = cut(map_arrow(nodes, "prefix long, node long, bits binary", _prefixes(*tries(nodes.count()))), "prefixes")
-    pairs = "a long, b long"
-
-    def self_met(pieces: DataFrame) -> DataFrame:
-        return pieces.select("prefix", "held", F.lit(None).cast(pieces.schema["held"].dataType).alias("other"))
-
-    def two_met(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-        many = pieces.join(pieces.groupBy("prefix").agg(F.count("*").alias("__n"), F.min("part").alias("__first")).where("__n > 1"), "prefix")
-        return many, many.select("prefix", F.col("part").alias("p2"), F.col("held").alias("other"), F.col("root").alias("r2"), F.col("one").alias("o2"))
-
-    pieces = cut(_pieces(spread, "node"), "pieces")
-    many, others = two_met(pieces)
-    star = self_met(pieces).unionByName(many.where("part = __first").join(others, "prefix").where("p2 <> part").select("prefix", "held", "other"))
-    star = cut(star.mapInArrow(_close(False), pairs).distinct(), "candidates")
-    first = _links(star, marked, docs)
-
-    placed = spread.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pieces = cut(_pieces(placed, "root"), "pieces")
-    many, others = two_met(pieces)
-    apart = many.join(others, "prefix").where("part < p2 and not (one and o2 and root = r2)").select("prefix", "held", "other")
-    found = self_met(pieces.where("not one")).unionByName(apart).mapInArrow(_close(True), pairs).distinct()
-    second = _links(cut(found.join(star, ["a", "b"], "left_anti"), "candidates"), marked, docs)
-    return components(first.unionByName(second))
+    linked = tried = None
+    for kind in ("closest", "each", "all"):
+        pieces = _pieces(spread.withColumn("root", F.col("node")) if linked is None else spread.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        pairs = _meetings(pieces, kind == "closest").mapInArrow(_close(kind), "a long, b long").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        if tried is None:
+            # A node that is close to no other, in whole prefixes, is so in all rounds.
+            active = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pieces.join(pieces.groupBy("prefix").count().where("count > 1"), "prefix").select(F.explode("held.node").alias("node")))
+            whole = cut(nodes.join(active.distinct(), "node", "left_semi"), "active")
+            before, spread = spread, cut(spread.select("prefix", "node").join(whole, "node"), "prefixes")
+            discard(before, nodes, whole)
+        free(spark, pieces)
+        links = _links(pairs, marked, docs)
+        linked = links if linked is None else linked.unionByName(links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        free(spark)
+    return components(linked)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

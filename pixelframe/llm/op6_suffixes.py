@@ -161,8 +161,8 @@ def _string_rows(threshold: int, unit: int):
 
 
 def _twice(rows: DataFrame, *name: str) -> DataFrame:
-    """The names that more than one row has."""
-    return rows.groupBy(*name).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    """The names that more than one row has; a table, so that Spark can split a join with it where a name is frequent."""
+    return cut(rows.groupBy(*name).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "names")
 
 
 def _rounds(keyed: DataFrame, threshold: int, unit: int = 1) -> DataFrame:

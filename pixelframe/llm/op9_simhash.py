@@ -85,9 +85,10 @@ class Forest:
                 self.label = up
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool):
+def close_pairs(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int, same: bool, few_pairs: int = 64):
     """Row numbers in sorted unsigned a and b of fingerprints within the budget, in portions. Both lie below trie
-    nodes at ``depth`` that differ in ``errors`` bits; with ``same`` they are one array, whose pairs come once."""
+    nodes at ``depth`` that differ in ``errors`` bits; with ``same`` they are one array, whose pairs come once.
+    Below nodes with ``few_pairs`` at most all are compared."""
     whole = np.array([[0, len(a), 0, len(b), errors]], np.int64)
     stack = [(depth, whole)] if len(a) and len(b) else []
     while stack:
@@ -96,7 +97,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: i
             stack += [(depth, pairs[at : at + _HELD]) for at in range(0, len(pairs), _HELD)]
             continue
         al, ah, bl, bh, e = pairs.T
-        few = ((ah - al) * (bh - bl) <= 64) | (depth == 64)
+        few = ((ah - al) * (bh - bl) <= few_pairs) | (depth == 64)
         yield from _compared(a, b, pairs[few], budget, same)
         al, ah, bl, bh, e = pairs[~few].T
         if not len(al):
