@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = 255.0
-#: Images in an Arrow batch: some 16 MB at 256 by 256.
-BATCH = 64
+#: Bytes of what a task makes that it sends on together.
+SENT = 16 << 20
 
 
 def flip(image: np.ndarray) -> np.ndarray:
@@ -313,6 +313,40 @@ def draw_landmarks(image: np.ndarray, points: list[tuple[str, int, int, int]], r
     return out
 
 
+def lab(image: np.ndarray) -> np.ndarray:
+    """L, a and b of the CIE space under D65 as bytes, as in operators.pixels.with_lab()."""
+    b, g, r = (np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4) for c in np.moveaxis(image / 255.0, -1, 0))
+    x, y, z = (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754
+    fx, fy, fz = (np.where(t > 0.008856, np.maximum(t, 1e-9) ** (1 / 3), 7.787 * t + 16 / 116) for t in (x, y, z))
+    light = np.where(y > 0.008856, 116 * fy - 16, 903.3 * y)
+    return np.clip(np.floor(np.stack([light * 255 / 100, 500 * (fx - fy) + 128, 200 * (fy - fz) + 128], -1) + 0.5), 0, 255).astype(np.int64)
+
+
+def line(image: np.ndarray, start: tuple[int, int], end: tuple[int, int], colour: tuple[int, int, int]) -> None:
+    """Draws a straight line from (x, y) to (x, y) into the image."""
+    n = max(abs(int(end[0]) - int(start[0])), abs(int(end[1]) - int(start[1]))) + 1
+    x, y = (np.rint(np.linspace(start[k], end[k], n)).astype(int) for k in range(2))
+    inside = (x >= 0) & (x < image.shape[1]) & (y >= 0) & (y < image.shape[0])
+    image[y[inside], x[inside]] = colour
+
+
+#: Colours (blue, green, red) of the curves of a histogram: b, g, r, L, a, b, hue, saturation, value.
+CURVES = [(255, 0, 0), (0, 128, 0), (0, 0, 255), (105, 105, 105), (255, 0, 255), (0, 255, 255), (226, 43, 138), (255, 255, 0), (0, 165, 255)]
+
+
+def histogram_chart(image: np.ndarray, mask: np.ndarray, height: int = 400, width: int = 700) -> np.ndarray:
+    """Curves of the nine channels' shares of the mask's pixels, by value from 0 at the left to 255 at the right."""
+    held = np.concatenate([image, lab(image), hsv(image)], -1)[mask].astype(np.int64)
+    shares = np.stack([np.bincount(held[:, k], minlength=256)[:256] / max(1, len(held)) for k in range(9)])
+    out, most = np.full((height, width, 3), 255, np.uint8), shares.max() or 1.0
+    out[height - 20, 20 : width - 20] = out[20 : height - 20, 20] = 0
+    x, y = 20 + np.arange(256) * (width - 40) // 255, height - 20 - np.rint(shares / most * (height - 40)).astype(int)
+    for colour, curve in zip(CURVES, y, strict=True):
+        for k in range(255):
+            line(out, (x[k], curve[k]), (x[k + 1], curve[k + 1]), colour)
+    return out
+
+
 def png(image: np.ndarray) -> bytes:
     """The image as a PNG file."""
     h, w = image.shape[:2]
@@ -328,19 +362,19 @@ def bmp(image: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, w, h, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
 
 
-def compose(image: np.ndarray, steps: list[tuple[str, dict[str, float]]], crop_seed: int) -> np.ndarray:
+KERNELS: dict[str, Callable[..., np.ndarray]] = {"Flip": flip, "Rotate": rotate, "Shear": shear, "Skew": skew, "Crop": crop, "Distortion": distortion}
+
+
+def compose(image: np.ndarray, steps: list[tuple[str, dict[str, float]]], crop_seed: int, known: dict[str, Callable[..., np.ndarray]] | None = None) -> np.ndarray:
     """The steps of a drawn plan in their order; crops share one stream of places."""
-    random = np.random.RandomState(crop_seed)
+    random, known = np.random.RandomState(crop_seed), KERNELS if known is None else known
     for name, values in steps:
-        image = crop(image, random=random, **values) if name == "Crop" else KERNELS[name](image, **values)
+        image = known[name](image, random=random, **values) if known[name] is crop else known[name](image, **values)
     return image
 
 
-KERNELS: dict[str, Callable[..., np.ndarray]] = {"Flip": flip, "Rotate": rotate, "Shear": shear, "Skew": skew, "Crop": crop, "Distortion": distortion}
-
-
 def register(name: str, kernel: Callable[..., np.ndarray]) -> None:
-    """Makes a kernel of one's own known to plans that are made afterwards."""
+    """Makes a kernel of one's own known to plans that are made afterwards: they take it to the tasks with them."""
     KERNELS[name] = kernel
 
 
@@ -349,18 +383,23 @@ def decoded(data: bytes, h: int, w: int) -> np.ndarray:
 
 
 def map_images(images: DataFrame, work: Callable[[np.ndarray, dict], Iterator[dict]], schema: str, carry: tuple[str, ...] = ("image_id", "class"), extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that ``work`` makes of each image (and its ``extra`` columns), with the columns to ``carry``."""
+    """Rows that ``work`` makes of each image (and its ``extra`` columns), with the columns to ``carry``. A task looks at
+    one image at a time and sends on what it has made by bytes."""
     own = ", ".join(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in carry)
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                image = decoded(row["data"], row["height"], row["width"])
-                rows += [{c: row[c] for c in carry} | out for out in work(image, row)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                for out in work(decoded(row["data"], row["height"], row["width"]), row):
+                    rows.append({c: row[c] for c in carry} | out)
+                    size += 64 + len(out.get("data") or b"")
+                    if size >= SENT:
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -371,11 +410,11 @@ def map_images(images: DataFrame, work: Callable[[np.ndarray, dict], Iterator[di
 
 
 def map_kernel(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | None], carry: tuple[str, ...] = ("image_id", "class")) -> DataFrame:
-    """Images that a kernel makes of images of the same size; where it gives None there is no row."""
+    """Images that a kernel makes of images; where it gives None there is no row."""
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
         if (out := kernel(image)) is not None:
-            yield {"height": row["height"], "width": row["width"], "data": np.ascontiguousarray(out, np.uint8).tobytes()}
+            yield {"height": out.shape[0], "width": out.shape[1], "data": np.ascontiguousarray(out, np.uint8).tobytes()}
 
     return map_images(images, work, "height int, width int, data binary", carry)
 

@@ -34,7 +34,7 @@ def leaf_masks(images: DataFrame) -> DataFrame:
 
 def largest_masks(images: DataFrame) -> DataFrame:
     """Masks of the largest object, filled; images without an object have none."""
-    return _masks(images, lambda image: kernels.largest(kernels.leaf_mask(image)))
+    return _masks(images, largest_mask)
 
 
 def objects(images: DataFrame) -> DataFrame:
@@ -52,18 +52,18 @@ def masked_image(image: np.ndarray) -> np.ndarray:
     return np.where(kernels.leaf_mask(image)[..., None], image, 0)
 
 
-def _with_largest(image: np.ndarray):
+def largest_mask(image: np.ndarray) -> np.ndarray | None:
     return kernels.largest(kernels.leaf_mask(image))
 
 
 def landmark_image(image: np.ndarray) -> np.ndarray | None:
-    mask = _with_largest(image)
+    mask = largest_mask(image)
     return None if mask is None else kernels.draw_landmarks(image, kernels.landmarks(mask))
 
 
 def analyzed_image(image: np.ndarray) -> np.ndarray | None:
-    """The largest object's outline and box drawn over the image."""
-    mask = _with_largest(image)
+    """The largest object's outline, hull, box and longest way across drawn over the image."""
+    mask = largest_mask(image)
     if mask is None:
         return None
     padded, out = np.pad(mask, 1), image.copy()
@@ -72,14 +72,26 @@ def analyzed_image(image: np.ndarray) -> np.ndarray | None:
     out[y : y + h, [x, x + w - 1]] = (255, 0, 255)
     out[[y, y + h - 1], x : x + w] = (255, 0, 255)
     out[mask & ~inner] = (255, 0, 0)
+    corners = kernels.hull(np.argwhere(mask)[:, ::-1])
+    for start, end in zip(corners, np.roll(corners, -1, 0), strict=True):
+        kernels.line(out, start, end, (255, 0, 255))
+    apart = ((corners[:, None] - corners[None]) ** 2).sum(-1)
+    start, end = np.unravel_index(int(apart.argmax()), apart.shape)
+    kernels.line(out, corners[start], corners[end], (0, 165, 255))
     return out
 
 
+def histogram_image(image: np.ndarray) -> np.ndarray | None:
+    """The chart of the largest object's channels; it has a size of its own."""
+    mask = largest_mask(image)
+    return None if mask is None else kernels.histogram_chart(image, mask)
+
+
 def traits(images: DataFrame) -> DataFrame:
     """Measures of the largest object of each image."""
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
-        if (mask := _with_largest(image)) is not None:
+        if (mask := largest_mask(image)) is not None:
             yield kernels.shape_traits(mask)
 
     return kernels.map_images(images, work, TRAITS)
@@ -89,7 +101,7 @@ def landmark_points(images: DataFrame, bands: int = kernels.BANDS) -> DataFrame:
     """``side, band, x, y`` of the largest object of each image."""
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
-        if (mask := _with_largest(image)) is not None:
+        if (mask := largest_mask(image)) is not None:
             yield from ({"side": s, "band": k, "x": x, "y": y} for s, k, x, y in kernels.landmarks(mask, bands))
 
     return kernels.map_images(images, work, "side string, band int, x int, y int")
@@ -97,20 +109,20 @@ def landmark_points(images: DataFrame, bands: int = kernels.BANDS) -> DataFrame:
 
 def histograms(images: DataFrame) -> DataFrame:
     """Nine-channel histograms of the largest object of each image."""
-    return pixels.histogram(pixels.pixels(images, largest_masks(images)), F.col("on"))
+    return pixels.histogram(pixels.pixels(images, largest_mask), F.col("on"))
 
 
-IMAGES = {"blur": kernels.blur, "mask": masked_image, "roi": kernels.roi, "analyze": analyzed_image, "pseudolandmarks": landmark_image}
+IMAGES = {"blur": kernels.blur, "mask": masked_image, "roi": kernels.roi, "analyze": analyzed_image, "pseudolandmarks": landmark_image, "histogram": histogram_image}
 
 
-def transform_all(images: DataFrame, transforms: tuple[str, ...] = TRANSFORMS) -> DataFrame:
-    """``transform, height, width, data`` of each image, the original first. Histograms are tables: see histograms()."""
-    chosen = [t for t in TRANSFORMS if t in transforms and t in IMAGES]
+def transform_all(images: DataFrame, transforms: tuple[str, ...] = TRANSFORMS, strength: int = 9) -> DataFrame:
+    """``transform, height, width, data`` of each image, the original first. For histograms as tables see histograms()."""
+    chosen = [t for t in TRANSFORMS if t in transforms]
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
         for name in ["original", *chosen]:
-            out = image if name == "original" else IMAGES[name](image)
+            out = image if name == "original" else kernels.blur(image, strength) if name == "blur" else IMAGES[name](image)
             if out is not None:
-                yield {"transform": name, "height": row["height"], "width": row["width"], "data": np.ascontiguousarray(out, np.uint8).tobytes()}
+                yield {"transform": name, "height": out.shape[0], "width": out.shape[1], "data": np.ascontiguousarray(out, np.uint8).tobytes()}
 
     return kernels.map_images(images, work, "transform string, height int, width int, data binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,28 +11,36 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import kernels
 
+#: Pixels in a batch.
+_PIXELS = 1 << 18
 
-def pixels(images: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """A row for each pixel, made image by image in numpy. With ``mask`` (image_id, height, width, data of one byte a
-    pixel) there is also ``on``."""
+
+def pixels(images: DataFrame, mask_of: Callable[[np.ndarray], np.ndarray | None] | None = None, sized: bool = False) -> DataFrame:
+    """A row for each pixel, made image by image in numpy; nothing is shuffled. With ``mask_of``, which gives an image's
+    mask or None for none, there is also ``on``, and images without a mask have no rows; with ``sized`` also ``width``."""
     kind = {c: images.schema[c].dataType.simpleString() for c in ("image_id", "class")}
-    rows, with_mask = images.select("image_id", "class", "height", "width", "data"), mask is not None
-    if with_mask:
-        rows = rows.join(mask.select("image_id", F.col("data").alias("mask")), "image_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 h, w, data = (batch.column(c)[k].as_py() for c in ("height", "width", "data"))
-                at, values = np.arange(h * w), np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-                same = pa.array(np.full(h * w, k))
-                out = [batch.column("image_id").take(same), batch.column("class").take(same), pa.array((at // w).astype(np.int32)), pa.array((at % w).astype(np.int32)), *(pa.array(values[:, c]) for c in range(3))]
-                names = ["image_id", "class", "y", "x", "b", "g", "r"]
-                if with_mask:
-                    out, names = [*out, pa.array(np.frombuffer(batch.column("mask")[k].as_py(), np.uint8) > 0)], [*names, "on"]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    return rows.mapInArrow(run, f"image_id {kind['image_id']}, class {kind['class']}, y int, x int, b int, g int, r int" + ", on boolean" * with_mask)
+                mask = mask_of(kernels.decoded(data, h, w)) if mask_of else None
+                if mask_of and mask is None:
+                    continue
+                values = np.frombuffer(data, np.uint8).reshape(-1, 3)
+                for begin in range(0, h * w, _PIXELS):
+                    at = np.arange(begin, min(begin + _PIXELS, h * w))
+                    same, part = pa.array(np.full(len(at), k)), values[at].astype(np.int32)
+                    out = [batch.column("image_id").take(same), batch.column("class").take(same), pa.array((at // w).astype(np.int32)), pa.array((at % w).astype(np.int32)), *(pa.array(part[:, c]) for c in range(3))]
+                    names = ["image_id", "class", "y", "x", "b", "g", "r"]
+                    if mask_of:
+                        out, names = [*out, pa.array(mask.ravel()[at] > 0)], [*names, "on"]
+                    if sized:
+                        out, names = [*out, pa.array(np.full(len(at), w, np.int32))], [*names, "width"]
+                    yield pa.RecordBatch.from_arrays(out, names)
+
+    rows = images.select("image_id", "class", "height", "width", "data")
+    return rows.mapInArrow(run, f"image_id {kind['image_id']}, class {kind['class']}, y int, x int, b int, g int, r int" + ", on boolean" * bool(mask_of) + ", width int" * sized)
 
 
 def _table(values: np.ndarray, at: Column) -> Column:
@@ -74,9 +82,8 @@ def masked(rows: DataFrame, on: Column) -> DataFrame:
 
 
 def flipped(rows: DataFrame) -> DataFrame:
-    """Mirrored left to right, with no more than a projection and the width of each image."""
-    widths = rows.groupBy("image_id").agg((F.max("x") + 1).alias("__w"))
-    return rows.join(widths, "image_id").withColumn("x", F.col("__w") - 1 - F.col("x")).drop("__w")
+    """Mirrored left to right: a projection of pixels with the ``width`` of their image."""
+    return rows.withColumn("x", F.col("width") - 1 - F.col("x"))
 
 
 #: Channel names of a histogram, and their columns.

@@ -20,89 +20,108 @@ PART = 64
 
 def class_distribution(spark: SparkSession, path: str) -> DataFrame:
     """``class, n, pct`` of a folder of class folders, or of a folder that holds images itself."""
-    direct = sources.scan_files(spark, path, names.DISTRIBUTION, recursive=False)
-    root = path.rstrip("/").rpartition("/")[2]
+    direct = sources.scan_files(spark, path, names.DISTRIBUTION, below=0)
     if not direct.isEmpty():
-        return stats.distribution(direct, root, direct)
-    classes = sources.classes_of(spark, path)
-    files = sources.scan_files(spark, path, names.DISTRIBUTION)
-    # Files right below a class folder count, deeper ones do not.
-    depth = F.size(F.split(F.regexp_replace("path", "^file:/+", "/"), "/")) == len(path.removeprefix("file://").rstrip("/").split("/")) + 2
-    return stats.shares(stats.class_counts(files.where(depth), classes=classes))
+        return stats.distribution(direct, sources.qualified(spark, path).rpartition("/")[2], direct)
+    files = sources.scan_files(spark, path, names.DISTRIBUTION, below=1)
+    return stats.shares(stats.class_counts(files, classes=sources.classes_of(spark, path)))
 
 
-def plan_outputs(files: DataFrame, target: int | None = None, seed: int | None = 42, methods: str | list[str] | None = None, n: int | None = None, basis: str = "raw") -> DataFrame:
+def plan_outputs(
+    files: DataFrame, target: int | None = None, seed: int | None = 42, methods: str | list[str] | None = None, n: int | None = None, basis: str = "raw",
+    pool: list[drawplan.Method] | None = None,
+) -> DataFrame:
     """``class, name, k, ordinal, output, methods, steps, crop_seed``: all copies to make.
 
-    With ``n`` every file gets so many; else each class is filled up to ``target``, or to the largest class."""
-    spark, fixed = files.sparkSession, drawplan.lookup(methods)
+    With ``n`` every file gets so many; else each class is filled up to ``target``, or to the largest class. (class,
+    name) tells files apart. Methods are drawn from ``pool``, and their kernels are those of kernels.register()."""
+    spark, fixed = files.sparkSession, drawplan.lookup(methods, pool)
     if n is not None:
         outputs, most = balance.variants(files, n), n
     else:
         deduped = balance.dedup(files)
         needs = balance.need(deduped, target, basis)
         outputs, most = balance.fan_out(balance.round_robin(deduped, needs)), needs.agg(F.max("need")).first()[0] or 0
-    return balance.named(outputs, drawplan.draw_plan(spark, most, seed, fixed))
+    return balance.named(outputs, drawplan.draw_plan(spark, most, seed, fixed, pool))
 
 
-def make(outputs: DataFrame, images: DataFrame) -> DataFrame:
+def make(outputs: DataFrame, images: DataFrame, pool: list[drawplan.Method] | None = None) -> DataFrame:
     """``class, name, output, methods, height, width, data``: the planned copies. An image meets its plan in parts of
     ``PART`` copies, so its bytes are sent once for many of them."""
+    known = kernels.KERNELS | {m.name: m.kernel for m in pool or [] if m.kernel}
     parts = outputs.groupBy("class", "name", F.expr(f"ordinal div {PART}").alias("part")).agg(F.collect_list(F.struct("output", "methods", "steps", "crop_seed")).alias("plan"))
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
         for p in row["plan"]:
             steps = [(s["name"], dict(s["values"])) for s in p["steps"]]
-            out = np.ascontiguousarray(kernels.compose(image, steps, p["crop_seed"]))
-            yield {"output": p["output"], "methods": p["methods"], "height": row["height"], "width": row["width"], "data": out.tobytes()}
+            out = np.ascontiguousarray(kernels.compose(image, steps, p["crop_seed"], known), np.uint8)
+            yield {"output": p["output"], "methods": p["methods"], "height": out.shape[0], "width": out.shape[1], "data": out.tobytes()}
 
     return kernels.map_images(images.join(parts, ["class", "name"]), work, "output string, methods array<string>, height int, width int, data binary", ("class", "name"), ("plan",))
 
 
 def augment(
     spark: SparkSession, path: str, dst: str | None = None, n: int = 6, target: int = 0, balanced: bool = False,
-    seed: int | None = 42, methods: str | list[str] | None = None, copy_raw: bool = False,
+    seed: int | None = 42, methods: str | list[str] | None = None, copy_raw: bool = False, pool: list[drawplan.Method] | None = None,
 ) -> DataFrame:
-    """Copies of one image (``n``), of one class folder (up to ``target``) or of a folder of classes (up to ``target``,
-    or to the largest class if it is 0 or with ``balanced``). Written below ``dst`` by class if that is given."""
+    """Copies of one image file (``n``), of a folder that holds images (up to ``target``, which must be positive), or of
+    the folders of images right below one (up to ``target``, or to the largest class if it is 0 or with ``balanced``).
+    Images deeper below count for nothing. Written to ``dst`` if that is given: one image's copies there, others in a
+    folder for each class; copies keep the suffix, and where it can't be written, .png follows it."""
     if dst is not None:
-        sinks.apart(path, dst)
-    one = any(path.lower().endswith(e) for e in names.AUGMENTATION)
-    files = sources.scan_files(spark, path, recursive=not one)
+        sinks.apart(sources.qualified(spark, path), sources.qualified(spark, dst))
+    one = sources.is_file(spark, path)
+    below, files = None, sources.scan_files(spark, path)
     if one:
-        outputs = plan_outputs(files, seed=seed, methods=methods, n=n)
+        outputs = plan_outputs(files, seed=seed, methods=methods, n=n, pool=pool)
         kept = files
     else:
-        single = not sources.scan_files(spark, path, recursive=False).isEmpty()
-        if single and target <= 0:
+        below, files = 0, sources.scan_files(spark, path, below=0)
+        if files.isEmpty():
+            below, files = 1, sources.scan_files(spark, path, below=1)
+            if files.isEmpty():
+                raise ValueError(f"no images and no folders with images in {path}")
+        elif target <= 0:
             raise ValueError("a class folder needs a positive target")
-        if not single and files.isEmpty():
-            raise ValueError(f"no class folder with images in {path}")
-        outputs = plan_outputs(files, None if balanced or target <= 0 else target, seed, methods)
+        to = None if below == 1 and (balanced or target <= 0) else target
+        outputs = plan_outputs(files, to, seed, methods, pool=pool)
         kept = files.join(balance.dedup(files).where("is_kept").select("class", "name"), ["class", "name"], "left_semi")
-    made = make(outputs, sources.scan_images(spark, path, names.AUGMENTATION))
+    made = make(outputs, sources.scan_images(spark, path, names.AUGMENTATION, below=below), pool)
     made = made.withColumns({"kind": F.lit("augmented"), "content": F.lit(None).cast("binary")})
     if copy_raw:
         empty = {"methods": F.lit(None).cast("array<string>"), "height": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "data": F.lit(None).cast("binary")}
         made = made.unionByName(kept.select("class", "name", "content").withColumns({"output": F.col("name"), "kind": F.lit("raw"), **empty}))
     if dst is not None:
-        png = F.when(F.col("kind") == "raw", F.col("output")).otherwise(F.regexp_replace("output", "[.][^.]+$", ".png"))
-        placed = balance.distinct_outputs(made.withColumn("output", F.concat("class", F.lit("/"), png)), "output")
-        return sinks.write_files(placed, dst)
+        name = F.when(F.col("kind") == "raw", F.col("output")).otherwise(sinks.writable(F.col("output")))
+        placed = balance.distinct_outputs(made.withColumn("output", name if one else F.concat("class", F.lit("/"), name)), "output")
+        return sinks.write_files(placed, sources.qualified(spark, dst))
     return made
 
 
-def transform(spark: SparkSession, src: str, transforms: tuple[str, ...] | None = None, dst: str | None = None, strength: int = 9) -> DataFrame:
-    """The transforms (all by default) of the images below ``src``; written below ``dst``/transform if that is given."""
+def transform(spark: SparkSession, src: str, transforms: tuple[str, ...] | None = None, dst: str | None = None, strength: int = 9, file: str | None = None) -> DataFrame:
+    """The transforms (all by default) of the images below ``src``, or of one file: ``src`` itself, or ``file``, whole or
+    below ``src``. Written to ``dst`` (if that is a file, to its folder) in a folder for each transform: one file's there,
+    others in folders as below ``src``."""
     kernels.gauss(strength)
-    chosen = tuple(t for t in features.TRANSFORMS if transforms is None or not transforms or t in transforms)
+    chosen = tuple(t for t in features.TRANSFORMS if not transforms or t in transforms)
     if unknown := set(transforms or ()) - set(features.TRANSFORMS):
         raise ValueError(f"unknown transforms: {', '.join(sorted(unknown))}")
-    images = sources.scan_images(spark, src)
-    made = features.transform_all(images, chosen).where("transform <> 'original'")
+    src = sources.qualified(spark, src)
+    if file is not None:
+        at = file if file.startswith("/") or ":/" in file else f"{src}/{file}"
+    else:
+        at = src
+    one = sources.is_file(spark, at)
+    if file is not None and not one:
+        raise ValueError(f"{at} is no file")
+    made = features.transform_all(sources.scan_images(spark, at), chosen, strength).where("transform <> 'original'")
     if dst is None:
         return made
-    sinks.apart(src, dst)
-    relative = F.regexp_replace(F.regexp_replace("image_id", "^file:/+", "/"), "^" + src.removeprefix("file://").rstrip("/") + "/", "")
-    output = F.concat("transform", F.lit("/"), F.regexp_replace(relative, "[.][^.]+$", ""), F.lit("_"), F.col("transform"), F.lit(".png"))
-    return sinks.write_files(made.withColumn("output", output), dst)
+    dst = sources.qualified(spark, dst)
+    if sources.exists(spark, dst) and sources.is_file(spark, dst):
+        dst = dst.rpartition("/")[0]
+    if not one:
+        sinks.apart(src, dst)
+    relative = names.base(F.col("image_id")) if one else F.substr("image_id", F.lit(len(src) + 2))
+    output = F.concat("transform", F.lit("/"), sinks.writable(names.transformed(relative, F.col("transform"))))
+    return sinks.write_files(balance.distinct_outputs(made.withColumn("output", output), "output"), dst)

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,18 +171,48 @@ def q_method_lookup(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(F.broadcast(pool), F.lower("said") == F.lower("name"), "left").select("nth", "said", "name", F.col("name").isNotNull().alias("known"))
 
 
-def _draws_sql(n: int, seed: int) -> str:
-    rows = ", ".join(f"({o}, {s}, '{'_'.join(m)}', {sum(sum(v.values()) for _, v in steps)!r})" for o, s, m, steps in drawplan.draws(n, seed))
-    return f"draws(ordinal, crop_seed, methods, total) AS (VALUES {rows})"
-
-
-@_query(f"WITH {_draws_sql(64, 42)} SELECT ordinal::BIGINT AS ordinal, crop_seed::BIGINT AS crop_seed, methods, total::DOUBLE AS total FROM draws")
+#: What the random stream of a seed gives, as ordinal, seed of crops, methods and sum of magnitudes.
+_DRAWS_42 = """
+(0, 942484272, 'Flip_Crop', 0.9575793759734148), (1, 202244314, 'Crop_Flip', 0.9926867054910268), (2, 1688060240, 'Skew_Crop', 0.5583391496124422),
+(3, 1382689815, 'Flip_Distortion', 0.129104645308332), (4, 487991438, 'Distortion_Shear', -0.021586713954963088), (5, 1627981024, 'Skew_Rotate',
+19.851190461624746), (6, 417983441, 'Skew_Crop', 0.4526017093288221), (7, 1599364550, 'Skew_Crop', 0.9871389661538779), (8, 406886644, 'Flip_Shear',
+-0.15774942737543785), (9, 1438414599, 'Rotate_Distortion', -3.0093327779603274), (10, 670802254, 'Crop_Skew', 1.0650235823347463), (11, 1465647933,
+'Rotate_Crop', -17.25240335879198), (12, 1689907231, 'Crop_Flip', 0.8994552569776096), (13, 1676602826, 'Crop_Shear', 0.7210900102937223), (14,
+1435384429, 'Flip_Rotate', -1.4451896928433747), (15, 1642822536, 'Skew_Crop', 0.980740780618776), (16, 66180795, 'Skew_Rotate', -4.782786576537058),
+(17, 502381220, 'Distortion_Crop', 0.6077362642822253), (18, 1421454890, 'Rotate_Crop', 3.78677707979584), (19, 872709139, 'Skew_Crop',
+0.6954096046844012), (20, 1551254892, 'Flip_Distortion', -0.015249107899445058), (21, 1075985460, 'Skew_Flip', -0.09082051332545732), (22, 818236852,
+'Distortion_Shear', -0.08255708287193783), (23, 253415744, 'Flip_Crop', 0.9885692993648544), (24, 1502609627, 'Distortion_Rotate', 23.36516685197),
+(25, 1539509957, 'Crop_Rotate', -10.553113457098913), (26, 1938323886, 'Distortion_Flip', -0.017689484066555572), (27, 657036846, 'Skew_Rotate',
+17.68430961574745), (28, 1545034932, 'Crop_Flip', 0.829627911932531), (29, 1254340836, 'Skew_Rotate', -4.369055337852693), (30, 1060837206,
+'Flip_Skew', -0.31536875928070063), (31, 1261957108, 'Flip_Skew', 0.057427852148209946), (32, 744897232, 'Skew_Crop', 0.7557993814791022), (33,
+1680911100, 'Distortion_Shear', -0.17596186995395208), (34, 1227776642, 'Distortion_Shear', -0.17118637540344017), (35, 942555183, 'Shear_Skew',
+-0.03899248186709825), (36, 233164628, 'Skew_Rotate', 7.943216060722382), (37, 1650657918, 'Skew_Crop', 0.783315871924567), (38, 1191536604,
+'Flip_Rotate', -6.453885806878063), (39, 1735706818, 'Crop_Rotate', 23.44011142133406), (40, 1106076761, 'Skew_Rotate', -16.654403924529152), (41,
+934363821, 'Flip_Shear', 0.3536211321243004), (42, 1912962306, 'Flip_Crop', 0.968033991909359), (43, 678452472, 'Skew_Flip', 0.26020421716724945),
+(44, 202865624, 'Shear_Distortion', 0.17842531112226798), (45, 263620652, 'Rotate_Crop', 17.301618901232658), (46, 1287164742, 'Rotate_Skew',
+18.432157045042022), (47, 2086981357, 'Distortion_Crop', 0.7434657252463122), (48, 493182568, 'Flip_Crop', 0.7395466653359563), (49, 261633310,
+'Flip_Crop', 0.8518989794861899), (50, 1247938414, 'Crop_Distortion', 0.8815825059709224), (51, 1586956063, 'Crop_Flip', 0.739317325467194), (52,
+1991925409, 'Shear_Flip', -0.12058924575764786), (53, 1423490056, 'Flip_Shear', 0.09682779357160998), (54, 53385350, 'Distortion_Crop',
+0.9122717504350554), (55, 301376989, 'Crop_Flip', 0.8257342957948911), (56, 1279991635, 'Distortion_Flip', 0.1732092886400845), (57, 1003694346,
+'Crop_Skew', 0.41161750322128987), (58, 1711151666, 'Crop_Rotate', 2.3082717525426046), (59, 1863455212, 'Skew_Distortion', -0.040919146669683354),
+(60, 1400011216, 'Shear_Crop', 0.9029068744168574), (61, 1602053466, 'Rotate_Distortion', 15.670549403137173), (62, 1276536571, 'Flip_Crop',
+0.7438519732578095), (63, 666438637, 'Crop_Flip', 0.7431615798913428)
+"""
+_DRAWS_7 = """
+(0, 1926751965, 'Crop_Skew', 0.6479297920146485), (1, 11307154, 'Rotate_Distortion', 16.180248690639132), (2, 650757180, 'Flip_Shear',
+-0.18668192009804085), (3, 1083509134, 'Shear_Crop', 1.1573976299676798), (4, 2123775744, 'Distortion_Skew', -0.2502255378272352), (5, 76622814,
+'Distortion_Flip', 0.005955528108548103)
+"""
+_draws_sql = lambda rows: f"draws(ordinal, crop_seed, methods, total) AS (VALUES {rows})"
+
+
+@_query(f"WITH {_draws_sql(_DRAWS_42)} SELECT ordinal::BIGINT AS ordinal, crop_seed::BIGINT AS crop_seed, methods, total::DOUBLE AS total FROM draws")
 def q_draw_plan(spark: SparkSession, d: str) -> DataFrame:
     total = F.aggregate("steps", F.lit(0.0), lambda n, s: n + F.aggregate(F.map_values(s["values"]), F.lit(0.0), lambda m, v: m + v))
     return drawplan.draw_plan(spark, 64, 42).select("ordinal", "crop_seed", F.array_join("methods", "_").alias("methods"), total.alias("total"))
 
 
-@_query(f"WITH {_FILES}, {_draws_sql(6, 7)} SELECT class, name, {_STEM} || '_' || methods || '_' || ordinal || {_SUFFIX} AS output FROM files, draws")
+@_query(f"WITH {_FILES}, {_draws_sql(_DRAWS_7)} SELECT class, name, {_STEM} || '_' || methods || '_' || ordinal || {_SUFFIX} AS output FROM files, draws")
 def q_planned_outputs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.plan_outputs(documents_as_files(spark, d), seed=7, n=6).select("class", "name", "output")
 
@@ -208,7 +237,7 @@ def q_image_pixels(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_PIXELS} SELECT image_id, class, y, (7 - x)::INTEGER AS x, b, g, r FROM pix")
 def q_flip(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.flipped(_pixels(spark, d)).select("image_id", "class", "y", "x", "b", "g", "r")
+    return pixels.flipped(pixels.pixels(embeddings_as_images(spark, d), sized=True)).select("image_id", "class", "y", "x", "b", "g", "r")
 
 
 @_query(f"WITH {_PIXELS} SELECT image_id, class, y, (7 - x)::INTEGER AS x, b, g, r FROM pix")
@@ -226,23 +255,30 @@ f AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - flo
 SELECT image_id, class, y, x, {value('bb')} AS b, {value('gg')} AS g, {value('rr')} AS r FROM f"""
 
 
-def _mapped(m: np.ndarray) -> str:
-    n = lambda v: f"({float(v)!r})::DOUBLE"
-    line = lambda k: f"({n(m[k, 0])} * xd + {n(m[k, 1])} * yd + {n(m[k, 2])})"
+def _mapped(m: list[list[float]]) -> str:
+    n = lambda v: f"({v!r})::DOUBLE"
+    line = lambda k: f"({n(m[k][0])} * xd + {n(m[k][1])} * yd + {n(m[k][2])})"
     return _sampled(f"{line(0)} / {line(2)}", f"{line(1)} / {line(2)}")
 
 
-@_query(_mapped(kernels.rotation(8, 8, 25.0)))
+#: Inverse maps of 8 by 8 pixels (a turn by 25 degrees, a shear by 0.2 and -0.1, a skew by 0.2 and -0.3), and the weights of a blur of 9.
+_ROTATION = [[0.9063077870366499, -0.42261826174069944, 2.065241898816198], [0.42261826174069944, 0.90630778703665, -1.3157041951093977], [0.0, 0.0, 1.0]]
+_SHEARING = [[0.9803921568627451, -0.19607843137254902, 0.0], [0.09803921568627451, 0.9803921568627451, 0.0], [0.0, 0.0, 1.0]]
+_SKEWING = [[0.8999999999999999, 0.15000000000000002, -0.19999999999999976], [-0.1, 1.1500000000000001, -0.2000000000000002], [-0.024999999999999998, 0.03749999999999999, 0.9499999999999998]]
+_WEIGHTS = [0.014839453814831463, 0.04981728920101665, 0.11832250618647215, 0.198828996548082, 0.23638350849919545, 0.198828996548082, 0.11832250618647215, 0.04981728920101665, 0.014839453814831463]
+
+
+@_query(_mapped(_ROTATION))
 def q_rotate(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d, lambda image: kernels.rotate(image, 25.0))
 
 
-@_query(_mapped(kernels.shearing(0.2, -0.1)))
+@_query(_mapped(_SHEARING))
 def q_shear(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d, lambda image: kernels.shear(image, 0.2, -0.1))
 
 
-@_query(_mapped(kernels.skewing(8, 8, 0.2, -0.3)))
+@_query(_mapped(_SKEWING))
 def q_skew(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d, lambda image: kernels.skew(image, 0.2, -0.3))
 
@@ -261,7 +297,7 @@ def q_crop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blur_sql() -> str:
-    weights = [f"({float(w)!r})::DOUBLE" for w in kernels.gauss(9)]
+    weights = [f"({w!r})::DOUBLE" for w in _WEIGHTS]
     mirror = lambda v: f"(CASE WHEN abs({v}) > 7 THEN 14 - abs({v}) ELSE abs({v}) END)"
     across = lambda c: "list_transform(range(64), lambda p: " + " + ".join(f"{w} * {c}[p // 8 * 8 + {mirror(f'(p % 8 + {k - 4})')} + 1]" for k, w in enumerate(weights)) + ")"
     down = lambda c: "CAST(floor(" + " + ".join(f"{w} * {c}[{mirror(f'(y + {k - 4})')} * 8 + x + 1]" for k, w in enumerate(weights)) + " + 0.5) AS INTEGER)"
@@ -305,27 +341,29 @@ def q_leaf_mask_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _morph(source: str, name: str, how: str, offsets: list[tuple[int, int]]) -> str:
-    """SQL of an erosion (bool_and) or dilation (bool_or) of a relation image_id, x, y, leaf, by joins on moved places."""
-    moves = ", ".join(f"({dx}, {dy})" for dx, dy in offsets)
-    return f"{name} AS (SELECT a.image_id, a.y, a.x, {how}(b.leaf) AS leaf FROM {source} a, (VALUES {moves}) AS o(dx, dy), {source} b WHERE b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY 1, 2, 3)"
+    """SQL of an erosion (AND) or dilation (OR) of lists of 64 cells; cells outside do not count."""
+    cell = lambda dx, dy: f"CASE WHEN p % 8 + {dx} BETWEEN 0 AND 7 AND p // 8 + {dy} BETWEEN 0 AND 7 THEN l[p + {8 * dy + dx} + 1] ELSE {how == 'AND'} END"
+    return f"{name} AS (SELECT image_id, list_transform(range(64), lambda p: {f' {how} '.join(cell(*o) for o in offsets)}) AS l FROM {source})"
 
 
-_MASK = _HSV + ", " + ", ".join([_morph("raw", "er1", "bool_and", kernels.PLUS), _morph("er1", "op1", "bool_or", kernels.PLUS), _morph("op1", "di1", "bool_or", kernels.ELLIPSE), _morph("di1", "mask", "bool_and", kernels.ELLIPSE)])
+_PLUS = [(0, -1), (-1, 0), (0, 0), (1, 0), (0, 1)]
+_ELLIPSE = [(0, -2), (0, 2), *((dx, dy) for dy in (-1, 0, 1) for dx in range(-2, 3))]
+_MASK = _HSV + ", raws AS (SELECT image_id, list(leaf ORDER BY p) AS l FROM raw GROUP BY 1), " + ", ".join([_morph("raws", "er1", "AND", _PLUS), _morph("er1", "op1", "OR", _PLUS), _morph("op1", "di1", "OR", _ELLIPSE), _morph("di1", "masks", "AND", _ELLIPSE)])
+_MASK += ", mask AS (SELECT image_id, (p // 8)::INTEGER AS y, (p % 8)::INTEGER AS x, p, l[p + 1] AS leaf FROM masks, (SELECT unnest(range(64)) AS p))"
 
 
-def _on(spark: SparkSession, d: str, masks: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    images = embeddings_as_images(spark, d)
-    return pixels.pixels(images, masks(images))
+def _on(spark: SparkSession, d: str, mask_of: Callable) -> DataFrame:
+    return pixels.pixels(embeddings_as_images(spark, d), mask_of)
 
 
 @_query(f"WITH {_MASK} SELECT image_id, y, x, leaf AS \"on\" FROM mask")
 def q_leaf_mask(spark: SparkSession, d: str) -> DataFrame:
-    return _on(spark, d, features.leaf_masks).select("image_id", "y", "x", "on")
+    return _on(spark, d, kernels.leaf_mask).select("image_id", "y", "x", "on")
 
 
-@_query(f"WITH {_MASK} SELECT image_id, class, y, x, " + ", ".join(f"CASE WHEN mask.leaf THEN {c} ELSE 0 END AS {c}" for c in "bgr") + " FROM pix JOIN mask USING (image_id, y, x)")
+@_query(f"WITH {_MASK} SELECT image_id, class, y, x, " + ", ".join(f"CASE WHEN mask.leaf THEN {c} ELSE 0 END AS {c}" for c in "bgr") + " FROM pix JOIN mask USING (image_id, y, x, p)")
 def q_masked_image(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.masked(_on(spark, d, features.leaf_masks), F.col("on")).drop("on")
+    return pixels.masked(_on(spark, d, kernels.leaf_mask), F.col("on")).drop("on")
 
 
 _OBJECTS = _MASK.replace("WITH ", "") + """, pad AS (SELECT image_id, y, x FROM (SELECT DISTINCT image_id FROM mask), (SELECT unnest(range(-1, 9)) AS y), (SELECT unnest(range(-1, 9)) AS x)),
@@ -350,7 +388,7 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {_OBJECTS} SELECT image_id, y::INTEGER AS y, x::INTEGER AS x FROM big")
 def q_largest_leaf(spark: SparkSession, d: str) -> DataFrame:
-    return _on(spark, d, features.largest_masks).where("on").select("image_id", "y", "x")
+    return _on(spark, d, features.largest_mask).where("on").select("image_id", "y", "x")
 
 
 _BOX = "box AS (SELECT image_id, count(*) AS area, min(x)::INTEGER AS x, min(y)::INTEGER AS y, (max(x) - min(x) + 1)::INTEGER AS width, (max(y) - min(y) + 1)::INTEGER AS height, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM big GROUP BY 1)"
@@ -358,7 +396,7 @@ _BOX = "box AS (SELECT image_id, count(*) AS area, min(x)::INTEGER AS x, min(y):
 
 @_query(f"WITH RECURSIVE {_OBJECTS}, {_BOX} SELECT * FROM box")
 def q_bbox(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.boxes(_on(spark, d, features.largest_masks), F.col("on"))
+    return pixels.boxes(_on(spark, d, features.largest_mask), F.col("on"))
 
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_BOX}, met AS (SELECT DISTINCT m.image_id, m.object FROM member m, box WHERE m.image_id = box.image_id AND m.x BETWEEN box.x AND box.x + width - 1 AND m.y BETWEEN box.y AND box.y + height - 1),
@@ -392,7 +430,7 @@ _BANDS = "tops AS (SELECT image_id, min(y) AS top, max(y) - min(y) + 1 AS h FROM
 
 @_query(f"WITH RECURSIVE {_OBJECTS}, {_BANDS} SELECT image_id, band::INTEGER AS band, left_x, right_x, centre_x, centre_y FROM bands")
 def q_pseudolandmarks(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.bands(_on(spark, d, features.largest_masks), F.col("on"))
+    return pixels.bands(_on(spark, d, features.largest_mask), F.col("on"))
 
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_BANDS}, points AS (SELECT image_id, 1 AS z, left_x AS px, centre_y AS py FROM bands UNION ALL SELECT image_id, 2, right_x, centre_y FROM bands UNION ALL SELECT image_id, 3, centre_x, centre_y FROM bands),
@@ -403,13 +441,20 @@ def q_landmark_overlay(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d, features.landmark_image)
 
 
-def _test_image_sql(size: int = 400) -> str:
-    from pixelframe.sources.images import BACKGROUND, CHECKER, GRID, PALETTE, PATTERN
+#: Fixed values of the generated test image: the codes of its cells row by row, and colours as blue, green and red.
+_CODES = """
+3, 0, 0, 1, 1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0, 1, 1, 2, 1, 1, 1, 0, 1, 1, 2, 2, 2, 1, 1, 1,
+1, 1, 1, 2, 1, 1, 1, 0, 0, 1, 1, 2, 1, 1, 0, 0, 0, 0, 1, 2, 1, 0, 0, 0, 0, 0, 0, 4, 0, 0, 0, 0
+"""
+_COLOURS = {1: (78, 184, 106), 2: (32, 96, 45), 3: (48, 64, 208), 4: (48, 90, 138)}
+_LIGHT, _DARK, _LINES = (248, 248, 248), (235, 230, 222), (200, 198, 192)
+
 
+def _test_image_sql(size: int = 400) -> str:
     cell = size // 8
-    code = "[" + ", ".join(str(v) for row in PATTERN for v in row) + "][(y // {c}) * 8 + x // {c} + 1]".replace("{c}", str(cell))
+    code = f"[{_CODES}][(y // {cell}) * 8 + x // {cell} + 1]"
     lines = ", ".join(str(min(k * cell, size - 1)) for k in range(9))
-    channel = lambda k: f"CASE WHEN x IN ({lines}) OR y IN ({lines}) THEN {GRID[k]} " + " ".join(f"WHEN code = {n} THEN {c[k]}" for n, c in PALETTE.items()) + f" WHEN (x // {cell} + y // {cell}) % 2 = 0 THEN {CHECKER[k]} ELSE {BACKGROUND[k]} END"
+    channel = lambda k: f"CASE WHEN x IN ({lines}) OR y IN ({lines}) THEN {_LINES[k]} " + " ".join(f"WHEN code = {n} THEN {c[k]}" for n, c in _COLOURS.items()) + f" WHEN (x // {cell} + y // {cell}) % 2 = 0 THEN {_DARK[k]} ELSE {_LIGHT[k]} END"
     return f"SELECT y::INTEGER AS y, x::INTEGER AS x, {channel(0)} AS b, {channel(1)} AS g, {channel(2)} AS r FROM (SELECT y, x, {code} AS code FROM (SELECT unnest(range({size})) AS y), (SELECT unnest(range({size})) AS x))"
 
 
@@ -418,9 +463,15 @@ def q_test_image(spark: SparkSession, d: str) -> DataFrame:
     return test_image(spark)
 
 
-@_query("SELECT 'Shear' AS method, 'kx' AS name, -0.5::DOUBLE + k * 0.01::DOUBLE AS value FROM (SELECT unnest(range(101)) AS k)")
+_SWEPT = [
+    ("Rotate", "angle", -180.0, 1.0, 360), ("Skew", "skx", -0.4, 0.01, 80), ("Skew", "sky", -0.4, 0.01, 80), ("Shear", "kx", -0.5, 0.01, 100),
+    ("Shear", "ky", -0.5, 0.01, 100), ("Crop", "scale", 0.1, 0.01, 90), ("Distortion", "k", 0.0, 0.01, 50),
+]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{m}' AS method, '{name}' AS name, {lo}::DOUBLE + k * {step}::DOUBLE AS value FROM (SELECT unnest(range({n + 1})) AS k)" for m, name, lo, step, n in _SWEPT))
 def q_parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return drawplan.sweep(spark, "Shear", "kx")
+    return drawplan.sweep(spark)
 
 
 def _image_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

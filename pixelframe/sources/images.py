@@ -4,7 +4,9 @@ Files are listed with their content only where it is asked for: Spark prunes wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.functions import names
@@ -24,21 +26,54 @@ BACKGROUND, CHECKER, GRID = (248, 248, 248), (235, 230, 222), (200, 198, 192)
 PALETTE = {1: (78, 184, 106), 2: (32, 96, 45), 3: (48, 64, 208), 4: (48, 90, 138)}
 
 
-def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.AUGMENTATION, recursive: bool = True) -> DataFrame:
-    """``path, class, name, length, content`` of the image files below a folder, or of one file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole path as Spark names files: with its scheme, relative ones from the working folder, no slash at the end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+def _escaped(path: str) -> str:
+    """A path in which signs of patterns stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.AUGMENTATION, below: int | None = None) -> DataFrame:
+    """``path, class, name, length, content`` of the image files below a folder, or of one file. With ``below`` only those
+    so many folders below it: 0 for its own files, 1 for those of its class folders."""
+    root = qualified(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(below != 0).lower()).load(_escaped(root))
+    files = files.select(_plain(F.col("path")).alias("path"), "length", "content")
     files = files.select("path", names.folder(F.col("path")).alias("class"), names.base(F.col("path")).alias("name"), "length", "content")
-    return files.where(names.is_image(F.col("name"), extensions))
+    files = files.where(names.is_image(F.col("name"), extensions))
+    return files if below is None else files.where(F.size(F.split(F.substr("path", F.lit(len(root) + 2)), "/")) == below + 1)
 
 
-def scan_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION, strict: bool = False) -> DataFrame:
-    """Decoded images of the files below a folder. Files that can't be decoded are left out, or with ``strict`` fail the job.
+def scan_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION, strict: bool = False, below: int | None = None) -> DataFrame:
+    """Decoded images of the files below a folder (see scan_files()). Files that can't be decoded are left out, or with
+    ``strict`` fail the job.
 
     Grey images get three equal channels, a fourth channel is dropped. Rotation marks in the files are not applied."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
-    origin = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
+    root = qualified(spark, path)
+    image = spark.read.format("image").option("recursiveFileLookup", str(below != 0).lower()).load(_escaped(root)).select("image.*")
+    origin = _plain(F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B"))))
     rows = image.select(origin.alias("image_id"), names.folder(origin).alias("class"), names.base(origin).alias("name"), "height", "width", "nChannels", "data")
     rows = rows.where(names.is_image(F.col("name"), extensions))
+    if below is not None:
+        rows = rows.where(F.size(F.split(F.substr("image_id", F.lit(len(root) + 2)), "/")) == below + 1)
     good = F.col("height") >= 0
     if strict:
         rows = rows.withColumn("height", F.when(good, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("cannot decode "), F.col("image_id")))))
@@ -50,9 +85,10 @@ def scan_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = na
     return rows.select("image_id", "class", "name", "height", "width", data.alias("data"))
 
 
-def skipped_images(spark: SparkSession, path: str) -> DataFrame:
+def skipped_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION) -> DataFrame:
     """The files that scan_images() leaves out because they can't be decoded."""
-    return spark.read.format("image").option("recursiveFileLookup", "true").load(path).where("image.height < 0").select("image.origin")
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(_escaped(qualified(spark, path))).where("image.height < 0")
+    return image.select("image.origin").where(names.is_image(names.base(F.col("origin")), extensions))
 
 
 def classes_of(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that all later uses see the same rows in the same partitions."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # as in tests
+    if not folder:  # as in tests, on one machine
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pixelframe-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pixelframe.functions import kernels
+from pixelframe.functions import kernels, names
 
 
 def write_parquet(images: DataFrame, path: str) -> None:
@@ -15,6 +17,11 @@ def write_parquet(images: DataFrame, path: str) -> None:
     images.write.partitionBy("class").parquet(path)
 
 
+def writable(name: Column) -> Column:
+    """The name of a new image: with another suffix than .png or .bmp, .png is added, so that names stay apart."""
+    return F.when(names.is_image(name, (".png", ".bmp")), name).otherwise(F.concat(name, F.lit(".png")))
+
+
 def apart(src: str, dst: str) -> None:
     """Raises where a target lies in its source, or holds it: a later run would read what this one wrote."""
     a, b = src.rstrip("/") + "/", dst.rstrip("/") + "/"
@@ -25,15 +32,15 @@ def apart(src: str, dst: str) -> None:
 def write_files(images: DataFrame, root: str, place: str = "output") -> DataFrame:
     """Writes each row to ``root``/``place`` (.png or .bmp); returns ``path`` and ``bytes``. A task that runs again
     writes the same bytes to the same place. ``content``, where there is such a column and it is not null, is copied as it is."""
-    copied = "content" in images.columns
+    copied, uri = "content" in images.columns, re.sub("^(file:)?/+", "file:///", root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 path = f"{base}/{row[place]}"
                 data = row.get("content")
                 if data is None:

@@ -1,6 +1,12 @@
+import hashlib
+
+import numpy as np
 import pytest
 
+from pixelframe.functions import kernels
+from pixelframe.operators import drawplan, features
 from pixelframe.queries import ORACLE, QUERIES
+from pixelframe.sources.images import embeddings_as_images
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -8,6 +14,76 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_gives_rows(name, spark, tables):
-    assert QUERIES[name](spark, tables).count() > 0
+@pytest.fixture(scope="module")
+def held(spark, tables):
+    return {r.image_id: (r["class"], np.frombuffer(r.data, np.uint8).reshape(8, 8, 3)) for r in embeddings_as_images(spark, tables).collect()}
+
+
+def digest(image):
+    return hashlib.sha256(np.ascontiguousarray(image, np.uint8).tobytes()).hexdigest()
+
+
+def test_composed_copies_against_one_loop(spark, tables, held):
+    plan, expected = list(drawplan.draws(2, 42)), set()
+    for key, (kind, image) in held.items():
+        for k, (_, seed, methods, steps) in enumerate(plan):
+            expected.add((kind, f"v{key}.png", f"v{key}_{'_'.join(methods)}_{k}.png", digest(kernels.compose(image, steps, seed))))
+    got = [(r["class"], r.name, r.output, r.sha256) for r in QUERIES["compose_augment"](spark, tables).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_balanced_copies_against_one_loop(spark, tables, held):
+    classes, expected = {}, set()
+    for key, (kind, image) in held.items():
+        classes.setdefault(kind, {})[f"v{key}.png"] = image
+    target = max(map(len, classes.values()))
+    for kind, files in classes.items():
+        kept, seen = [], set()
+        for name in sorted(files):
+            if digest(files[name]) not in seen:
+                kept.append(name)
+            seen.add(digest(files[name]))
+        plan, need = drawplan.draws(10**6, 42), max(0, target - len(kept))
+        for i, name in enumerate(kept):
+            for k in range(need // len(kept) + (i < need % len(kept))):
+                _, seed, methods, steps = next(plan)
+                expected.add((kind, name, f"{name[:-4]}_{'_'.join(methods)}_{k}.png", digest(kernels.compose(files[name], steps, seed))))
+    got = [(r["class"], r.name, r.output, r.sha256) for r in QUERIES["balance_images"](spark, tables).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_transforms_against_one_loop(spark, tables, held):
+    expected = {}
+    for key, (_, image) in held.items():
+        for name in ("original", *features.TRANSFORMS):
+            if (out := image if name == "original" else features.IMAGES[name](image)) is not None:
+                expected[key, name] = digest(out)
+    got = {(r.image_id, r.transform): r.sha256 for r in QUERIES["transform_all"](spark, tables).collect()}
+    assert got == expected
+
+
+def test_shapes_against_definitions(spark, tables, held):
+    """Hull, longest way, perimeter and ellipse by their definitions, over all pairs and pixels."""
+    rows = {r.image_id: r for r in QUERIES["shape_traits"](spark, tables).collect()}
+    for key, (_, image) in held.items():
+        mask = kernels.largest(kernels.leaf_mask(image))
+        assert (mask is None) == (key not in rows)
+        if mask is None:
+            continue
+        points, row = np.argwhere(mask)[:, ::-1], rows[key]
+        assert row.area == len(points) and row.longest_path == pytest.approx(max(np.hypot(*(a - b)) for a in points for b in points))
+        on = {tuple(p) for p in points.tolist()}
+        assert row.perimeter == sum(any((x + dx, y + dy) not in on for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))) for x, y in on)
+        # A pixel is a corner or on the edge of the hull if all others lie on one side of a line through it.
+        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        edges = [(a, b) for a in points for b in points if tuple(a) != tuple(b) and all(cross(a, b, c) >= 0 for c in points)]
+        ends = {}
+        for a, b in edges:  # of edges on one line the longest
+            if tuple(a) not in ends or np.hypot(*(b - a)) > np.hypot(*(ends[tuple(a)] - a)):
+                ends[tuple(a)] = b
+        full = [(np.array(a), b) for a, b in ends.items() if not any(tuple(b) == tuple(d) and np.hypot(*(d - c)) > np.hypot(*(b - np.array(a))) for c, d in ((np.array(c), d) for c, d in ends.items()))]
+        area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in full)) / 2
+        assert row.hull_area == pytest.approx(area)
+        spread = np.cov(points.T, bias=True) if len(points) > 1 else np.zeros((2, 2))
+        small, large = np.linalg.eigvalsh(spread)
+        assert row.ellipse_major == pytest.approx(4 * np.sqrt(max(0, large)), abs=1e-6) and row.ellipse_minor == pytest.approx(4 * np.sqrt(max(0, small)), abs=1e-6)
