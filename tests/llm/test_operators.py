@@ -1,8 +1,12 @@
 import base64
 import hashlib
+import json
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pixelframe.llm import op1_sentencepiece as op1
@@ -39,6 +43,14 @@ def test_backoff_with_rare_grams_left_out(same_as_sql, least):
     same_as_sql(lambda spark, d: op5.score(spark.read.parquet(f"{d}/documents.parquet"), least=least), op5._oracle(least=least))
 
 
+def _vectors(d):
+    return d.select(F.col("doc_id").alias("vec_id"), F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), "score", "key", "bits", "n")
+
+
+def _turns(d):
+    return d.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
+
+
 SCANS = {
     "op1": lambda d: op1.encode(d, op1.model_bytes()),
     "op3": lambda d: op3.scan(d, d.select(F.col("doc_id").alias("item_id"), "text"), cleaned=True),
@@ -46,6 +58,7 @@ SCANS = {
     "op4": lambda d: op4.score(d, op4.train(d.withColumn("quality", F.col("doc_id") % 2))),
     "op5": op5.score,
     "op6": op6.dedup,
+    "op7": lambda d: op7.archive(d.withColumn("url", F.lit("u")), key="doc_id", payload="text"),
     "op9": op9.near_duplicates,
     "op10": op10.scan,
 }
@@ -61,6 +74,124 @@ def test_empty_table(name, odd):
     assert SCANS[name](odd.limit(0)).count() == 0
 
 
+def test_top_k_and_calls_of_odd_and_empty_rows(odd):
+    found = op2.top_k(_vectors(odd), F.col("vec_id") % 2 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [
+        (2, 1, 3), (2, 2, 4), (2, 3, 6), (2, 4, 7), (4, 1, 3), (4, 2, 7), (4, 3, 6), (4, 4, 2), (6, 1, 3), (6, 2, 4), (6, 3, 7), (6, 4, 2),
+    ]
+    assert op2.top_k(_vectors(odd.limit(0)), F.col("vec_id") % 2 == 0).count() == 0
+    calls, results = op8.turns(_turns(odd))
+    linked = op8.link(calls, results, op8.REPLY).collect()
+    assert sorted((r.turn or 0, r.n_calls, r.status, r.valid) for r in linked) == [
+        (0, 1, "unidentified", False), (1, 1, "unanswered", False), (2, 1, "unanswered", False), (3, 1, "unanswered", True), (4, 2, "unanswered", True), (6, 1, "unanswered", True), (7, 1, "unanswered", True),
+    ]
+    assert op8.link(*op8.turns(_turns(odd.limit(0))), op8.REPLY).count() == 0
+
+
+def test_columns_of_the_same_names_stay(odd, spark, tables):
+    clash = odd.select("doc_id", "text", F.lit(5).alias("__row"), F.lit(6).alias("carried"))
+    assert {tuple(r)[2:] for r in op9.keep_one(clash).collect()} == {(5, 6)}
+    kept = op3.scan(clash, spark.createDataFrame([(1, "no such words")], "item_id long, text string"), carry=("__row", "carried"))
+    assert {tuple(r.carried) for r in kept.collect()} == {(5, 6)}
+
+
+def test_joined_windows_give_the_same_values(spark, tables):
+    """A benchmark beyond the limit is joined; items without words, alike, short and without an identifier are among it."""
+    docs, items = (spark.read.parquet(f"{tables}/{name}.parquet") for name in ("documents", "benchmark"))
+    more = spark.createDataFrame([(None, "of the and in"), (9001, ""), (9002, None), (9003, "the"), (9004, "the")], "item_id long, text string")
+    items = items.select("item_id", "text").unionByName(more)
+    whole, joined = (sorted(map(tuple, op3.scan(docs, items, cleaned=True, broadcast_limit=n).collect()), key=repr) for n in (400_000, 0))
+    assert whole == joined and sum(r[2] > 0 for r in whole) > 50
+
+
+def test_every_column_of_pieces_against_the_library(spark, tables):
+    library = op1.PieceCodec(op1.model_bytes()).library
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for row in op1.op1_sentencepiece(spark, tables).collect():
+        ids = library.encode(texts[row.doc_id])
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def _compiled_map(forms):
+    """A character map of one trie level after another: units of a double array, each node's children at its number."""
+    tree = {}
+    for key in forms:
+        node = tree
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node[None] = key
+    blob, at = b"", {}
+    for key, form in forms.items():
+        at[key] = len(blob)
+        blob += form + b"\0"
+    units, todo = {0: 0}, [(0, tree)]
+    free = 256
+    while todo:
+        place, node = todo.pop()
+        offset = free if node.keys() - {None} or None in node else 0
+        free += 256
+        step = place ^ offset
+        units[place] |= (step << 10 if step < 1 << 21 else (step >> 8) << 10 | 512) | (256 if None in node else 0)
+        if None in node:
+            units[offset] = at[node[None]] | 1 << 31
+        for byte, child in node.items():
+            if byte is not None:
+                units[offset ^ byte] = byte
+                todo.append((offset ^ byte, child))
+    size = max(units) + 1
+    return (4 * size).to_bytes(4, "little") + b"".join(units.get(k, 0).to_bytes(4, "little") for k in range(size)) + blob
+
+
+def test_longest_prefixes_of_a_character_map_keep_their_places():
+    forms = {"ﬁ".encode(): b"fi", "Ä".encode(): "ä".encode(), b"A": b"a", b"ABC": b"x", "\u3000".encode(): b" ", "\u00ad".encode(): b""}
+    spec = {2: _compiled_map(forms), 3: 1, 4: 1, 5: 1}
+    held = op1.CharacterMap(spec[2])
+    assert held.longest(b"ABD", 0) == (1, b"a") and held.longest(b"zABC", 1) == (3, b"x") and held.longest(b"b", 0) == (0, b"")
+    text = "  ﬁ ABCAB\u3000\u00adÄ  "
+    norm, align = op1.Normalizer(spec)(text)
+    assert norm == "▁fi▁xaB▁ä"
+    # Each normalised byte leads back to the first byte of what it comes from.
+    raw, sources = text.encode(), ["ﬁ", "ﬁ", "ﬁ", "ﬁ", "ﬁ"]
+    assert [raw[p:].decode()[0] for p in align[:5]] == sources and raw[align[norm.encode().index(b"x")] :].startswith(b"ABC")
+    assert align[-1] == len(text.rstrip().encode()) and all(np.diff(align) >= 0)
+    assert op1.Normalizer({**spec, 3: 0, 4: 0, 5: 0})(" ﬁ  A")[0] == " fi  a"
+
+
+def test_components_against_all_pairs(spark, tables):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+
+    def fingerprint(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = {k: fingerprint(x) for k, x in docs.items()}
+    top = _parts(sorted(docs), [(a, b) for a in docs for b in docs if a > b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op9.op9_simhash(spark, tables).collect()}
+    assert got == {k: (f"{prints[k]:016x}", top[k]) for k in docs}
+
+
+def test_odd_arguments_have_defined_records(spark):
+    odd = ['{"question":"\\ud800","turn":1}', "[" * 100_000, '{"question":"q","turn":NaN}', '{"question":"q","turn":1e400}', "[" * 150 + "]" * 150, '{"\\udfff":1}']
+    calls = spark.createDataFrame([(1, k, f"c{k}", None, "reply", x) for k, x in enumerate(odd)], "conv_id long, turn long, call_id string, after string, name string, arguments string")
+    got = {r.turn: r for r in op8.link(calls, calls.select("conv_id", "turn", "call_id", F.lit("r").alias("content")).limit(0), op8.REPLY).collect()}
+    assert got[0].valid and '"question":"\\ud800"' in got[0].record
+    assert [got[k].error for k in (1, 2, 3)] == ["not JSON"] * 3 and got[4].error == "$: not of type object" and got[5].error == "$: lacks question"
+    for k in got:
+        json.loads(got[k].record, parse_constant=lambda x: pytest.fail(x))
+
+
+def test_licences_in_very_long_texts(spark):
+    many = 300_000
+    texts = ["license " + "free " * many, "permission without " + "express " * many, "copyright " + "2001 " * many, "free " * many + "license", "all rights reserved " * (many // 3)]
+    rows = op10.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert [got[k].n_words for k in range(5)] == [many + 1, many + 2, many + 1, many + 1, many] and got[4].n_base == many // 3
+    assert "License-Mention" in got[0].labels and "Copyright" in got[2].labels
+
+
 def test_pieces_are_those_of_the_library(spark, tables):
     codec = op1.PieceCodec(op1.model_bytes())
     texts = [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").select("text").limit(60).collect()] + ["", "  a  b ", "é́​𝄞\t\n", "x" * 5000]
@@ -81,9 +212,13 @@ def test_top_k_against_all_pairs_with_small_shards(spark):
         assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == expected
 
 
-def test_quality_on_rows_held_out(spark, tables):
-    scored = op4.op4_quality(spark, tables).where("held_out").join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").collect()
-    assert sum(r.predicted == r.quality for r in scored) >= 0.8 * len(scored)
+def test_quality_on_rows_held_out(spark):
+    """Ranks rows that it hasn't learnt from: any constant answer has an area of 0.5 under the curve."""
+    at = "/root/testdata/sf0.1"
+    rows = op4.op4_quality(spark, at).where("held_out").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").select("score", "quality", "predicted").toPandas()
+    good, bad = rows.score[rows.quality == 1], rows.score[rows.quality == 0]
+    area = (good.rank().sum(), rows.score.rank()[rows.quality == 1].sum())[1] - len(good) * (len(good) + 1) / 2
+    assert area / len(good) / len(bad) >= 0.85 and (rows.predicted == rows.quality).mean() >= 0.94
 
 
 @pytest.mark.parametrize("threshold", [400, 48])

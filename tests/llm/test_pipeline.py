@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -11,6 +13,17 @@ def test_stages_keep_the_columns_and_drop_what_they_should(spark, tables):
         assert docs.join(before, "doc_id", "left_anti").isEmpty()
 
 
+def test_stages_of_odd_and_empty_tables(spark, tables):
+    """Nulls, empty texts, repeated rows and names that stages use themselves; all but copies stay, tokens need no columns."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "word " * 30, "en", "s", 150), (3, "word " * 30, "en", "s", 150), (None, "other words", "de", "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"__row": F.lit(1), "score": F.lit(2), "carried": F.lit(3)})
+    kept = {"quality": None, "near_duplicates": [0, 1, 3], "repeated_passages": [0, 1, 2, 3, 3], "decontamination": [0, 1, 2, 3, 3], "tokens": [0, 1, 2, 3, 3]}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tables).count() == 0
+        got = sorted(r.doc_id or 0 for r in stage(spark, docs, tables).collect())
+        assert kept[name] in (None, got)
+
+
 def test_near_copies_go_against_brute_force(spark, tables):
     """Planted copies with a word changed in every so many, and all pairs of texts by their sets of five words."""
     import random
