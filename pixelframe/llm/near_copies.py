@@ -34,7 +34,7 @@ from pixelframe.llm.op9_simhash import close_pairs, components, majority
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a fingerprint, and in the part of it that goes through the first round; unrelated nodes that share
 #: a prefix; pairs of the least similarity without one.
-WORDS, PART, CROWD, MISSED = 16, 8, 1024, 0.005
+WORDS, PART, CROWD, MISSED = 32, 8, 1024, 0.005
 #: Nodes of one prefix that a task holds together, and pairs below two trie nodes that are not worth a walk.
 PIECE, FEW = 4096, 1 << 16
 _STEPS = np.random.default_rng(43).integers(0, 1 << 63, WORDS, np.uint64)
@@ -195,10 +195,13 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(near, pa.bool_())).select([0, 1])
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 def _links(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) that are similar; ``docs`` has ``__row`` and ``__text``."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = marked.join(used, "node").groupBy("node").agg(F.min("row").alias("__row"))
+    rows = marked.join(_nodes_of(pairs), "node").groupBy("node").agg(F.min("row").alias("__row"))
     texts = cut(docs.join(rows, "__row").select("node", "__text").dropDuplicates(["node"]), "texts")
     side = lambda node, text: texts.select(F.col("node").alias(node), F.col("__text").alias(text))
     met = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
@@ -217,7 +220,7 @@ def groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if tried is None:
             # A node that is close to no other, in whole prefixes, is so in all rounds.
-            active = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pieces.join(pieces.groupBy("prefix").count().where("count > 1"), "prefix").select(F.explode("held.node").alias("node")))
+            active = _nodes_of(pairs).unionByName(pieces.join(pieces.groupBy("prefix").count().where("count > 1"), "prefix").select(F.explode("held.node").alias("node")))
             whole = cut(nodes.join(active.distinct(), "node", "left_semi"), "active")
             before, spread = spread, cut(spread.select("prefix", "node").join(whole, "node"), "prefixes")
             discard(before, nodes, whole)
