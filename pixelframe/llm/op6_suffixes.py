@@ -248,4 +248,5 @@ def dedup(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_removed", "
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    """The digest columns, and the text that is left (without what remains of characters cut in two)."""
+    return dedup(table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"))
