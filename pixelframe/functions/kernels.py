@@ -425,6 +425,8 @@ def three_channels(data: Column, channels: Column) -> Column:
     @F.pandas_udf("binary")
     def convert(data: pd.Series, channels: pd.Series) -> pd.Series:
         def one(raw: bytes, n: int) -> bytes:
+            if n < 1:  # a file that could not be decoded: told by the reader
+                return raw
             pixels = np.frombuffer(raw, np.uint8).reshape(-1, n)
             return (np.repeat(pixels, 3, 1) if n == 1 else pixels[:, :3]).tobytes()
 
