@@ -37,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS, PART, CROWD, MISSED = 32, 8, 1024, 0.005
 #: Nodes of one prefix that a task holds together, and pairs below two trie nodes that are not worth a walk.
 PIECE, FEW = 4096, 1 << 16
+#: Pairs whose bits a task compares at once.
+_HELD = 1 << 17
 _STEPS = np.random.default_rng(43).integers(0, 1 << 63, WORDS, np.uint64)
 
 
@@ -86,10 +88,15 @@ def _marks(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node), pa.array(map(fingerprint, sets), pa.binary())], ["id", "row", "node", "bits"])
 
 
-def _prefixes(levels: int, number: int):
-    """Rows (prefix, node, bits): a node under its prefix in each trie."""
+def _places(levels: int, number: int) -> np.ndarray:
+    """For each trie the bits of its first levels; all lie in the part of a fingerprint that goes through every round."""
     order = np.random.default_rng(44)
-    places = [order.choice(64 * WORDS, levels, replace=False) for _ in range(number)]
+    return np.stack([order.choice(64 * PART, levels, replace=False) for _ in range(number)])
+
+
+def _prefixes(places: np.ndarray):
+    """Rows (prefix, node, bits): a node under its prefix in each trie."""
+    number, levels = places.shape
     powers = np.int64(1) << np.arange(levels)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,16 +127,16 @@ def _pieces(spread: DataFrame) -> DataFrame:
 
 
 def _meetings(pieces: DataFrame, first: bool) -> DataFrame:
-    """``held`` and ``other`` (null: itself) of the pieces to compare: all that may hold two groups, or with ``first``
-    each piece and the first of its prefix."""
-    alone = pieces.where("not one").select("held", F.lit(None).cast(pieces.schema["held"].dataType).alias("other"))
+    """``prefix``, ``held`` and ``other`` (null: itself) of the pieces to compare: all that may hold two groups, or with
+    ``first`` each piece and the first of its prefix."""
+    alone = pieces.where("not one").select("prefix", "held", F.lit(None).cast(pieces.schema["held"].dataType).alias("other"))
     many = cut(pieces.groupBy("prefix").agg(F.count("*").alias("__n"), F.min("part").alias("__first")).where("__n > 1"), "split")
     if many.isEmpty():
         return alone
     left = pieces.join(many, "prefix")
     right = left.select("prefix", F.col("part").alias("p2"), F.col("held").alias("other"), F.col("root").alias("r2"), F.col("one").alias("o2"))
     met = left.join(right, "prefix").where("part < p2 and not (one and o2 and root = r2)")
-    return alone.unionByName((met.where("part = __first") if first else met).select("held", "other"))
+    return alone.unionByName((met.where("part = __first") if first else met).select("prefix", "held", "other"))
 
 
 def _columns(lists: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,22 +148,43 @@ def _columns(lists: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate([[0], np.cumsum(sizes)]), flat.field("node").to_numpy(), flat.field("root").to_numpy(), raw
 
 
-def _close(kind: str):
+def _close(kind: str, places: np.ndarray):
     """Pairs (a > b) of nodes of different roots within the budget: of each node the ``closest``, the closest of
-    ``each`` root, or ``all``."""
+    ``each`` root, or ``all``. A pair is given by the first trie only in which its nodes share a prefix: in that one it was
+    compared, or something closer was given, or the prefix is in pieces, of which the last round compares all."""
     words = PART if kind == "closest" else WORDS
     first, every = _budget(64), _budget(64 * words)
 
-    def least(to: np.ndarray, by: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Places of the least value of each (to, by)."""
-        order = np.lexsort((value, by, to))
+    def closest(root: np.ndarray, to: np.ndarray, by: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Of each ``to`` the closest, of each root with ``each``."""
+        group = root[by] if kind == "each" else np.zeros(len(by), np.int64)
+        order = np.lexsort((far, group, to))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (to[order][1:] != to[order][:-1]) | (by[order][1:] != by[order][:-1])
-        return order[fresh]
+        fresh[1:] = (to[order][1:] != to[order][:-1]) | (group[order][1:] != group[order][:-1])
+        return np.stack((to, by, far))[:, order[fresh]]
+
+    def given(node: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, before: int) -> Iterator[pa.RecordBatch]:
+        """The pairs that share no prefix in the tries before this one, once each."""
+        differ = np.unpackbits((bits[i, :PART] ^ bits[j, :PART]).view(np.uint8), axis=1)
+        fresh = np.ones(len(i), bool)
+        for at in places[:before]:
+            fresh &= differ[:, at].any(1)
+        pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1)[fresh], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def portions(found, ra: np.ndarray, rb: np.ndarray):
+        """The pairs of different roots, some at a time."""
+        for i, j in found:
+            apart = ra[i] != rb[j]
+            i, j = i[apart], j[apart]
+            for at in range(0, len(i), _HELD):
+                yield i[at : at + _HELD], j[at : at + _HELD]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (la, *left), (ra, *right) = _columns(batch.column(0), words), _columns(batch.column(1), words)
+            nth = batch.column(0).to_numpy() % len(places)
+            (la, *left), (ra, *right) = _columns(batch.column(1), words), _columns(batch.column(2), words)
             for k in range(batch.num_rows):
                 mine, other = slice(la[k], la[k + 1]), slice(ra[k], ra[k + 1])
                 same = ra[k] == ra[k + 1]
@@ -164,20 +192,18 @@ def _close(kind: str):
                 a = np.argsort(bits[: la[k + 1] - la[k], 0])
                 b = a if same else len(a) + np.argsort(bits[len(a) :, 0])
                 found = []
-                for i, j in close_pairs(bits[a, 0], bits[b, 0], 0, 0, first, same, FEW):
+                for i, j in portions(close_pairs(bits[a, 0], bits[b, 0], 0, 0, first, same, FEW), root[a], root[b]):
                     i, j = a[i], b[j]
                     far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                    near = (root[i] != root[j]) & (far <= every)
-                    i, j, far = i[near], j[near], far[near]
-                    if kind != "all" and len(i):
-                        to, by = np.concatenate([i, j]), np.concatenate([j, i])
-                        own = least(to, root[by] if kind == "each" else np.zeros(len(by), np.int64), np.concatenate([far, far]))
-                        i, j = to[own], by[own]
-                    if len(i):
-                        found.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1))
+                    i, j, far = (x[far <= every] for x in (i, j, far))
+                    if kind == "all":
+                        yield from given(node, bits, i, j, nth[k])
+                    else:
+                        found.append(closest(root, *(np.concatenate(x) for x in ((i, j), (j, i), (far, far)))))
                 if found:
-                    pairs = np.unique(np.concatenate(found), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    i, j, _ = closest(root, *np.concatenate(found, axis=1))
+                    for at in range(0, len(i), _HELD):
+                        yield from given(node, bits, i[at : at + _HELD], j[at : at + _HELD], nth[k])
 
     return run
 
@@ -212,11 +238,12 @@ def groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node that has a similar one."""
     spark = marked.sparkSession
     nodes = cut(marked.groupBy("node").agg(F.first("bits").alias("bits")), "nodes")
-    spread = cut(map_arrow(nodes, "prefix long, node long, bits binary", _prefixes(*tries(nodes.count()))), "prefixes")
+    places = _places(*tries(nodes.count()))
+    spread = cut(map_arrow(nodes, "prefix long, node long, bits binary", _prefixes(places)), "prefixes")
     linked = tried = None
     for kind in ("closest", "each", "all"):
         pieces = _pieces(spread.withColumn("root", F.col("node")) if linked is None else spread.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        pairs = _meetings(pieces, kind == "closest").mapInArrow(_close(kind), "a long, b long").distinct()
+        pairs = _meetings(pieces, kind == "closest").mapInArrow(_close(kind, places), "a long, b long").distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if tried is None:
             # A node that is close to no other, in whole prefixes, is so in all rounds.
