@@ -267,4 +267,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     of = marked.join(named, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     own = spare(docs, "__row")
     chosen = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias(own)).distinct()
-    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own]).drop(own)
+    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own, key]).drop(own)

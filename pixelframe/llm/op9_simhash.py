@@ -235,7 +235,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     first = marked.join(named, "bits").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     own = spare(docs, "__row")
     chosen = first.select(F.col("first.row").alias(own)).distinct()
-    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own]).drop(own)
+    return docs.withColumn(own, row).join(chosen, own, "left_semi").dropDuplicates([own, key]).drop(own)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
