@@ -8,6 +8,7 @@ import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.functions.outlines import border, corners, ellipse, farthest, hull, label, row_ends
+
 WHITE = 255.0
 #: Bytes of what a task makes that it sends on together.
 SENT = 16 << 20
@@ -178,25 +181,6 @@ def leaf_mask(image: np.ndarray) -> np.ndarray:
     return erode(dilate(opened, ELLIPSE), ELLIPSE)
 
 
-def label(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """For each pixel of the mask the number (y * width + x) of its component's first pixel; -1 elsewhere."""
-    h, w = mask.shape
-    none = h * w
-    of = np.where(mask, np.arange(none).reshape(h, w), none)
-    near = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if diagonal or not dx or not dy]
-    while True:
-        least = np.full((h, w), none)
-        padded = np.pad(of, 1, constant_values=none)
-        for dx, dy in near:
-            least = np.minimum(least, padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w])
-        least = np.where(mask, least, none)
-        flat = np.append(least.ravel(), none)
-        least = np.minimum(least, flat[least])  # along the chain of labels
-        if np.array_equal(least, of):
-            return np.where(mask, of, -1)
-        of = least
-
-
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     outside = label(np.pad(~mask, 1, constant_values=True), diagonal=False)
     return outside[1:-1, 1:-1] != 0
@@ -217,10 +201,44 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, dict[int, float]]:
     return labels, areas
 
 
+class Leaf:
+    """What jobs ask of one image: its mask, objects and largest object, each computed once, when it is first asked for."""
+
+    def __init__(self, image: np.ndarray) -> None:
+        self.image = image
+
+    @cached_property
+    def mask(self) -> np.ndarray:
+        return leaf_mask(self.image)
+
+    @cached_property
+    def objects(self) -> tuple[np.ndarray, dict[int, float]]:
+        return components(self.mask)
+
+    @cached_property
+    def name(self) -> int | None:
+        return largest_of(self.objects[1])
+
+    @cached_property
+    def largest(self) -> np.ndarray | None:
+        return None if self.name is None else self.objects[0] == self.name
+
+    @cached_property
+    def outline(self) -> np.ndarray:
+        """The largest object's border."""
+        return border(self.largest, (self.name % self.mask.shape[1], self.name // self.mask.shape[1]))
+
+
+def largest_of(areas: dict[int, float]) -> int | None:
+    """The object of the largest outline; of equals the one that begins first. None without any."""
+    return max(areas, key=lambda k: (areas[k], -k)) if areas else None
+
+
 def largest(mask: np.ndarray) -> np.ndarray | None:
-    """The component of the largest outline, its holes filled; of equals the one that begins first. None without any."""
+    """The component of the largest outline, its holes filled."""
     labels, areas = components(mask)
-    return labels == max(areas, key=lambda k: (areas[k], -k)) if areas else None
+    name = largest_of(areas)
+    return None if name is None else labels == name
 
 
 def box(mask: np.ndarray) -> tuple[int, int, int, int]:
@@ -229,60 +247,52 @@ def box(mask: np.ndarray) -> tuple[int, int, int, int]:
     return int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)
 
 
-def roi(image: np.ndarray) -> np.ndarray | None:
+def roi(leaf: Leaf) -> np.ndarray | None:
     """The objects that meet the box of the largest in green, and the box in blue, three pixels thick."""
-    mask = leaf_mask(image)
-    most = largest(mask)
-    if most is None:
+    if leaf.largest is None:
         return None
-    x, y, w, h = box(most)
-    labels, _ = components(mask)
+    x, y, w, h = box(leaf.largest)
+    labels, _ = leaf.objects
     met = np.unique(labels[y : y + h, x : x + w])
-    out = image.copy()
+    out = leaf.image.copy()
     out[np.isin(labels, met[met >= 0])] = (0, 255, 0)
-    rows, cols = np.indices(mask.shape)
+    rows, cols = np.indices(labels.shape)
     near = (rows >= y - 1) & (rows <= y + h) & (cols >= x - 1) & (cols <= x + w)
     inner = (rows > y + 1) & (rows < y + h - 2) & (cols > x + 1) & (cols < x + w - 2)
     out[near & ~inner] = (255, 0, 0)
     return out
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull of (x, y) points, by a sweep from left to right and back."""
-    ranked = sorted(map(tuple, points.tolist()))
-    if len(ranked) < 3:
-        return np.array(ranked)
-
-    def side(rows: list) -> list:
-        out: list = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(side(ranked) + side(ranked[::-1]))
+def size_traits(leaf: Leaf) -> dict[str, float]:
+    """Pixels, box and centre of the largest object."""
+    mask = leaf.largest
+    y, x = np.nonzero(mask)
+    left, top, w, h = int(x.min()), int(y[0]), int(x.max() - x.min() + 1), int(y[-1] - y[0] + 1)
+    return {
+        "area": len(x), "x": left, "y": top, "width": w, "height": h, "sum_x": int(x.sum()), "sum_y": int(y.sum()), "centre_x": float(x.mean()), "centre_y": float(y.mean()),
+        "in_frame": bool(left > 0 and top > 0 and left + w < mask.shape[1] and top + h < mask.shape[0]),
+    }
 
 
-def shape_traits(mask: np.ndarray) -> dict[str, float]:
-    """Measures of one object: counts, box, centre, hull, outline, longest way across, and its ellipse."""
+def shape_traits(leaf: Leaf) -> dict[str, float | None]:
+    """Measures of the largest object: size, hull, outline, longest way across, the ellipse of its spread, and the ellipse
+    fitted to its border (null where there is none)."""
+    mask, found = leaf.largest, size_traits(leaf)
     y, x = np.nonzero(mask)
-    left, top, w, h = box(mask)
-    corners = hull(np.stack([x, y], 1))
-    turned = np.roll(corners, -1, 0)
-    hull_area = abs(float((corners[:, 0] * turned[:, 1] - corners[:, 1] * turned[:, 0]).sum())) / 2
+    around = hull(row_ends(mask))
+    turned = np.roll(around, -1, 0)
+    hull_area = abs(float((around[:, 0] * turned[:, 1] - around[:, 1] * turned[:, 0]).sum())) / 2
     padded = np.pad(mask, 1)
     inner = padded[1:-1, :-2] & padded[1:-1, 2:] & padded[:-2, 1:-1] & padded[2:, 1:-1]
-    across = max((float(np.hypot(*(corners - c).T).max()) for c in corners), default=0.0)
-    mx, my = float(x.mean()), float(y.mean())
+    mx, my = found["centre_x"], found["centre_y"]
     sxx, syy, sxy = float(((x - mx) ** 2).mean()), float(((y - my) ** 2).mean()), float(((x - mx) * (y - my)).mean())
     mid, off = (sxx + syy) / 2, math.hypot((sxx - syy) / 2, sxy)
     major, minor = 4 * math.sqrt(mid + off), 4 * math.sqrt(max(0.0, mid - off))
-    return {
-        "area": len(x), "x": left, "y": top, "width": w, "height": h, "centre_x": mx, "centre_y": my, "hull_area": hull_area, "hull_corners": len(corners),
-        "solidity": components(mask)[1][int(y[0] * mask.shape[1] + x[0])] / hull_area if hull_area else 1.0, "perimeter": int((mask & ~inner).sum()), "longest_path": across,
-        "in_frame": bool(left > 0 and top > 0 and left + w < mask.shape[1] and top + h < mask.shape[0]),
-        "ellipse_major": major, "ellipse_minor": minor, "ellipse_angle": math.degrees(0.5 * math.atan2(2 * sxy, sxx - syy)), "eccentricity": math.sqrt(max(0.0, 1 - (minor / major) ** 2)) if major else 0.0,
+    fit = ellipse(leaf.outline) or (None,) * 5
+    return found | {
+        "hull_area": hull_area, "hull_corners": len(around), "solidity": leaf.objects[1][leaf.name] / hull_area if hull_area else 1.0, "perimeter": int((mask & ~inner).sum()),
+        "longest_path": math.dist(*farthest(around)), "ellipse_major": major, "ellipse_minor": minor, "ellipse_angle": math.degrees(0.5 * math.atan2(2 * sxy, sxx - syy)),
+        "eccentricity": math.sqrt(max(0.0, 1 - (minor / major) ** 2)) if major else 0.0, **dict(zip(("fit_x", "fit_y", "fit_major", "fit_minor", "fit_angle"), fit, strict=True)),
     }
 
 
@@ -334,10 +344,16 @@ def line(image: np.ndarray, start: tuple[int, int], end: tuple[int, int], colour
 CURVES = [(255, 0, 0), (0, 128, 0), (0, 0, 255), (105, 105, 105), (255, 0, 255), (0, 255, 255), (226, 43, 138), (255, 255, 0), (0, 165, 255)]
 
 
+def channel_counts(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """How many pixels of the mask have each of 256 values, in nine channels (9, 256): b, g, r, L, a, b, hue, saturation, value."""
+    held = image[mask][None]
+    values = np.concatenate([held, lab(held), hsv(held)], -1)[0].astype(np.int64)
+    return np.bincount((values + 256 * np.arange(9)).ravel(), minlength=2304).reshape(9, 256)
+
+
 def histogram_chart(image: np.ndarray, mask: np.ndarray, height: int = 400, width: int = 700) -> np.ndarray:
     """Curves of the nine channels' shares of the mask's pixels, by value from 0 at the left to 255 at the right."""
-    held = np.concatenate([image, lab(image), hsv(image)], -1)[mask].astype(np.int64)
-    shares = np.stack([np.bincount(held[:, k], minlength=256)[:256] / max(1, len(held)) for k in range(9)])
+    shares = channel_counts(image, mask) / max(1, int(mask.sum()))
     out, most = np.full((height, width, 3), 255, np.uint8), shares.max() or 1.0
     out[height - 20, 20 : width - 20] = out[20 : height - 20, 20] = 0
     x, y = 20 + np.arange(256) * (width - 40) // 255, height - 20 - np.rint(shares / most * (height - 40)).astype(int)
@@ -379,6 +395,9 @@ def register(name: str, kernel: Callable[..., np.ndarray]) -> None:
 
 
 def decoded(data: bytes, h: int, w: int) -> np.ndarray:
+    """Rows of pixels; none of an image that could not be decoded (its height is -1)."""
+    if h < 0:
+        return np.zeros((0, 0, 3), np.uint8)
     return np.frombuffer(data, np.uint8).reshape(h, w, 3)
 
 

@@ -66,11 +66,3 @@ def variants(files: DataFrame, n: int = 6) -> DataFrame:
 def named(outputs: DataFrame, draws: DataFrame) -> DataFrame:
     """With the drawn methods and the output's name. ``draws`` has a row for each ordinal, whichever the class."""
     return outputs.join(draws, "ordinal").withColumn("output", names.augmented(F.col("name"), F.col("methods"), F.col("k")))
-
-
-def distinct_outputs(outputs: DataFrame, *by: str) -> DataFrame:
-    """The outputs; two of the same place are an error."""
-    counted = outputs.groupBy(*by).agg(F.count("*").alias("__n"))
-    rows = outputs.join(counted, list(by))
-    checked = F.when(F.col("__n") == 1, F.col(by[-1])).otherwise(F.raise_error(F.concat(F.lit("two outputs at "), F.col(by[-1]))))
-    return rows.withColumn(by[-1], checked).drop("__n")

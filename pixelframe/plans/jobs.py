@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.functions import kernels, names
@@ -13,6 +13,7 @@ from pixelframe.operators import balance, drawplan, features
 from pixelframe.operators import distribution as stats
 from pixelframe.sources import images as sources
 from pixelframe.sources import sinks
+from pixelframe.sources.shared import settle
 
 #: Copies of an image that one row of a task makes.
 PART = 64
@@ -29,17 +30,19 @@ def class_distribution(spark: SparkSession, path: str) -> DataFrame:
 
 def plan_outputs(
     files: DataFrame, target: int | None = None, seed: int | None = 42, methods: str | list[str] | None = None, n: int | None = None, basis: str = "raw",
-    pool: list[drawplan.Method] | None = None,
+    pool: list[drawplan.Method] | None = None, deduped: DataFrame | None = None,
 ) -> DataFrame:
     """``class, name, k, ordinal, output, methods, steps, crop_seed``: all copies to make.
 
     With ``n`` every file gets so many; else each class is filled up to ``target``, or to the largest class. (class,
-    name) tells files apart. Methods are drawn from ``pool``, and their kernels are those of kernels.register()."""
+    name) tells files apart. Methods are drawn from ``pool``, and their kernels are those of kernels.register().
+    ``deduped`` is what balance.dedup() gives for the files, if it is there already."""
     spark, fixed = files.sparkSession, drawplan.lookup(methods, pool)
     if n is not None:
         outputs, most = balance.variants(files, n), n
     else:
-        deduped = balance.dedup(files)
+        # Contents are read and hashed once, whatever is asked of the result.
+        deduped = settle(balance.dedup(files), "deduped") if deduped is None else deduped
         needs = balance.need(deduped, target, basis)
         outputs, most = balance.fan_out(balance.round_robin(deduped, needs)), needs.agg(F.max("need")).first()[0] or 0
     return balance.named(outputs, drawplan.draw_plan(spark, most, seed, fixed, pool))
@@ -47,11 +50,14 @@ def plan_outputs(
 
 def make(outputs: DataFrame, images: DataFrame, pool: list[drawplan.Method] | None = None) -> DataFrame:
     """``class, name, output, methods, height, width, data``: the planned copies. An image meets its plan in parts of
-    ``PART`` copies, so its bytes are sent once for many of them."""
+    ``PART`` copies, so its bytes are sent once for many of them. One that could not be decoded (its height is -1) and is to
+    be copied fails the job."""
     known = kernels.KERNELS | {m.name: m.kernel for m in pool or [] if m.kernel}
     parts = outputs.groupBy("class", "name", F.expr(f"ordinal div {PART}").alias("part")).agg(F.collect_list(F.struct("output", "methods", "steps", "crop_seed")).alias("plan"))
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
+        if row["height"] < 0:
+            raise ValueError(f"cannot decode {row['class']}/{row['name']}")
         for p in row["plan"]:
             steps = [(s["name"], dict(s["values"])) for s in p["steps"]]
             out = np.ascontiguousarray(kernels.compose(image, steps, p["crop_seed"], known), np.uint8)
@@ -61,21 +67,22 @@ def make(outputs: DataFrame, images: DataFrame, pool: list[drawplan.Method] | No
 
 
 def augment(
-    spark: SparkSession, path: str, dst: str | None = None, n: int = 6, target: int = 0, balanced: bool = False,
-    seed: int | None = 42, methods: str | list[str] | None = None, copy_raw: bool = False, pool: list[drawplan.Method] | None = None,
+    spark: SparkSession, path: str, dst: str | None = None, n: int = 6, target: int = 0, balanced: bool = False, seed: int | None = 42,
+    methods: str | list[str] | None = None, copy_raw: bool = False, pool: list[drawplan.Method] | None = None, skip: bool = False, rejects: str | None = None, quality: int = 95,
 ) -> DataFrame:
     """Copies of one image file (``n``), of a folder that holds images (up to ``target``, which must be positive), or of
     the folders of images right below one (up to ``target``, or to the largest class if it is 0 or with ``balanced``).
     Images deeper below count for nothing. Written to ``dst`` if that is given: one image's copies there, others in a
-    folder for each class; copies keep the suffix, and where it can't be written, .png follows it."""
+    folder for each class; copies keep the suffix, and where it can't be written, .png follows it.
+
+    A file that is to be copied and can't be decoded fails the job. With ``skip`` such files are left out before anything is
+    planned: the others fill their class, and no raw copy of them is made; the table ``rejects`` (a path) then has their
+    ``path, class, name, reason``."""
     if dst is not None:
         sinks.apart(sources.qualified(spark, path), sources.qualified(spark, dst))
     one = sources.is_file(spark, path)
     below, files = None, sources.scan_files(spark, path)
-    if one:
-        outputs = plan_outputs(files, seed=seed, methods=methods, n=n, pool=pool)
-        kept = files
-    else:
+    if not one:
         below, files = 0, sources.scan_files(spark, path, below=0)
         if files.isEmpty():
             below, files = 1, sources.scan_files(spark, path, below=1)
@@ -83,25 +90,49 @@ def augment(
                 raise ValueError(f"no images and no folders with images in {path}")
         elif target <= 0:
             raise ValueError("a class folder needs a positive target")
+    if skip:
+        bad = _rejects(sources.rejected(spark, path, names.AUGMENTATION, below), rejects)
+        files = files.join(bad.select("path"), "path", "left_anti")
+    kept = files
+    if one:
+        outputs = plan_outputs(files, seed=seed, methods=methods, n=n, pool=pool)
+    else:
         to = None if below == 1 and (balanced or target <= 0) else target
-        outputs = plan_outputs(files, to, seed, methods, pool=pool)
-        kept = files.join(balance.dedup(files).where("is_kept").select("class", "name"), ["class", "name"], "left_semi")
-    made = make(outputs, sources.scan_images(spark, path, names.AUGMENTATION, below=below), pool)
-    made = made.withColumns({"kind": F.lit("augmented"), "content": F.lit(None).cast("binary")})
+        deduped = settle(balance.dedup(files), "deduped")
+        outputs = plan_outputs(files, to, seed, methods, pool=pool, deduped=deduped)
+        kept = files.join(deduped.where("is_kept").select("class", "name"), ["class", "name"], "left_semi")
+    outputs = settle(outputs, "planned")
+    place = lambda name: name if one else F.concat("class", F.lit("/"), name)
+    if dst is not None:
+        places = outputs.select(place(sinks.writable(F.col("output"))).alias("output"))
+        sinks.distinct(places.unionByName(kept.select(place(F.col("name")).alias("output"))) if copy_raw else places)
+    made = make(outputs, sources.scan_images(spark, path, names.AUGMENTATION, below=below, bad=True), pool)
+    made = made.withColumns({"kind": F.lit("augmented"), "content": F.lit(None).cast("binary"), "source": F.lit(None).cast("string")})
     if copy_raw:
         empty = {"methods": F.lit(None).cast("array<string>"), "height": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "data": F.lit(None).cast("binary")}
-        made = made.unionByName(kept.select("class", "name", "content").withColumns({"output": F.col("name"), "kind": F.lit("raw"), **empty}))
+        made = made.unionByName(kept.select("class", "name", "content", F.col("path").alias("source")).withColumns({"output": F.col("name"), "kind": F.lit("raw"), **empty}))
     if dst is not None:
         name = F.when(F.col("kind") == "raw", F.col("output")).otherwise(sinks.writable(F.col("output")))
-        placed = balance.distinct_outputs(made.withColumn("output", name if one else F.concat("class", F.lit("/"), name)), "output")
-        return sinks.write_files(placed, sources.qualified(spark, dst))
+        return sinks.write_files(made.withColumn("output", place(name)), sources.qualified(spark, dst), quality=quality)
     return made
 
 
-def transform(spark: SparkSession, src: str, transforms: tuple[str, ...] | None = None, dst: str | None = None, strength: int = 9, file: str | None = None) -> DataFrame:
+def _rejects(bad: DataFrame, path: str | None) -> DataFrame:
+    """``bad`` as a table: at ``path``, or for this job alone."""
+    if path is None:
+        return settle(bad, "rejects")
+    bad.write.parquet(path)
+    return bad.sparkSession.read.schema(bad.schema).parquet(path)
+
+
+def transform(
+    spark: SparkSession, src: str, transforms: tuple[str, ...] | None = None, dst: str | None = None, strength: int = 9, file: str | None = None, rejects: str | None = None,
+    seen: Observation | None = None, quality: int = 95,
+) -> DataFrame:
     """The transforms (all by default) of the images below ``src``, or of one file: ``src`` itself, or ``file``, whole or
     below ``src``. Written to ``dst`` (if that is a file, to its folder) in a folder for each transform: one file's there,
-    others in folders as below ``src``."""
+    others in folders as below ``src``; histograms are .png files. Files that can't be decoded are left out: ``seen`` observes
+    how many were ``read`` and ``rejected``, and the table ``rejects`` (a path) has their ``path, class, name, reason``."""
     kernels.gauss(strength)
     chosen = tuple(t for t in features.TRANSFORMS if not transforms or t in transforms)
     if unknown := set(transforms or ()) - set(features.TRANSFORMS):
@@ -114,7 +145,9 @@ def transform(spark: SparkSession, src: str, transforms: tuple[str, ...] | None
     one = sources.is_file(spark, at)
     if file is not None and not one:
         raise ValueError(f"{at} is no file")
-    made = features.transform_all(sources.scan_images(spark, at), chosen, strength).where("transform <> 'original'")
+    if rejects is not None:
+        _rejects(sources.rejected(spark, at), rejects)
+    made = features.transform_all(sources.scan_images(spark, at, seen=seen), chosen, strength).where("transform <> 'original'")
     if dst is None:
         return made
     dst = sources.qualified(spark, dst)
@@ -122,6 +155,12 @@ def transform(spark: SparkSession, src: str, transforms: tuple[str, ...] | None
         dst = dst.rpartition("/")[0]
     if not one:
         sinks.apart(src, dst)
-    relative = names.base(F.col("image_id")) if one else F.substr("image_id", F.lit(len(src) + 2))
-    output = F.concat("transform", F.lit("/"), sinks.writable(names.transformed(relative, F.col("transform"))))
-    return sinks.write_files(balance.distinct_outputs(made.withColumn("output", output), "output"), dst)
+
+    def output(path: str) -> Column:
+        relative = names.base(F.col(path)) if one else F.substr(path, F.lit(len(src) + 2))
+        name = F.when(F.col("transform") == "histogram", F.concat(names.stem(relative), F.lit("_histogram.png"))).otherwise(sinks.writable(names.transformed(relative, F.col("transform"))))
+        return F.concat("transform", F.lit("/"), name).alias("output")
+
+    listed = sources.scan_files(spark, at, names.TRANSFORMATION).select("path", F.explode(F.array(*map(F.lit, chosen))).alias("transform"))
+    sinks.distinct(listed.select(output("path")))
+    return sinks.write_files(made.withColumn("output", output("image_id")), dst, quality=quality)

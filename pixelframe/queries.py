@@ -4,23 +4,30 @@ Files are documents (named by their number, classed by language); images are vec
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.functions import kernels, names
 from pixelframe.operators import balance, distribution, drawplan, features, pixels
 from pixelframe.plans import jobs
-from pixelframe.sources.images import documents_as_files, embeddings_as_images, test_image
+from pixelframe.sources import sinks
+from pixelframe.sources.images import documents_as_files, embeddings_as_images, test_image, told
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Functions that read no table, with their SQL: tests alone compare them.
+FIXED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str | None = None, fixed: bool = False):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         name = f.__name__.removeprefix("q_")
+        if fixed:
+            FIXED[name] = f, sql
+            return f
         QUERIES[name] = f
         if sql is not None:
             ORACLE[name] = sql
@@ -164,7 +171,7 @@ _POOL_SQL = ", ".join(f"({k}, '{m.name}')" for k, m in enumerate(drawplan.POOL))
 
 
 @_query(f"""WITH pool(method_id, name) AS (VALUES {_POOL_SQL}), asked AS (SELECT unnest(string_split(' rotate,FLIP , Blur,crop', ',')) AS said, unnest(range(4)) AS nth)
-SELECT nth::INTEGER AS nth, trim(said) AS said, name, name IS NOT NULL AS known FROM asked LEFT JOIN pool ON lower(trim(said)) = lower(name)""")
+SELECT nth::INTEGER AS nth, trim(said) AS said, name, name IS NOT NULL AS known FROM asked LEFT JOIN pool ON lower(trim(said)) = lower(name)""", fixed=True)
 def q_method_lookup(spark: SparkSession, d: str) -> DataFrame:
     pool = spark.createDataFrame([(m.name,) for m in drawplan.POOL], "name string")
     asked = spark.range(1).select(F.posexplode(F.split(F.lit(" rotate,FLIP , Blur,crop"), ",")).alias("nth", "said")).withColumn("said", F.trim("said"))
@@ -206,7 +213,7 @@ _DRAWS_7 = """
 _draws_sql = lambda rows: f"draws(ordinal, crop_seed, methods, total) AS (VALUES {rows})"
 
 
-@_query(f"WITH {_draws_sql(_DRAWS_42)} SELECT ordinal::BIGINT AS ordinal, crop_seed::BIGINT AS crop_seed, methods, total::DOUBLE AS total FROM draws")
+@_query(f"WITH {_draws_sql(_DRAWS_42)} SELECT ordinal::BIGINT AS ordinal, crop_seed::BIGINT AS crop_seed, methods, total::DOUBLE AS total FROM draws", fixed=True)
 def q_draw_plan(spark: SparkSession, d: str) -> DataFrame:
     total = F.aggregate("steps", F.lit(0.0), lambda n, s: n + F.aggregate(F.map_values(s["values"]), F.lit(0.0), lambda m, v: m + v))
     return drawplan.draw_plan(spark, 64, 42).select("ordinal", "crop_seed", F.array_join("methods", "_").alias("methods"), total.alias("total"))
@@ -386,6 +393,25 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     return features.objects(embeddings_as_images(spark, d))
 
 
+#: The border is followed pixel by pixel: ``d`` is the way from a point to the one before it, and of the eight ways that come
+#: after it counter-clockwise the first that stays on the object is taken; a point is kept where the way changes, and the first.
+_DX, _DY = "[1, 1, 0, -1, -1, -1, 0, 1]", "[0, -1, -1, -1, 0, 1, 1, 1]"
+_ON = "(p % 8 + {dx}[{k} + 1] BETWEEN 0 AND 7 AND p // 8 + {dy}[{k} + 1] BETWEEN 0 AND 7 AND list_contains(l, (p // 8 + {dy}[{k} + 1]) * 8 + p % 8 + {dx}[{k} + 1]))"
+_BORDER = _OBJECTS + f""", shape AS (SELECT image_id, object, list(p) AS l, object AS p FROM member GROUP BY ALL),
+began AS (SELECT image_id, object, l, p, list_filter([4, 3, 2, 1, 0, 7, 6, 5], lambda k: {_ON.format(k='k', dx=_DX, dy=_DY)})[1] AS back FROM shape),
+walk AS (SELECT image_id, object, l, 0 AS i, p, back AS d, p + 8 * {_DY}[back + 1] + {_DX}[back + 1] AS last, false AS done FROM began WHERE back IS NOT NULL UNION ALL
+  SELECT image_id, object, l, i + 1, q, (k + 4) % 8, last, q = object AND p = last FROM (
+    SELECT *, p + 8 * {_DY}[k + 1] + {_DX}[k + 1] AS q FROM (SELECT *, list_filter(list_transform(range(1, 9), lambda z: (d + z) % 8), lambda k: {_ON.format(k='k', dx=_DX, dy=_DY)})[1] AS k FROM walk WHERE NOT done))),
+ways AS (SELECT image_id, object, i, p, (d + 4) % 8 AS came, lead((d + 4) % 8) OVER (PARTITION BY image_id, object ORDER BY i) AS went, done FROM walk),
+kept AS (SELECT image_id, object, i, p FROM ways WHERE NOT done AND (i = 0 OR came <> went) UNION ALL SELECT image_id, object, 0, object FROM began WHERE back IS NULL)"""
+
+
+@_query(f"""WITH RECURSIVE {_BORDER} SELECT image_id, label AS class, object::INTEGER AS object, (row_number() OVER (PARTITION BY image_id, object ORDER BY i) - 1)::INTEGER AS nth, (p % 8)::INTEGER AS x, (p // 8)::INTEGER AS y
+FROM kept JOIN embeddings ON vec_id = image_id""")
+def q_contours(spark: SparkSession, d: str) -> DataFrame:
+    return features.contours(embeddings_as_images(spark, d))
+
+
 @_query(f"WITH RECURSIVE {_OBJECTS} SELECT image_id, y::INTEGER AS y, x::INTEGER AS x FROM big")
 def q_largest_leaf(spark: SparkSession, d: str) -> DataFrame:
     return _on(spark, d, features.largest_mask).where("on").select("image_id", "y", "x")
@@ -396,7 +422,7 @@ _BOX = "box AS (SELECT image_id, count(*) AS area, min(x)::INTEGER AS x, min(y):
 
 @_query(f"WITH RECURSIVE {_OBJECTS}, {_BOX} SELECT * FROM box")
 def q_bbox(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.boxes(_on(spark, d, features.largest_mask), F.col("on"))
+    return features.sizes(embeddings_as_images(spark, d)).select("image_id", "area", "x", "y", "width", "height", "sum_x", "sum_y")
 
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_BOX}, met AS (SELECT DISTINCT m.image_id, m.object FROM member m, box WHERE m.image_id = box.image_id AND m.x BETWEEN box.x AND box.x + width - 1 AND m.y BETWEEN box.y AND box.y + height - 1),
@@ -405,7 +431,7 @@ o AS (SELECT p.*, gr.image_id IS NOT NULL AS green, p.x BETWEEN box.x - 1 AND bo
   AND NOT (p.x > box.x + 1 AND p.x < box.x + width - 2 AND p.y > box.y + 1 AND p.y < box.y + height - 2) AS blue FROM pix p JOIN box ON p.image_id = box.image_id LEFT JOIN green gr ON gr.image_id = p.image_id AND gr.y = p.y AND gr.x = p.x)
 SELECT image_id, class, y, x, CASE WHEN blue THEN 255 WHEN green THEN 0 ELSE b END AS b, CASE WHEN blue THEN 0 WHEN green THEN 255 ELSE g END AS g, CASE WHEN blue OR green THEN 0 ELSE r END AS r FROM o""")
 def q_roi_overlay(spark: SparkSession, d: str) -> DataFrame:
-    return _pixels(spark, d, kernels.roi)
+    return _pixels(spark, d, lambda image: kernels.roi(kernels.Leaf(image)))
 
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_LAB}, held AS (SELECT lab.* FROM lab JOIN big USING (image_id, y, x)), total AS (SELECT image_id, count(*) AS total FROM held GROUP BY 1),
@@ -417,7 +443,7 @@ def q_channel_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {_OBJECTS}, {_BOX} SELECT image_id, area, x, y, width, height, sum_x / area AS centre_x, sum_y / area AS centre_y, x > 0 AND y > 0 AND x + width < 8 AND y + height < 8 AS in_frame FROM box")
 def q_size_traits(spark: SparkSession, d: str) -> DataFrame:
-    return features.traits(embeddings_as_images(spark, d)).select("image_id", "area", "x", "y", "width", "height", "centre_x", "centre_y", "in_frame")
+    return features.sizes(embeddings_as_images(spark, d)).select("image_id", "area", "x", "y", "width", "height", "centre_x", "centre_y", "in_frame")
 
 
 @_query()
@@ -430,7 +456,7 @@ _BANDS = "tops AS (SELECT image_id, min(y) AS top, max(y) - min(y) + 1 AS h FROM
 
 @_query(f"WITH RECURSIVE {_OBJECTS}, {_BANDS} SELECT image_id, band::INTEGER AS band, left_x, right_x, centre_x, centre_y FROM bands")
 def q_pseudolandmarks(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.bands(_on(spark, d, features.largest_mask), F.col("on"))
+    return features.landmark_bands(embeddings_as_images(spark, d)).drop("class")
 
 
 @_query(f"""WITH RECURSIVE {_OBJECTS}, {_BANDS}, points AS (SELECT image_id, 1 AS z, left_x AS px, centre_y AS py FROM bands UNION ALL SELECT image_id, 2, right_x, centre_y FROM bands UNION ALL SELECT image_id, 3, centre_x, centre_y FROM bands),
@@ -438,7 +464,7 @@ hit AS (SELECT p.image_id, p.y, p.x, max(z) AS z FROM pix p JOIN points q ON p.i
 SELECT image_id, class, y, x, CASE z WHEN 1 THEN 255 WHEN 2 THEN 255 WHEN 3 THEN 0 ELSE b END AS b, CASE z WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 79 ELSE g END AS g, CASE z WHEN 1 THEN 0 WHEN 2 THEN 255 WHEN 3 THEN 255 ELSE r END AS r
 FROM pix LEFT JOIN hit USING (image_id, y, x) WHERE image_id IN (SELECT image_id FROM big)""")
 def q_landmark_overlay(spark: SparkSession, d: str) -> DataFrame:
-    return _pixels(spark, d, features.landmark_image)
+    return _pixels(spark, d, lambda image: features.landmark_image(kernels.Leaf(image)))
 
 
 #: Fixed values of the generated test image: the codes of its cells row by row, and colours as blue, green and red.
@@ -458,7 +484,7 @@ def _test_image_sql(size: int = 400) -> str:
     return f"SELECT y::INTEGER AS y, x::INTEGER AS x, {channel(0)} AS b, {channel(1)} AS g, {channel(2)} AS r FROM (SELECT y, x, {code} AS code FROM (SELECT unnest(range({size})) AS y), (SELECT unnest(range({size})) AS x))"
 
 
-@_query(_test_image_sql())
+@_query(_test_image_sql(), fixed=True)
 def q_test_image(spark: SparkSession, d: str) -> DataFrame:
     return test_image(spark)
 
@@ -469,7 +495,7 @@ _SWEPT = [
 ]
 
 
-@_query(" UNION ALL ".join(f"SELECT '{m}' AS method, '{name}' AS name, {lo}::DOUBLE + k * {step}::DOUBLE AS value FROM (SELECT unnest(range({n + 1})) AS k)" for m, name, lo, step, n in _SWEPT))
+@_query(" UNION ALL ".join(f"SELECT '{m}' AS method, '{name}' AS name, {lo}::DOUBLE + k * {step}::DOUBLE AS value FROM (SELECT unnest(range({n + 1})) AS k)" for m, name, lo, step, n in _SWEPT), fixed=True)
 def q_parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return drawplan.sweep(spark)
 
@@ -479,6 +505,31 @@ def _image_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return images.select("class", "name", F.col("data").alias("content")), images
 
 
+#: Payloads made of vectors: whole files, cut ones, one with a bit turned over, text, nothing and null.
+_BROKEN = ["whole png", "whole jpeg", "whole bmp", "cut png", "cut jpeg", "cut bmp", "turned png", "text", "empty", "null"]
+
+
+def payload(image: np.ndarray, how: str) -> bytes | None:
+    kind = how.rpartition(" ")[2]
+    if f".{kind}" not in sinks.ENCODERS:
+        return {"text": b"no image at all", "empty": b"", "null": None}[how]
+    data = sinks.ENCODERS[f".{kind}"](image)
+    if how.startswith("cut"):
+        return data[: len(data) // 2 if kind != "jpeg" else -2]
+    return data if how.startswith("whole") else data[:20] + bytes([data[20] ^ 1]) + data[21:]
+
+
+@_query("""
+SELECT vec_id AS image_id, CASE WHEN k IN (0, 3, 6) THEN 'png' WHEN k IN (1, 4) THEN 'jpeg' WHEN k IN (2, 5) THEN 'bmp' END AS kind, CASE WHEN k < 3 THEN 8 END::INTEGER AS width,
+  CASE WHEN k < 3 THEN 8 END::INTEGER AS height, 1::INTEGER AS orientation, CASE WHEN k < 3 THEN NULL WHEN k < 6 THEN 'cut short' WHEN k = 6 THEN 'damaged' WHEN k = 7 THEN 'unknown kind' ELSE 'empty' END AS reason
+FROM (SELECT vec_id, vec_id % 10 AS k FROM embeddings)""")
+def q_rejected_payloads(spark: SparkSession, d: str) -> DataFrame:
+    def work(image: np.ndarray, row: dict) -> Iterator[dict]:
+        yield {"content": payload(image, _BROKEN[row["image_id"] % 10])}
+
+    return told(kernels.map_images(embeddings_as_images(spark, d), work, "content binary"), "content", ("image_id",))
+
+
 @_query()
 def q_compose_augment(spark: SparkSession, d: str) -> DataFrame:
     files, images = _image_files(spark, d)

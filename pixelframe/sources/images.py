@@ -5,11 +5,15 @@ Files are listed with their content only where it is asked for: Spark prunes wha
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.functions import names
+from pixelframe.functions import names, payloads
+from pixelframe.sources.shared import discard, settle
 
 #: Fixed values of the generated test image: an 8 by 8 grid of cells and the colours (blue, green, red) of its codes.
 PATTERN = [
@@ -62,11 +66,16 @@ def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = nam
     return files if below is None else files.where(F.size(F.split(F.substr("path", F.lit(len(root) + 2)), "/")) == below + 1)
 
 
-def scan_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION, strict: bool = False, below: int | None = None) -> DataFrame:
+def scan_images(
+    spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION, strict: bool = False, below: int | None = None, turn: bool = True,
+    bad: bool = False, seen: Observation | None = None,
+) -> DataFrame:
     """Decoded images of the files below a folder (see scan_files()). Files that can't be decoded are left out, or with
-    ``strict`` fail the job.
+    ``strict`` fail the job, or with ``bad`` stay, with a height of -1; ``seen`` observes how many were ``read`` and
+    ``rejected``.
 
-    Grey images get three equal channels, a fourth channel is dropped. Rotation marks in the files are not applied."""
+    Grey images get three equal channels, a fourth channel is dropped. What a file says of its orientation is applied, unless
+    ``turn`` is off: for that the marks of JPEG files are read first."""
     root = qualified(spark, path)
     image = spark.read.format("image").option("recursiveFileLookup", str(below != 0).lower()).load(_escaped(root)).select("image.*")
     origin = _plain(F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B"))))
@@ -75,20 +84,69 @@ def scan_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = na
     if below is not None:
         rows = rows.where(F.size(F.split(F.substr("image_id", F.lit(len(root) + 2)), "/")) == below + 1)
     good = F.col("height") >= 0
+    if seen is not None:
+        rows = rows.observe(seen, F.count("*").alias("read"), F.count_if(~good).alias("rejected"))
     if strict:
         rows = rows.withColumn("height", F.when(good, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("cannot decode "), F.col("image_id")))))
-    else:
+    elif not bad:
         rows = rows.where(good)
     from pixelframe.functions.kernels import three_channels
 
     data = F.when(F.col("nChannels") == 3, F.col("data")).otherwise(three_channels(F.col("data"), F.col("nChannels")))
-    return rows.select("image_id", "class", "name", "height", "width", data.alias("data"))
+    rows = rows.select("image_id", "class", "name", "height", "width", data.alias("data"))
+    if not turn:
+        return rows
+    marked = catalogue(spark, path, tuple(e for e in extensions if e in (".jpg", ".jpeg")), below).where("orientation > 1").select(F.col("path").alias("image_id"), "orientation")
+    return _upright(rows, settle(marked, "turned"))
 
 
-def skipped_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION) -> DataFrame:
-    """The files that scan_images() leaves out because they can't be decoded."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(_escaped(qualified(spark, path))).where("image.height < 0")
-    return image.select("image.origin").where(names.is_image(names.base(F.col("origin")), extensions))
+#: Turned files whose list is sent to all tasks, at some 200 bytes each.
+_TURNED = 100_000
+
+
+def _upright(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The images, those of ``marked`` (image_id, orientation) turned. With none there is nothing to do."""
+    n = marked.count()
+    if not n:
+        discard(marked)
+        return rows
+    from pixelframe.functions.kernels import map_images
+
+    def work(image: np.ndarray, row: dict) -> Iterator[dict]:
+        out = payloads.upright(image, row["orientation"] or 1) if row["height"] > 0 else image
+        yield {"height": out.shape[0], "width": out.shape[1], "data": np.ascontiguousarray(out).tobytes()} if row["height"] > 0 else {k: row[k] for k in ("height", "width", "data")}
+
+    joined = rows.join(F.broadcast(marked) if n <= _TURNED else marked, "image_id", "left")
+    return map_images(joined, work, "height int, width int, data binary", ("image_id", "class", "name"), ("orientation",))
+
+
+_TOLD = "kind string, width int, height int, orientation int, reason string"
+
+
+def told(rows: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the payloads in a column say of themselves (see payloads.probe()), with the columns to ``keep``. A task looks at
+    one payload at a time."""
+    kinds = pa.schema([("kind", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("orientation", pa.int32()), ("reason", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.RecordBatch.from_pylist([payloads.probe(value.as_py())._asdict() for value in batch.column(len(keep))], kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found.columns], [*keep, *kinds.names])
+
+    own = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(*keep, F.col(content).cast("binary")).mapInArrow(run, own + _TOLD)
+
+
+def catalogue(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.AUGMENTATION, below: int | None = None) -> DataFrame:
+    """``path, class, name, length, kind, width, height, orientation, reason`` of image files, by their bytes, not decoded."""
+    return told(scan_files(spark, path, extensions, below), "content", ("path", "class", "name", "length"))
+
+
+def rejected(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.TRANSFORMATION, below: int | None = None) -> DataFrame:
+    """``path, class, name, reason`` of the files that can't be decoded."""
+    bad = scan_images(spark, path, extensions, below=below, turn=False, bad=True).where("height < 0").select(F.col("image_id").alias("path"))
+    reason = F.coalesce("reason", F.lit("cannot be decoded"))
+    return catalogue(spark, path, extensions, below).join(bad, "path", "left_semi").select("path", "class", "name", reason.alias("reason"))
 
 
 def classes_of(spark: SparkSession, path: str) -> DataFrame:

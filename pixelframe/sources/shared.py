@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` and reads it back, so that all later uses see the same rows in the same partitions."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the session's Python process ends, if not before."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # as in tests, on one machine
         if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
@@ -19,5 +19,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="pixelframe-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone already: the cluster's own cleaner takes the folder
+        pass
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` and reads it back, so that all later uses see the same rows in the same partitions."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that settle() wrote and that nothing reads any more."""
+    for df in tables:
+        for path in {str(name).rpartition("/")[0] for name in df.inputFiles()}:
+            remove(df.sparkSession, path)

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from pixelframe.functions import kernels
-from pixelframe.operators import drawplan, features
-from pixelframe.queries import ORACLE, QUERIES
+from pixelframe.operators import drawplan, features, pixels
+from pixelframe.queries import FIXED, ORACLE, QUERIES
 from pixelframe.sources.images import embeddings_as_images
 
 
@@ -14,6 +14,11 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE[name])
 
 
+@pytest.mark.parametrize("name", sorted(FIXED))
+def test_function_equals_sql(name, same_as_sql):
+    same_as_sql(*FIXED[name])
+
+
 @pytest.fixture(scope="module")
 def held(spark, tables):
     return {r.image_id: (r["class"], np.frombuffer(r.data, np.uint8).reshape(8, 8, 3)) for r in embeddings_as_images(spark, tables).collect()}
@@ -53,13 +58,57 @@ def test_balanced_copies_against_one_loop(spark, tables, held):
 
 
 def test_transforms_against_one_loop(spark, tables, held):
-    expected = {}
-    for key, (_, image) in held.items():
-        for name in ("original", *features.TRANSFORMS):
-            if (out := image if name == "original" else features.IMAGES[name](image)) is not None:
-                expected[key, name] = digest(out)
+    """The images that other queries, held against SQL, make pixel by pixel, and charts and drawings by their definitions."""
     got = {(r.image_id, r.transform): r.sha256 for r in QUERIES["transform_all"](spark, tables).collect()}
-    assert got == expected
+
+    def whole(rows):
+        found = {}
+        for r in rows.collect():
+            found.setdefault(r.image_id, np.zeros((8, 8, 3), np.uint8))[r.y, r.x] = (r.b, r.g, r.r)
+        return {key: digest(image) for key, image in found.items()}
+
+    expected = {(key, "original"): digest(image) for key, (_, image) in held.items()}
+    for name, query in {"blur": "gaussian_blur", "mask": "masked_image", "roi": "roi_overlay", "pseudolandmarks": "landmark_overlay"}.items():
+        expected |= {(key, name): sha for key, sha in whole(QUERIES[query](spark, tables)).items()}
+    shares = {}
+    for r in QUERIES["channel_histogram"](spark, tables).collect():
+        shares.setdefault(r.image_id, {}).setdefault(r.channel, np.zeros(256))[r.intensity] = r.pct / 100
+    colours = dict(zip(pixels.CHANNELS, kernels.CURVES, strict=True))
+    for key, curves in shares.items():
+        chart, most = np.full((400, 700, 3), 255, np.uint8), max(c.max() for c in curves.values())
+        chart[380, 20:680] = chart[20:380, 20] = 0
+        for channel, colour in colours.items():
+            points = [(20 + k * 660 // 255, 380 - round(curves[channel][k] / most * 360)) for k in range(256)]
+            for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+                for step in range((n := max(abs(x1 - x0), abs(y1 - y0))) + 1):
+                    chart[round(y0 + (y1 - y0) * step / n) if n else y0, round(x0 + (x1 - x0) * step / n) if n else x0] = colour
+        expected[key, "histogram"] = digest(chart)
+    assert {k: v for k, v in got.items() if k[1] != "analyze"} == expected
+    assert {key for key, name in got if name == "analyze"} == set(shares)
+
+
+def test_analysis_by_its_parts(spark, tables, held):
+    """The largest object's border, box, hull and longest way in their colours, from rows of other queries; all else stays."""
+    big = {}
+    for r in QUERIES["largest_leaf"](spark, tables).collect():
+        big.setdefault(r.image_id, set()).add((r.x, r.y))
+    got = {r.image_id: np.frombuffer(r.data, np.uint8).reshape(8, 8, 3) for r in features.transform_all(embeddings_as_images(spark, tables), ("analyze",)).where("transform = 'analyze'").collect()}
+    assert got.keys() == big.keys()
+    for key, on in big.items():
+        xs, ys = [x for x, _ in on], [y for _, y in on]
+        frame = {(x, y) for x in range(min(xs), max(xs) + 1) for y in range(min(ys), max(ys) + 1) if x in (min(xs), max(xs)) or y in (min(ys), max(ys))}
+        edge = {(x, y) for x, y in on if any((x + dx, y + dy) not in on for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))}
+        for y in range(8):
+            for x in range(8):
+                colour = tuple(got[key][y, x].tolist())
+                # Hull and way across run within the box, over the object and its bays.
+                if colour == (255, 0, 0):
+                    assert (x, y) in edge
+                elif colour not in ((255, 0, 255), (0, 165, 255)):
+                    assert (x, y) not in edge | frame and colour == tuple(held[key][1][y, x].tolist())
+                else:
+                    assert min(xs) <= x <= max(xs) and min(ys) <= y <= max(ys)
+        assert any(tuple(c) == (0, 165, 255) for c in got[key].reshape(-1, 3).tolist())
 
 
 def test_shapes_against_definitions(spark, tables, held):
