@@ -1,134 +1,195 @@
-"""Operator 5: language-model scores by stupid backoff, computed relationally.
+"""Operator 5: language-model scores by stupid backoff, computed relationally, each row under the model of all others.
 
-One count table holds every n-gram (n from 1 to ``order``) of all documents that occurs ``least`` times or more, grouped
-by the n-gram's hash and counted before and after the shuffle. Joined to itself it gives each n-gram's score: a word
-scores ln(c(gram) / c(gram without its last word)) for the longest known gram that ends in it, plus ln(``backoff``) for
-each order given up; a single word scores ln(c(word) / words). The scores are joined to the exploded n-grams of the
-documents and summed per document. They are whole millionths of a nat, so sums do not depend on their order.
+A row's own words are no evidence for it, so its n-grams are counted out: an n-gram that only this row holds is unknown to
+the model. A word scores ln(c(gram) / c(gram without its last word)) for the longest known n-gram (of up to ``order`` words)
+that ends in it, plus ln(``backoff``) for each order given up, c being what all other rows hold; a single word scores
+ln(c(word) / words of all other rows), and an unknown one as if it stood there once. Scores are whole millionths of a nat, so
+sums do not depend on their order.
 
-If every gram counts (``least`` is 1), a word's longest gram is always known, and only that one is exploded. Otherwise
-the sum is taken over all grams: a known gram implies that its suffix is known, so a word's score is that of the single
-word, plus for each longer known gram the difference to the score of its suffix.
+Order by order the n-grams of a row, each with its number in it, are exploded as hashes; a count table, partitioned by hash
+and counted before and after the shuffle, keeps those that two rows or more hold, for no other can be known to anybody; it
+is joined to the exploded n-grams, and what is left of each count comes back to its row, where it is summed per document.
+What an order leaves behind is dropped before the next one begins. All joins are plain equi-joins of shuffled tables, which
+Spark splits where a gram is frequent; a row sends a frequent gram once, not for each of its places; nothing is broadcast or
+collected but the number of all words.
 
-All joins are plain equi-joins of shuffled tables, which Spark splits where a gram is frequent; nothing is broadcast or
-collected but the number of all words. Words and grams are told apart by 64-bit hashes, which are not verified: among
-10 ** 9 different grams some 0.03 pairs are expected to share a hash, among 10 ** 12 some 27,000.
+Words, n-grams and rows are told apart by 64-bit hashes, which are not verified: among 10 ** 9 different ones some 0.03 pairs
+are expected to share a hash, among 10 ** 12 some 27,000.
 
 Words are runs of anything but ASCII white space, A-Z in lower case.
 
-Cases: null and empty texts have no words and no score (null); repeated rows each count and each get a row; a null
-key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result.
+Cases: null and empty texts have no words and no score (null); repeated rows are evidence for each other and each get a row;
+a null key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result; a corpus of one
+row knows nothing.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, free, table
+from pixelframe.llm.common import cut, free, map_arrow, table
 
-ORDER, LEAST, BACKOFF = 3, 1, 0.4
+ORDER, BACKOFF = 3, 0.4
 _MICRO = 1_000_000
-#: What tells rows of documents apart; rows that are alike have one score.
-_ROW = ["row", "tag"]
+#: Hashes of words that a task remembers; beyond it the memory starts anew.
+_KEPT = 300_000
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+class Grams:
+    """Hashes of the n-grams of a text, by order: of each word's n-gram that ends in it."""
 
+    def __init__(self) -> None:
+        self.kept: dict[bytes, int] = {}
 
-def grams(docs: DataFrame, order: int, longest: bool = False) -> DataFrame:
-    """``row, tag, n, gram, before, suffix`` for all n-grams of ``words``, or for each word the longest that ends in it:
-    hashes of the n-gram, and of it without its last and without its first word."""
-    coded = docs.select(*_ROW, F.transform("words", lambda w: F.xxhash64(w)).alias("w0"))
-    shifted = lambda k: F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice("w0", 1, F.greatest(F.size("w0") - k, F.lit(0))))
-    lags = [f"w{k}" for k in range(order)]
-    coded = coded.select(*_ROW, "w0", *(shifted(k).alias(lags[k]) for k in range(1, order)))
-    said = coded.select(*_ROW, F.inline(F.arrays_zip(*lags))).where("w0 is not null")
-    each = []
-    for n in range(1, order + 1):
-        words = lags[n - 1 :: -1]
-        before, suffix = (F.xxhash64(*w) if w else F.lit(None).cast("long") for w in (words[:-1], words[1:]))
-        each.append(F.when(F.col(lags[n - 1]).isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*words).alias("gram"), before.alias("before"), suffix.alias("suffix"))))
-    if longest:
-        return said.select(*_ROW, F.coalesce(*each[::-1]).alias("g")).select(*_ROW, "g.*")
-    return said.select(*_ROW, F.explode(F.array_compact(F.array(*each))).alias("g")).select(*_ROW, "g.*")
+    def words(self, text: str | None) -> np.ndarray:
+        words = text.encode().lower().split() if text else []  # of bytes: ASCII letters and white space only
+        if len(self.kept) > _KEPT:
+            self.kept.clear()
+        kept = self.kept
+        for word in set(words).difference(kept):
+            kept[word] = xxhash.xxh3_64_intdigest(word)
+        return np.array([kept[word] for word in words], np.uint64)
 
+    def __call__(self, text: str | None, order: int) -> list[np.ndarray]:
+        """For n = 1, 2, ...: the n-grams that end at word n - 1, n, ..."""
+        words = self.words(text)
+        out = [words]
+        for n in range(1, order):
+            longer = out[-1][:-1] * _STEPS[0] + words[n:] * _STEPS[1] + np.uint64(n)
+            longer = (longer ^ (longer >> np.uint64(31))) * _STEPS[2]
+            out.append(longer ^ (longer >> np.uint64(29)))
+        return out
 
-def gram_counts(exploded: DataFrame, least: int = LEAST) -> DataFrame:
-    """``n, gram, before, count`` of the n-grams that occur ``least`` times, words all; with a suffix if some are left out."""
-    return exploded.groupBy("n", "gram", "before", *["suffix"] * (least > 1)).agg(F.count("*").alias("count")).where((F.col("n") == 1) | (F.col("count") >= least))
 
+def exploded(read: DataFrame, n: int) -> DataFrame:
+    """``row, gram, own`` of the n-grams of ``row, text``: each once for a row, with its number in it."""
 
-def _micro(ratio: Column) -> Column:
-    return F.floor(F.log(ratio) * _MICRO + 0.5)
+    class Explode:
+        def __init__(self) -> None:
+            self.grams = Grams()
 
+        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(self.grams(text, n)[n - 1], return_counts=True) for text in batch.column(1).to_pylist()]
+            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(grams) for grams, _ in found])))
+            grams, own = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([row, pa.array(grams.view(np.int64)), pa.array(own.astype(np.int32))], ["row", "gram", "own"])
 
-def scores(counts: DataFrame) -> DataFrame:
-    """``micro`` of each gram of ``counts``: what it scores by itself."""
-    total = counts.where("n = 1").agg(F.sum("count")).first()[0] or 1
-    single = counts.where("n = 1").withColumn("micro", _micro(F.col("count") / F.lit(total)))
-    shorter = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("before"), F.col("count").alias("of"))
-    longer = counts.where("n > 1").join(shorter, ["n", "before"]).withColumn("micro", _micro(F.col("count") / F.col("of")))
-    return single.unionByName(longer.drop("of")).drop("before", "count")
+    return map_arrow(read.select("row", "text"), "row long, gram long, own int", Explode)
 
 
-def differences(known: DataFrame, lost: int) -> DataFrame:
-    """The same, less what the suffix scores and a step back costs."""
-    shorter = known.select((F.col("n") + 1).alias("n"), F.col("gram").alias("suffix"), F.col("micro").alias("less"))
-    longer = known.where("n > 1").join(shorter, ["n", "suffix"]).withColumn("micro", F.col("micro") - F.col("less") - lost)
-    return known.where("n = 1").unionByName(longer.drop("less")).drop("suffix")
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """``gram, count`` of the n-grams that two rows or more hold."""
+    return grams.groupBy("gram").agg(F.sum("own").alias("count"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
 
 
-def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, micro, score`` of every row under the model of all rows: the sum in millionths of a nat,
-    and its mean for a word in nats."""
-    spark = docs.sparkSession
-    read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.xxhash64(text, key).alias("tag"), words_of(F.col(text)).alias("words"))
-    counts = cut(gram_counts(grams(read, order), least), "counts")
-    values = cut(scores(counts), "scores")
-    free(spark, counts)
-    lost = math.floor(math.log(backoff) * _MICRO + 0.5)
-    asked = grams(read, order, longest=least <= 1)
-    if least > 1:
-        values = differences(values, lost)
-    # Equal rows are summed together; ``said``, their words, tells how many they are.
-    found = asked.join(values, ["n", "gram"]).groupBy(*_ROW).agg(F.sum("micro").alias("total"), F.count_if(F.col("n") == 1 if least > 1 else F.lit(True)).alias("said"))
-    rows = read.select("doc_id", *_ROW, F.size("words").cast("long").alias("n_words")).join(found, _ROW, "left")
-    n = F.col("n_words")
-    micro = F.when(n > 0, F.expr("total div (said div n_words)")).otherwise(0)
-    if least > 1:
-        steps = sum((F.greatest(n - k, F.lit(0)) for k in range(1, order)), F.lit(0))
-        micro = micro + lost * steps
-    return rows.select("doc_id", "n_words", micro.cast("long").alias("micro")).withColumn("score", F.when(n > 0, F.col("micro") / _MICRO / n))
+def known(read: DataFrame, order: int) -> DataFrame:
+    """``row, n, gram, count``: for each row what the others hold of its n-grams, if anything."""
+    spark, out = read.sparkSession, None
+    for n in range(1, order + 1):
+        grams = exploded(read, n)
+        counts = cut(gram_counts(grams), "counts")
+        found = cut(grams.join(counts, "gram").select("row", F.lit(n).alias("n"), "gram", (F.col("count") - F.col("own")).alias("count")), "known")
+        free(spark, counts)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _micro(ratio: np.ndarray | float) -> np.ndarray:
+    return np.floor(np.log(ratio) * _MICRO + 0.5).astype(np.int64)
+
+
+def micros(grams: list[np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], others: int, lost: int) -> int:
+    """The score of a text in millionths of a nat: ``grams`` by order, and by order what the other rows, of ``others`` words,
+    ``held`` of them: sorted n-grams and counts."""
+    n = len(grams[0])
+    counts = [np.zeros(n, np.int64)]
+    for k, (mine, (names, number)) in enumerate(zip(grams, held, strict=True)):
+        count = np.zeros(n, np.int64)
+        if len(names) and len(mine):
+            at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            count[k:] = np.where(names[at] == mine, number[at], 0)
+        counts.append(count)
+    longest = np.minimum(np.arange(n) + 1, len(grams))
+    # From the shortest to the longest: what is known last stands.
+    total, steps = np.full(n, _micro(1 / (others + 1))), longest.copy()
+    for k in range(1, len(counts)):
+        at = np.flatnonzero(counts[k])
+        of = counts[k - 1][at - 1] if k > 1 else others
+        total[at], steps[at] = _micro(counts[k][at] / of), longest[at] - k
+    return int((total + lost * steps).sum())
+
+
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, micro, score`` of every row under the model of all others: the sum in millionths of a nat, and its
+    mean for a word in nats."""
+    if order < 1 or not 0 < backoff <= 1:
+        raise ValueError("the order must be positive, and backoff above 0 and at most 1")
+    lost, spark = math.floor(math.log(backoff) * _MICRO + 0.5), docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+    found = known(read, order)
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
+    total = read.agg(F.sum(words.cast("long"))).first()[0] or 0
+    # Rows that are alike find everything twice; a gram counts once.
+    back = found.groupBy("row").agg(F.collect_list(F.struct("n", "gram", "count")).alias("held"))
+    met = read.join(back, "row", "left").select("doc_id", "text", "held")
+
+    class Score:
+        def __init__(self) -> None:
+            self.grams = Grams()
+
+        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, sums = [], []
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))])
+            of, names, number = flat.field("n").to_numpy(), flat.field("gram").to_numpy().view(np.uint64), flat.field("count").to_numpy()
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                grams, part, held = self.grams(value, order), slice(ends[k], ends[k + 1]), []
+                for n in range(1, order + 1):
+                    mine = of[part] == n
+                    found, first = np.unique(names[part][mine], return_index=True)
+                    held.append((found, number[part][mine][first]))
+                sizes.append(len(grams[0]))
+                sums.append(micros(grams, held, total - len(grams[0]), lost) if len(grams[0]) else 0)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "n_words", "micro"])
+
+    out = map_arrow(met, f"doc_id {kind}, n_words long, micro long", Score)
+    return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / _MICRO / F.col("n_words")))
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under the model of all n-grams of the documents."""
+    """Each document under the model of all n-grams of all others."""
     return score(table(spark, sf_dir, "documents"))
 
 
-def _oracle(order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> str:
+def _oracle(order: int = ORDER, backoff: float = BACKOFF) -> str:
     """The recursion as it stands, word by word."""
     lost = math.floor(math.log(backoff) * _MICRO + 0.5)
     micro = lambda x: f"floor(ln({x}) * {_MICRO} + 0.5)::BIGINT"
     w = "string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')"
     gram = lambda n: "concat_ws(' ', " + ", ".join(f"w{k}" for k in range(n - 1, -1, -1)) + ")"
-    before = lambda n: "concat_ws(' ', " + ", ".join(f"w{k}" for k in range(n - 1, 0, -1)) + ")"
-    lags = ", ".join(f"lag(x, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, order))
-    grams = ", ".join(f"c{n} AS (SELECT {gram(n)} AS g, count(*) AS c FROM p WHERE i >= {n} GROUP BY 1" + f" HAVING count(*) >= {least}" * (n > 1) + ")" for n in range(1, order + 1))
-    joins = " ".join(f"LEFT JOIN c{n} AS g{n} ON p.i >= {n} AND g{n}.g = {gram(n)}" for n in range(1, order + 1))
-    joins += " " + " ".join(f"LEFT JOIN c{n - 1} AS b{n} ON p.i >= {n} AND b{n}.g = {before(n)}" for n in range(2, order + 1))
-    cases = " ".join(f"WHEN g{n}.c IS NOT NULL THEN {micro(f'g{n}.c / b{n}.c')} + {lost} * (least(p.i, {order}) - {n})" for n in range(order, 1, -1))
+    lags = "".join(f", lag(x, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, order))
+    orders = range(1, order + 1)
+    grams = ", ".join(f"c{n} AS (SELECT g, count(*) AS c FROM (SELECT {gram(n)} AS g FROM p WHERE i >= {n}) GROUP BY 1), o{n} AS (SELECT r, g, count(*) AS o FROM (SELECT r, {gram(n)} AS g FROM p WHERE i >= {n}) GROUP BY 1, 2)" for n in orders)
+    left = ", ".join(f"c{n}.c - o{n}.o AS k{n}" for n in orders)
+    joins = " ".join(f"LEFT JOIN c{n} ON p.i >= {n} AND c{n}.g = {gram(n)} LEFT JOIN o{n} ON p.i >= {n} AND o{n}.r = p.r AND o{n}.g = {gram(n)}" for n in orders)
+    before = "".join(f", lag(k{n - 1}) OVER (PARTITION BY r ORDER BY i) AS b{n}" for n in range(2, order + 1))
+    cases = " ".join(f"WHEN k{n} > 0 THEN {micro(f'k{n} / b{n}')} + {lost} * (least(i, {order}) - {n})" for n in range(order, 1, -1))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter({w}, lambda x: x <> '') AS w FROM documents),
 u AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
-p AS (SELECT r, i, x AS w0, {lags} FROM u),
+p AS (SELECT r, i, x AS w0{lags} FROM u),
 {grams},
-s AS (SELECT p.r, sum(CASE {cases} ELSE {micro('g1.c / (SELECT count(*) FROM p)')} + {lost} * (least(p.i, {order}) - 1) END)::BIGINT AS micro FROM p {joins} GROUP BY 1)
+k AS (SELECT p.r, p.i, {left} FROM p {joins}),
+q AS (SELECT k.*{before}, (SELECT count(*) FROM p) - len(d.w) AS others FROM k JOIN d USING (r)),
+s AS (SELECT r, sum(CASE {cases} WHEN k1 > 0 THEN {micro('k1 / others')} + {lost} * (least(i, {order}) - 1) ELSE {micro('1 / (others + 1)')} + {lost} * least(i, {order}) END)::BIGINT AS micro FROM q GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(micro, 0)::BIGINT AS micro, CASE WHEN len(w) > 0 THEN micro::DOUBLE / {_MICRO} / len(w) END AS score
 FROM d LEFT JOIN s USING (r)
 """

@@ -37,10 +37,32 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE[name])
 
 
-@pytest.mark.parametrize("least", [2, 3])
-def test_backoff_with_rare_grams_left_out(same_as_sql, least):
-    """The recursion steps back where a gram is not known."""
-    same_as_sql(lambda spark, d: op5.score(spark.read.parquet(f"{d}/documents.parquet"), least=least), op5._oracle(least=least))
+@pytest.mark.parametrize(("order", "backoff"), [(1, 0.4), (2, 1.0), (4, 0.25)])
+def test_backoff_of_other_orders(same_as_sql, order, backoff):
+    same_as_sql(lambda spark, d: op5.score(spark.read.parquet(f"{d}/documents.parquet"), order, backoff), op5._oracle(order, backoff))
+
+
+def test_backoff_steps_back_where_others_know_less(spark):
+    """Each row under all others by plain counting; a row that repeats itself is no evidence for itself."""
+    rows = [(1, "a b c a b c"), (2, "A b c d"), (3, "b c"), (3, "b c"), (4, "z z z"), (5, None), (None, " \t"), (6, "c")]
+    said = [(text or "").lower().split() for _, text in rows]
+    count = lambda r, gram: sum(w[k : k + len(gram)] == gram for at, w in enumerate(said) if at != r for k in range(len(w) - len(gram) + 1))
+    expected, steps = [], Counter()
+    for r, (key, _) in enumerate(rows):
+        others, micro = sum(map(len, said)) - len(said[r]), 0
+        for i in range(len(said[r])):
+            longest = min(i + 1, op5.ORDER)
+            n = next((n for n in range(longest, 0, -1) if count(r, said[r][i + 1 - n : i + 1])), 0)
+            gram = said[r][i + 1 - n : i + 1]
+            ratio = count(r, gram) / (count(r, gram[:-1]) if n > 1 else others) if n else 1 / (others + 1)
+            micro += int(np.floor(np.log(ratio) * 1e6 + 0.5)) + int(np.floor(np.log(op5.BACKOFF) * 1e6 + 0.5)) * (longest - n)
+            steps[longest - n] += 1
+        expected.append((key, len(said[r]), micro))
+    got = op5.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[:3] for r in map(tuple, got)), key=repr) == sorted(expected, key=repr)
+    assert all(steps[k] for k in (0, 1, 2, 3)) and all((r.score is None) == (r.n_words == 0) for r in got)
+    alone = op5.score(spark.createDataFrame(rows[:1], "doc_id long, text string")).first()
+    assert alone.micro == sum(int(np.floor(np.log(op5.BACKOFF) * 1e6 + 0.5)) * min(i + 1, 3) for i in range(6))
 
 
 def _vectors(d):
