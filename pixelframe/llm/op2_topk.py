@@ -11,8 +11,10 @@ are stored once and lose nothing. A shard is written once, as one row. After the
 in broadcast blocks of ``BLOCK_BYTES`` at most: each pass reads the shards again, and only what is found is shuffled.
 
 Cases: null vectors and those that hold null or non-finite components take no part, nor do rows without an
-identifier; repeated rows count once; shorter vectors count as ending in zeros; with fewer than k candidates all
-are returned; other columns are ignored, whatever their names; an empty table gives an empty result.
+identifier; repeated rows count once; different vectors of one identifier are each a candidate, and as queries share one
+list of results, in which neither stands; a component or a score that does not fit 64 bits is an error that says so; shorter
+vectors count as ending in zeros; with fewer than k candidates all are returned; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,6 +121,8 @@ def _search(held: list[dict], asked: list[dict], k: int, leaf: int) -> Iterator[
             for row, query, bounds in zip(part, queries, tree.bounds(queries), strict=True)
             for score, negative in tree.search(query, bounds, row["query_id"], ids, k, row["kth"])
         ]
+        if any(not -(1 << 63) <= score < 1 << 63 for _, _, score in found):
+            raise ValueError("a score does not fit 64 bits: the vectors need a smaller scale")
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -128,7 +132,9 @@ def top_k(vectors: DataFrame, asked: Column, k: int = K, key: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+    fits = F.forall("v", lambda x: F.abs(x * scale) < F.lit(2.0**63))
+    whole = F.transform("v", lambda x: F.floor(x * scale))
+    rows = rows.select("vec_id", F.when(fits, whole).otherwise(F.raise_error(F.lit("a component does not fit 64 bits: the vectors need a smaller scale"))).alias("v"))
     ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     held = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     queries = rows.where(asked).select(F.col("vec_id").alias("query_id"), "v").distinct()
@@ -162,6 +168,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = K, key: str = "vec_id", ve
 
         found = found.unionByName(cut(trees.mapInArrow(visit, FOUND), "found"))
         sent.unpersist()
+    # Two vectors of one identifier may find the same row: it stands once for each score, the best first.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

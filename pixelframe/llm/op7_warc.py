@@ -45,10 +45,12 @@ def _store(folder: str):
 def assign(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST) -> DataFrame:
     """``page_id``, ``url``, ``html``, ``digest`` (SHA-1, hexadecimal) and ``refers_to``, null for a response."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.encode(payload, "UTF-8"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    # Of a payload only its digest and count are shuffled, aggregated before; what repeats is joined back.
-    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, "digest", "left")
+    # Different payloads of one SHA-1 can be made; of one SHA-1 and SHA-256 they can't.
+    same = ["digest", "strong"]
+    rows = rows.withColumns({"digest": F.sha1("html"), "strong": F.unhex(F.sha2("html", 256))})
+    # Of a payload only its digests and count are shuffled, aggregated before; what repeats is joined back.
+    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy(*same).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.join(shared, same, "left")
     return rows.select("page_id", "url", "html", "digest", F.when(F.octet_length("html") < least_bytes, None).when((F.col("page_id") < F.col("last")) | F.col("page_id").isNull(), F.col("last")).alias("refers_to"))
 
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import math
 import re
 from collections import Counter
 
@@ -131,8 +132,17 @@ def test_every_column_of_pieces_against_the_library(spark, tables):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for row in op1.op1_sentencepiece(spark, tables).collect():
-        ids = library.encode(texts[row.doc_id])
-        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+        ids, text = library.encode(texts[row.doc_id]), texts[row.doc_id]
+        covered = sum(p.end - p.begin for p in library.encode(text, return_type="proto").pieces)
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256, row.bytes_covered) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)), covered)
+
+
+def test_offsets_against_the_library(spark, tables):
+    library = op1.PieceCodec(op1.model_bytes()).library
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "Größe  是 x\n"), (-2, "  "), (-3, "\U0001d11e\u2581a")], "doc_id long, text string"))
+    for row in op1.encode(docs, op1.model_bytes(), ("begins", "ends")).join(docs, "doc_id").collect():
+        pieces = library.encode(row.text, return_type="proto").pieces
+        assert (row.begins, row.ends) == ([p.begin for p in pieces], [p.end for p in pieces]), row.doc_id
 
 
 def _compiled_map(forms):
@@ -234,15 +244,62 @@ def test_top_k_against_all_pairs_with_small_shards(spark):
         assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == expected
 
 
+def test_scores_and_components_beyond_64_bits_are_told(spark):
+    for size, message in ((1e12, "a score does not fit"), (1e300, "a component does not fit")):
+        vectors = spark.createDataFrame([(k, [size, 1.0]) for k in (50, 51, 100)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=message):
+            op2.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_vectors_of_one_identifier_are_each_a_candidate(spark):
+    vectors = spark.createDataFrame([(50, [1.0]), (50, [2.0]), (51, [3.0]), (52, [1.0]), (52, [5.0]), (52, [5.0])], "vec_id long, embedding array<double>")
+    one, got = 65536, op2.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score // one) for r in sorted(got, key=lambda r: r["rank"])] == [(50, 1, 52, 10), (50, 2, 51, 6), (50, 3, 52, 5), (50, 4, 51, 3), (50, 5, 52, 2)]
+
+
+def test_quality_scores_against_a_dictionary(spark, tables):
+    """The sum over all unigrams and bigrams, one by one."""
+    import zlib
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    weights = op4.model(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    held = {k: float(np.float32(w)) for k, w in enumerate(weights) if w}
+    place = lambda x: (x & (2**64 - 1)) >> 29 & (1 << op4.BITS) - 1
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for row in op4.score(docs, weights).collect():
+        ones = [zlib.crc32(token.encode()) * 0x9E3779B97F4A7C15 & 2**64 - 1 for token in op4.TOKEN.findall(texts[row.doc_id] or "")]
+        at = [place(x) for x in ones] + [place((a ^ 0xA5A5A5A55A5A5A5A) * 0xC2B2AE3D27D4EB4F + b) for a, b in zip(ones, ones[1:], strict=False)]
+        total = held.get(1 << op4.BITS, 0.0) + sum(held.get(k, 0.0) for k in at) / math.sqrt(max(1, len(at)))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-total))) and row.predicted == (row.score >= 0.5)
+
+
 def test_quality_on_rows_held_out(spark):
     """Ranks rows that it hasn't learnt from: any constant answer has an area of 0.5 under the curve."""
     at = "/root/testdata/sf0.1"
     rows = op4.op4_quality(spark, at).where("held_out").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").select("score", "quality", "predicted").toPandas()
     good, bad = rows.score[rows.quality == 1], rows.score[rows.quality == 0]
-    area = (good.rank().sum(), rows.score.rank()[rows.quality == 1].sum())[1] - len(good) * (len(good) + 1) / 2
+    area = rows.score.rank()[rows.quality == 1].sum() - len(good) * (len(good) + 1) / 2
     assert area / len(good) / len(bad) >= 0.85 and (rows.predicted == rows.quality).mean() >= 0.94
 
 
+def test_repeated_bytes_of_long_periodic_texts(spark):
+    """Texts of one letter, of two in turns and of a longer period, at whose every place the same strings begin again."""
+    texts = ["a" * 50_000, "ab" * 20_000 + "c", "x" * 399 + "y" * 399, "0123456789" * 4_000, "z" * 400, "z" * 400 + "q", "w" * 401, "no more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in op6.dedup(docs, ("n_removed", "n_spans"), 400).collect():
+        text, seen = texts[row.doc_id], Counter()
+        for other in texts:  # all strings of these texts repeat within their first hundred places, or not at all
+            seen.update(other[p : p + 400] for p in range(min(len(other) - 399, 100)))
+            seen.update(other[p : p + 400] for p in range(max(100, len(other) - 499), len(other) - 399))
+        gone = bytearray(len(text))
+        for p in [*range(min(len(text) - 399, 100)), *range(max(100, len(text) - 499), len(text) - 399)]:
+            if seen[text[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
+        if len(text) > 1000:  # what lies between repeats like the places looked at
+            gone[100 : len(text) - 499] = b"\1" * (len(text) - 599)
+        assert (row.n_removed, row.n_spans) == (sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))), row.doc_id
+
+
 @pytest.mark.parametrize("threshold", [400, 48])
 def test_repeated_bytes_against_brute_force(spark, tables, threshold):
     docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 120")
