@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.functions.outlines import border, corners, ellipse, farthest, hull, label, row_ends
+from pixelframe.functions.outlines import border, ellipse, farthest, hull, label, row_ends
 
 WHITE = 255.0
 #: Bytes of what a task makes that it sends on together.
@@ -334,10 +334,19 @@ def lab(image: np.ndarray) -> np.ndarray:
 
 def line(image: np.ndarray, start: tuple[int, int], end: tuple[int, int], colour: tuple[int, int, int]) -> None:
     """Draws a straight line from (x, y) to (x, y) into the image."""
-    n = max(abs(int(end[0]) - int(start[0])), abs(int(end[1]) - int(start[1]))) + 1
-    x, y = (np.rint(np.linspace(start[k], end[k], n)).astype(int) for k in range(2))
-    inside = (x >= 0) & (x < image.shape[1]) & (y >= 0) & (y < image.shape[0])
-    image[y[inside], x[inside]] = colour
+    polyline(image, np.array([start[0], end[0]]), np.array([start[1], end[1]]), colour)
+
+
+def polyline(image: np.ndarray, x: np.ndarray, y: np.ndarray, colour: tuple[int, int, int]) -> None:
+    """Draws straight lines from each point to the next into the image."""
+    dx, dy = np.diff(x), np.diff(y)
+    n = np.maximum(np.abs(dx), np.abs(dy)) + 1
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    steps = np.maximum(n - 1, 1)
+    across, down = (np.rint(at * (d / steps)[of] + p[:-1][of]).astype(int) for d, p in ((dx, x), (dy, y)))
+    inside = (across >= 0) & (across < image.shape[1]) & (down >= 0) & (down < image.shape[0])
+    image[down[inside], across[inside]] = colour
 
 
 #: Colours (blue, green, red) of the curves of a histogram: b, g, r, L, a, b, hue, saturation, value.
@@ -358,8 +367,7 @@ def histogram_chart(image: np.ndarray, mask: np.ndarray, height: int = 400, widt
     out[height - 20, 20 : width - 20] = out[20 : height - 20, 20] = 0
     x, y = 20 + np.arange(256) * (width - 40) // 255, height - 20 - np.rint(shares / most * (height - 40)).astype(int)
     for colour, curve in zip(CURVES, y, strict=True):
-        for k in range(255):
-            line(out, (x[k], curve[k]), (x[k + 1], curve[k + 1]), colour)
+        polyline(out, x, curve, colour)
     return out
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.functions import kernels, outlines
+from pixelframe.functions import kernels, outlines, sheets
 from pixelframe.functions.kernels import Leaf
 from pixelframe.operators import pixels
 
@@ -180,3 +180,13 @@ def transform_all(images: DataFrame, transforms: tuple[str, ...] = TRANSFORMS, s
             yield {"transform": name, "height": out.shape[0], "width": out.shape[1], "data": out.tobytes()}
 
     return kernels.map_images(images, work, "transform string, height int, width int, data binary")
+
+
+def contact_sheets(images: DataFrame, transforms: tuple[str, ...] = TRANSFORMS, strength: int = 9, columns: int = 4, cell: int = 256, gap: int = 8) -> DataFrame:
+    """``height, width, data`` of one sheet for each image: the original and its transforms in their order, side by side."""
+
+    def work(image: np.ndarray, row: dict) -> Iterator[dict]:
+        out = sheets.sheet([part for _, part in transformed(image, transforms, strength)], columns, cell, gap)
+        yield {"height": out.shape[0], "width": out.shape[1], "data": out.tobytes()}
+
+    return kernels.map_images(images, work, "height int, width int, data binary")

@@ -164,3 +164,23 @@ def transform(
     listed = sources.scan_files(spark, at, names.TRANSFORMATION).select("path", F.explode(F.array(*map(F.lit, chosen))).alias("transform"))
     sinks.distinct(listed.select(output("path")))
     return sinks.write_files(made.withColumn("output", output("image_id")), dst, quality=quality)
+
+
+def preview(
+    spark: SparkSession, src: str, dst: str | None = None, transforms: tuple[str, ...] = features.TRANSFORMS, strength: int = 9, columns: int = 4, cell: int = 256,
+) -> DataFrame:
+    """A sheet for each image below ``src``, or for one file: the original and its transforms. Written to ``dst`` as
+    ``<stem>_preview.png``, in folders as below ``src``, if that is given."""
+    kernels.gauss(strength)
+    src = sources.qualified(spark, src)
+    one = sources.is_file(spark, src)
+    made = features.contact_sheets(sources.scan_images(spark, src), transforms, strength, columns, cell)
+    if dst is None:
+        return made
+    dst = sources.qualified(spark, dst)
+    if not one:
+        sinks.apart(src, dst)
+    relative = lambda path: names.base(F.col(path)) if one else F.substr(path, F.lit(len(src) + 2))
+    output = lambda path: F.concat(names.stem(relative(path)), F.lit("_preview.png")).alias("output")
+    sinks.distinct(sources.scan_files(spark, src, names.TRANSFORMATION).select(output("path")))
+    return sinks.write_files(made.withColumn("output", output("image_id")), dst)

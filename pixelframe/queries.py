@@ -547,3 +547,9 @@ def q_balance_images(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def q_transform_all(spark: SparkSession, d: str) -> DataFrame:
     return features.transform_all(embeddings_as_images(spark, d)).select("image_id", "transform", F.sha2("data", 256).alias("sha256"))
+
+
+@_query()
+def q_contact_sheets(spark: SparkSession, d: str) -> DataFrame:
+    sheets = features.contact_sheets(embeddings_as_images(spark, d), columns=3, cell=5, gap=1)
+    return sheets.select("image_id", "height", "width", F.sha2("data", 256).alias("sha256"))
