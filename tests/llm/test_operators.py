@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -244,6 +245,36 @@ def test_top_k_against_all_pairs_with_small_shards(spark):
         assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == expected
 
 
+@pytest.mark.parametrize(("most_cells", "width"), [(8, 5), (2, 5), (8, 1)])
+def test_top_k_in_cells_of_several_shards(spark, most_cells, width):
+    """Clusters, a third of all rows alike (queries too), ragged vectors; cells with one shard and with several."""
+    r = random.Random(6)
+    centres = [[r.uniform(-3, 3) for _ in range(width)] for _ in range(6)]
+    rows = [(k, [c + r.gauss(0, 0.1) for c in r.choice(centres)][: r.choice([width, width, max(1, width - 2)])]) for k in range(400)]
+    rows += [(k, [1.0] * width) for k in range(400, 600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {k: [int(x * 256 // 1) for x in v] for k, v in rows}
+    got = op2.top_k(vectors, F.col("vec_id") % 10 == 0, shard=32, block_bytes=640, leaf=4, most_cells=most_cells).collect()
+    found = {}
+    for row in sorted(got, key=lambda row: row["rank"]):
+        found.setdefault(row.query_id, []).append((-row.score, row.vec_id))
+    for q in range(0, 600, 10):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), k) for k, v in whole.items() if k != q)
+        assert found[q] == scores[:5]
+
+
+def test_cells_that_no_query_gains_from_are_left_out():
+    points = np.array([[x, y] for x in (-100, 100) for y in range(20)])
+    cells = op2.Cells(points, 2)
+    of = cells.of(points)
+    assert sorted(np.bincount(of)) == [20, 20] and len(set(of[:20])) == 1
+    low, high = (np.array([f(points[of == c], 0) for c in range(2)]) for f in (np.min, np.max))
+    asked = {"id": np.array([1]), "v": np.array([[5, 0]]), "kth": np.array([400]), "known": np.array([True])}
+    assert op2._reached(asked, low, high) == [int(of[-1])]
+    assert op2._reached(asked | {"known": np.array([False])}, low, high) == [0, 1]
+    assert op2._blocks({0: 3, 1: 4, 2: 25, 4: 1}, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (4, 4, 1)]
+
+
 def test_scores_and_components_beyond_64_bits_are_told(spark):
     for size, message in ((1e12, "a score does not fit"), (1e300, "a component does not fit")):
         vectors = spark.createDataFrame([(k, [size, 1.0]) for k in (50, 51, 100)], "vec_id long, embedding array<double>")
