@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, discard, table
+from pixelframe.llm.common import cut, discard, new_folder, table
 
 K = 5
 #: Distinct vectors in a shard, and bytes of the queries (8 for a component) in a broadcast: what a task holds.
@@ -174,6 +174,13 @@ class Cells:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(shard.astype(np.int32))], [*batch.schema.names, "cell", "shard"])
 
 
+def _cut_by(df: DataFrame, name: str, by: str) -> DataFrame:
+    """As cut(), with a folder for each value of a column, so that what is not asked for is not read."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _plant(width: int, leaf: int):
     """Trees from rows (cell, shard, the vectors, the identifiers of each)."""
 
@@ -279,7 +286,7 @@ def top_k(
     put = lambda: held.select("v", hashed, "ids").mapInArrow(cells.place, placed)
     cells.sized({0: n} if cells.number == 1 else {r.cell: r["count"] for r in put().groupBy("cell").count().collect()}, shard)
     grown = put().groupBy("cell", "shard").agg(F.collect_list(F.struct("v", "ids")).alias("held")).select("cell", "shard", "held.v", "held.ids").mapInArrow(_plant(width, leaf), _TREE)
-    trees = cut(grown, "shards", "cell")
+    trees = _cut_by(grown, "shards", "cell")
     discard(held)
 
     queries = rows.where(asked).select("v", hashed, F.col("vec_id").alias("query_id")).distinct().mapInArrow(cells.place, f"v array<long>, hash long, query_id long, {_PLACE}")
@@ -305,7 +312,7 @@ def top_k(
         plan = _blocks({r.cell: r["count"] for r in many}, max(1, block_bytes // (8 * width)))
         planned = queries.join(F.broadcast(spark.createDataFrame(plan, "cell int, first long, number long")), "cell").join(reached, "query_id", "left")
         block = (F.col("first") + F.pmod(F.xxhash64("query_id"), "number")).alias("block")
-        onward = cut(planned.select("query_id", "v", "shard", "kth", block).repartition("block"), "onward", "block")
+        onward = _cut_by(planned.select("query_id", "v", "shard", "kth", block).repartition("block"), "onward", "block")
         for nth in range(max((first + number for _, first, number in plan), default=0)):
             block = _asked(onward.where(F.col("block") == nth).select("query_id", "v", "shard", "kth").toArrow(), width)
             near, sent = _reached(block, low, high), spark.sparkContext.broadcast(block)
