@@ -6,124 +6,229 @@ that ends in it, plus ln(``backoff``) for each order given up, c being what all
 ln(c(word) / words of all other rows), and an unknown one as if it stood there once. Scores are whole millionths of a nat, so
 sums do not depend on their order.
 
-Order by order the n-grams of a row, each with its number in it, are exploded as hashes; a count table, partitioned by hash
-and counted before and after the shuffle, keeps those that two rows or more hold, for no other can be known to anybody; it
-is joined to the exploded n-grams, and what is left of each count comes back to its row, where it is summed per document.
-What an order leaves behind is dropped before the next one begins. All joins are plain equi-joins of shuffled tables, which
-Spark splits where a gram is frequent; a row sends a frequent gram once, not for each of its places; nothing is broadcast or
-collected but the number of all words.
+Order by order, and within an order by slices of the hashes (each slice on its own, so that what is on disk at a time is
+a part), the n-grams of a row, each with its number in it, are exploded as hashes; a count table, partitioned by hash and
+counted before and after the shuffle, keeps those that two rows or more hold, for no other can be known to anybody; it is
+joined to the exploded n-grams, and what is left of each count goes back to its row by the n-gram's place among the row's
+own, not by its hash. There the counts are lists, and lists are summed per document. What a slice leaves behind is dropped
+before the next one begins. The joins are plain equi-joins of shuffled tables, which Spark splits where a gram is frequent;
+a row sends a frequent gram once, not for each of its places; nothing is broadcast or collected but the number of all words.
 
 Words, n-grams and rows are told apart by 64-bit hashes, which are not verified: among 10 ** 9 different ones some 0.03 pairs
 are expected to share a hash, among 10 ** 12 some 27,000.
 
 Words are runs of anything but ASCII white space, A-Z in lower case.
 
-Cases: null and empty texts have no words and no score (null); repeated rows are evidence for each other and each get a row;
-a null key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result; a corpus of one
+Cases: null and empty texts have no words and no score (null); repeated rows are evidence for each other and each get a row
+(rows of one key and one text meet in one task, which holds the text once); a null key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result; a corpus of one
 row knows nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, free, map_arrow, table
+from pixelframe.llm.common import BATCH_ROWS, cut, discard, free, map_arrow, table
 
 ORDER, BACKOFF = 3, 0.4
 _MICRO = 1_000_000
-#: Hashes of words that a task remembers; beyond it the memory starts anew.
-_KEPT = 300_000
+#: Slices of the hashes of longer n-grams, and of rows in the last step: the same at every size.
+SLICES, ROW_SLICES = 3, 2
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class Grams:
-    """Hashes of the n-grams of a text, by order: of each word's n-gram that ends in it."""
-
-    def __init__(self) -> None:
-        self.kept: dict[bytes, int] = {}
-
-    def words(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []  # of bytes: ASCII letters and white space only
-        if len(self.kept) > _KEPT:
-            self.kept.clear()
-        kept = self.kept
-        for word in set(words).difference(kept):
-            kept[word] = xxhash.xxh3_64_intdigest(word)
-        return np.array([kept[word] for word in words], np.uint64)
-
-    def __call__(self, text: str | None, order: int) -> list[np.ndarray]:
-        """For n = 1, 2, ...: the n-grams that end at word n - 1, n, ..."""
-        words = self.words(text)
-        out = [words]
+    """The n-grams of some texts: ``row`` and ``place`` of each word, and by order the hash of the n-gram that ends there."""
+
+    def __init__(self, texts: pa.Array, order: int) -> None:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, row = split.flatten(), pc.list_parent_indices(split)
+        there = pc.not_equal(words, "")  # around the text
+        words, row = words.filter(there).dictionary_encode(), row.filter(there).to_numpy().astype(np.int64)
+        names = [xxhash.xxh3_64_intdigest(word) for word in words.dictionary.cast(pa.binary()).to_pylist()]
+        self.rows, self.row = len(texts), row
+        self.sizes = np.bincount(row, minlength=self.rows)
+        self.place = np.arange(len(row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        first = np.array(names, np.uint64)[words.indices.to_numpy()] if names else np.empty(0, np.uint64)
+        self.hashes = [first]
         for n in range(1, order):
-            longer = out[-1][:-1] * _STEPS[0] + words[n:] * _STEPS[1] + np.uint64(n)
+            longer = np.zeros_like(first)
+            longer[1:] = self.hashes[-1][:-1] * _STEPS[0] + first[1:] * _STEPS[1] + np.uint64(n)
             longer = (longer ^ (longer >> np.uint64(31))) * _STEPS[2]
-            out.append(longer ^ (longer >> np.uint64(29)))
-        return out
-
-
-def exploded(read: DataFrame, n: int) -> DataFrame:
-    """``row, gram, own`` of the n-grams of ``row, text``: each once for a row, with its number in it."""
-
-    class Explode:
-        def __init__(self) -> None:
-            self.grams = Grams()
-
-        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(self.grams(text, n)[n - 1], return_counts=True) for text in batch.column(1).to_pylist()]
-            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(grams) for grams, _ in found])))
-            grams, own = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([row, pa.array(grams.view(np.int64)), pa.array(own.astype(np.int32))], ["row", "gram", "own"])
-
-    return map_arrow(read.select("row", "text"), "row long, gram long, own int", Explode)
-
-
-def gram_counts(grams: DataFrame) -> DataFrame:
-    """``gram, count`` of the n-grams that two rows or more hold."""
-    return grams.groupBy("gram").agg(F.sum("own").alias("count"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-
-
-def known(read: DataFrame, order: int) -> DataFrame:
-    """``row, n, gram, count``: for each row what the others hold of its n-grams, if anything."""
-    spark, out = read.sparkSession, None
+            self.hashes.append(longer ^ (longer >> np.uint64(29)))
+
+    def distinct(self, n: int) -> Distinct:
+        at = np.flatnonzero(self.place >= n - 1)
+        row, gram = self.row[at].astype(np.uint16 if self.rows <= 1 << 16 else np.int64), self.hashes[n - 1][at]
+        by = np.argsort(gram)
+        by = by[np.argsort(row[by], kind="stable")]
+        row, gram = row[by], gram[by]
+        starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(by)])
+        own = np.diff(np.append(starts, len(by)))
+        of = np.empty(len(by), np.int64)
+        of[by] = np.repeat(np.arange(len(starts)), own)
+        row = row[starts].astype(np.int64)
+        return Distinct(at, of, row, gram[starts], own, np.searchsorted(row, np.arange(self.rows)))
+
+
+class Distinct(NamedTuple):
+    """The n-grams of an order, each once for a row, sorted by row and hash: words ``at`` which one ends, ``of`` each of those
+    its n-gram; and by n-gram its ``row``, hash and ``own`` number; and by row its ``first``."""
+
+    at: np.ndarray
+    of: np.ndarray
+    row: np.ndarray
+    gram: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
+
+
+def _slice(gram: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return np.flatnonzero((gram >> np.uint64(32)) % np.uint64(parts) == part)
+
+
+def gram_counts(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
+    """``gram, count, rows`` of the n-grams of ``text``: how often it stands, and in how many rows."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Grams(batch.column(0), n).distinct(n)
+        mine = _slice(found.gram, part, parts)
+        gram, own = found.gram[mine], found.own[mine]
+        by = np.argsort(gram)
+        gram, own = gram[by], own[by]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        sums = np.add.reduceat(own, starts) if len(starts) else own
+        return pa.RecordBatch.from_arrays([pa.array(gram[starts].view(np.int64)), pa.array(sums), pa.array(np.diff(np.append(starts, len(gram))))], ["gram", "count", "rows"])
+
+    grams = map_arrow(read.select("text"), "gram long, count long, rows long", count)
+    return grams.groupBy("gram").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows"))
+
+
+def exploded(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
+    """``row, gram, place, own`` of the n-grams of ``row, text``: each once for a row, with its number in it and its place
+    among the row's n-grams in the order of their hashes."""
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Grams(batch.column(1), n).distinct(n)
+        mine = _slice(found.gram, part, parts)
+        row = found.row[mine]
+        return pa.RecordBatch.from_arrays([
+            batch.column(0).take(pa.array(row)), pa.array(found.gram[mine].view(np.int64)),
+            pa.array((mine - found.first[row]).astype(np.int32)), pa.array(found.own[mine].astype(np.int32)),
+        ], ["row", "gram", "place", "own"])
+
+    return map_arrow(read.select("row", "text"), "row long, gram long, place int, own int", explode)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that follow each other become lists; a row that a batch ends in has two."""
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        if len(row):
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, batch.column(k)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[starts]), *lists], ["row", "places", "counts"])
+
+
+def known(read: DataFrame, order: int) -> tuple[list[DataFrame], int]:
+    """By order and slice ``row, n, places, counts``: for each row what the others hold of its n-grams, if anything. And the
+    number of all words."""
+    spark, out, total = read.sparkSession, [], 0
     for n in range(1, order + 1):
-        grams = exploded(read, n)
-        counts = cut(gram_counts(grams), "counts")
-        found = cut(grams.join(counts, "gram").select("row", F.lit(n).alias("n"), "gram", (F.col("count") - F.col("own")).alias("count")), "known")
-        free(spark, counts)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _micro(ratio: np.ndarray | float) -> np.ndarray:
+        parts = SLICES if n > 1 else 1
+        for part in range(parts):
+            counts = gram_counts(read, n, part, parts)
+            counts = cut(counts if n == 1 else counts.where("rows > 1"), "counts")
+            if n == 1:
+                total = counts.agg(F.sum("count")).first()[0] or 0
+            met = exploded(read, n, part, parts).join(counts.where("rows > 1").select("gram", "count"), "gram")
+            left = met.select("row", "place", (F.col("count") - F.col("own")).alias("count"))
+            lists = left.repartition("row").sortWithinPartitions("row").mapInArrow(_lists, "row long, places array<int>, counts array<long>")
+            out.append(cut(lists.select("row", F.lit(n).alias("n"), "places", "counts"), "known"))
+            free(spark, counts)
+    return out, total
+
+
+def _micro(ratio: np.ndarray) -> np.ndarray:
     return np.floor(np.log(ratio) * _MICRO + 0.5).astype(np.int64)
 
 
-def micros(grams: list[np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], others: int, lost: int) -> int:
-    """The score of a text in millionths of a nat: ``grams`` by order, and by order what the other rows, of ``others`` words,
-    ``held`` of them: sorted n-grams and counts."""
-    n = len(grams[0])
-    counts = [np.zeros(n, np.int64)]
-    for k, (mine, (names, number)) in enumerate(zip(grams, held, strict=True)):
-        count = np.zeros(n, np.int64)
-        if len(names) and len(mine):
-            at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
-            count[k:] = np.where(names[at] == mine, number[at], 0)
+def micros(texts: pa.Array, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: int, lost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and score of each text in millionths of a nat. ``held`` has by order the row, place and number of n-grams that
+    other rows hold, which have all of ``words`` but the row's own."""
+    grams = Grams(texts, len(held))
+    counts = [np.zeros(len(grams.row), np.int64)]
+    for n, (row, place, number) in enumerate(held, 1):
+        found = grams.distinct(n)
+        by_gram, count = np.zeros(len(found.row), np.int64), np.zeros(len(grams.row), np.int64)
+        by_gram[found.first[row] + place] = number
+        count[found.at] = by_gram[found.of]
         counts.append(count)
-    longest = np.minimum(np.arange(n) + 1, len(grams))
+    others = (words - grams.sizes)[grams.row]
+    longest = np.minimum(grams.place + 1, len(held))
     # From the shortest to the longest: what is known last stands.
-    total, steps = np.full(n, _micro(1 / (others + 1))), longest.copy()
+    total, steps = _micro(1 / (others + 1)), longest.copy()
     for k in range(1, len(counts)):
         at = np.flatnonzero(counts[k])
-        of = counts[k - 1][at - 1] if k > 1 else others
+        of = counts[k - 1][at - 1] if k > 1 else others[at]
         total[at], steps[at] = _micro(counts[k][at] / of), longest[at] - k
-    return int((total + lost * steps).sum())
+    ends = np.cumsum(grams.sizes)
+    sums = np.append(0, np.cumsum(total + lost * steps))
+    return grams.sizes, sums[ends] - sums[ends - grams.sizes]
+
+
+def _scorer(order: int, words: int, lost: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by ``row``, texts and lists of what others hold: one row for each text. A few rows are held at a time."""
+
+    def emit(rows: list[tuple[pa.Scalar, str | None, int, list[tuple[int, np.ndarray, np.ndarray]]]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        held = []
+        for n in range(1, order + 1):
+            mine = [(k, places, counts) for k, (*_, lists) in enumerate(rows) for m, places, counts in lists if m == n]
+            none = [np.empty(0, np.int64)]
+            row = np.repeat([k for k, *_ in mine], [len(places) for _, places, _ in mine]).astype(np.int64)
+            held.append((row, np.concatenate([places for _, places, _ in mine] or none), np.concatenate([counts for *_, counts in mine] or none)))
+        sizes, sums = micros(pa.array([text for _, text, *_ in rows], pa.string()), held, words, lost)
+        times = [times for _, _, times, _ in rows]
+        keys = pa.array([key for key, *_ in rows], kind)
+        for at in range(0, sum(times), 1 << 16) if max(times) > 1 else [0]:
+            of = np.repeat(np.arange(len(rows)), times)[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(sizes[of].astype(np.int64)), pa.array(sums[of])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now, key, text, times, lists, kind = [], None, None, None, 0, [], pa.int64()
+        for batch in batches:
+            row, n = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            kind = batch.column(1).type
+            for k, (name, order_of) in enumerate(zip(row, n, strict=True)):
+                if name != now:
+                    if now is not None:
+                        done.append((key, text, times, lists))
+                        if len(done) == BATCH_ROWS:
+                            yield from emit(done, kind)
+                            done = []
+                    now, times, lists = name, 0, []
+                if order_of:
+                    # Rows alike in key and text find everything as often as there are such rows; one of each is enough.
+                    found = (order_of, batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy())
+                    if times < 2 or not any(a == order_of and np.array_equal(p, found[1]) for a, p, _ in lists):
+                        lists.append(found)
+                else:
+                    key, text, times = batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), times + 1
+        if now is not None:
+            done.append((key, text, times, lists))
+            yield from emit(done, kind)
+
+    return run
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,33 +239,18 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, key: st
     lost, spark = math.floor(math.log(backoff) * _MICRO + 0.5), docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    found = known(read, order)
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    total = read.agg(F.sum(words.cast("long"))).first()[0] or 0
-    # Rows that are alike find everything twice; a gram counts once.
-    back = found.groupBy("row").agg(F.collect_list(F.struct("n", "gram", "count")).alias("held"))
-    met = read.join(back, "row", "left").select("doc_id", "text", "held")
-
-    class Score:
-        def __init__(self) -> None:
-            self.grams = Grams()
-
-        def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sums = [], []
-            lists = batch.column(2)
-            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))])
-            of, names, number = flat.field("n").to_numpy(), flat.field("gram").to_numpy().view(np.uint64), flat.field("count").to_numpy()
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                grams, part, held = self.grams(value, order), slice(ends[k], ends[k + 1]), []
-                for n in range(1, order + 1):
-                    mine = of[part] == n
-                    found, first = np.unique(names[part][mine], return_index=True)
-                    held.append((found, number[part][mine][first]))
-                sizes.append(len(grams[0]))
-                sums.append(micros(grams, held, total - len(grams[0]), lost) if len(grams[0]) else 0)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "n_words", "micro"])
-
-    out = map_arrow(met, f"doc_id {kind}, n_words long, micro long", Score)
+    found, words = known(read, order)
+    names, out = ["doc_id", "n_words", "micro"], None
+    texts = read.select("row", "doc_id", "text", F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<long>").alias("counts"))
+    met = texts
+    for lists in found:
+        met = met.unionByName(lists.withColumns({"doc_id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")}))
+    for part in range(ROW_SLICES):
+        mine = met.where(F.pmod("row", F.lit(ROW_SLICES)) == part).repartition("row").sortWithinPartitions("row")
+        scored = cut(mine.mapInArrow(_scorer(order, words, lost, names), f"doc_id {kind}, n_words long, micro long"), "scored")
+        free(spark)
+        out = scored if out is None else out.unionByName(scored)
+    discard(*found)
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / _MICRO / F.col("n_words")))
 
 
