@@ -10,7 +10,7 @@ Order by order, and within an order by slices of the hashes (each slice on its o
 a part), the n-grams of a row, each with its number in it, are exploded as hashes; a count table, partitioned by hash and
 counted before and after the shuffle, keeps those that two rows or more hold, for no other can be known to anybody; it is
 joined to the exploded n-grams, and what is left of each count goes back to its row by the n-gram's place among the row's
-own, not by its hash. There the counts are lists, and lists are summed per document. What a slice leaves behind is dropped
+own of that slice, not by its hash. There the counts are lists, and lists are summed per document. What a slice leaves behind is dropped
 before the next one begins. The joins are plain equi-joins of shuffled tables, which Spark splits where a gram is frequent;
 a row sends a frequent gram once, not for each of its places; nothing is broadcast or collected but the number of all words.
 
@@ -41,24 +41,36 @@ from pixelframe.llm.common import BATCH_ROWS, cut, discard, free, map_arrow, tab
 
 ORDER, BACKOFF = 3, 0.4
 _MICRO = 1_000_000
-#: Slices of the hashes of longer n-grams, and of rows in the last step: the same at every size.
+#: Slices of the hashes of n-grams, and of rows in the last step: the same at every size.
 SLICES, ROW_SLICES = 3, 2
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def _bytes(words: pa.StringArray) -> list[bytes]:
+    """What to_pylist() of binary values gives, in a tenth of its time."""
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return [b""] * len(words)
+    ends, data = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Grams:
     """The n-grams of some texts: ``row`` and ``place`` of each word, and by order the hash of the n-gram that ends there."""
 
     def __init__(self, texts: pa.Array, order: int) -> None:
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        words, row = split.flatten(), pc.list_parent_indices(split)
-        there = pc.not_equal(words, "")  # around the text
-        words, row = words.filter(there).dictionary_encode(), row.filter(there).to_numpy().astype(np.int64)
-        names = [xxhash.xxh3_64_intdigest(word) for word in words.dictionary.cast(pa.binary()).to_pylist()]
+        words = split.flatten().dictionary_encode()
+        names, codes = _bytes(words.dictionary), words.indices.to_numpy()
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, names)), ">u8").astype(np.uint64)
+        row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        if b"" in names:  # before or after white space
+            there = codes != names.index(b"")
+            row, codes = row[there], codes[there]
         self.rows, self.row = len(texts), row
         self.sizes = np.bincount(row, minlength=self.rows)
         self.place = np.arange(len(row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        first = np.array(names, np.uint64)[words.indices.to_numpy()] if names else np.empty(0, np.uint64)
+        first = hashes[codes]
         self.hashes = [first]
         for n in range(1, order):
             longer = np.zeros_like(first)
@@ -66,8 +78,9 @@ class Grams:
             longer = (longer ^ (longer >> np.uint64(31))) * _STEPS[2]
             self.hashes.append(longer ^ (longer >> np.uint64(29)))
 
-    def distinct(self, n: int) -> Distinct:
-        at = np.flatnonzero(self.place >= n - 1)
+    def distinct(self, n: int, part: int, parts: int) -> Distinct:
+        """Of one of the ``parts`` that hashes are split into."""
+        at = np.flatnonzero((self.place >= n - 1) & ((self.hashes[n - 1] >> np.uint64(32)) % np.uint64(parts) == part))
         row, gram = self.row[at].astype(np.uint16 if self.rows <= 1 << 16 else np.int64), self.hashes[n - 1][at]
         by = np.argsort(gram)
         by = by[np.argsort(row[by], kind="stable")]
@@ -92,19 +105,13 @@ class Distinct(NamedTuple):
     first: np.ndarray
 
 
-def _slice(gram: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return np.flatnonzero((gram >> np.uint64(32)) % np.uint64(parts) == part)
-
-
 def gram_counts(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
     """``gram, count, rows`` of the n-grams of ``text``: how often it stands, and in how many rows."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = Grams(batch.column(0), n).distinct(n)
-        mine = _slice(found.gram, part, parts)
-        gram, own = found.gram[mine], found.own[mine]
-        by = np.argsort(gram)
-        gram, own = gram[by], own[by]
+        found = Grams(batch.column(0), n).distinct(n, part, parts)
+        by = np.argsort(found.gram)
+        gram, own = found.gram[by], found.own[by]
         starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
         sums = np.add.reduceat(own, starts) if len(starts) else own
         return pa.RecordBatch.from_arrays([pa.array(gram[starts].view(np.int64)), pa.array(sums), pa.array(np.diff(np.append(starts, len(gram))))], ["gram", "count", "rows"])
@@ -115,15 +122,13 @@ def gram_counts(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
 
 def exploded(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
     """``row, gram, place, own`` of the n-grams of ``row, text``: each once for a row, with its number in it and its place
-    among the row's n-grams in the order of their hashes."""
+    among the row's n-grams of this part in the order of their hashes."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = Grams(batch.column(1), n).distinct(n)
-        mine = _slice(found.gram, part, parts)
-        row = found.row[mine]
+        found = Grams(batch.column(1), n).distinct(n, part, parts)
+        place = np.arange(len(found.row)) - found.first[found.row]
         return pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array(row)), pa.array(found.gram[mine].view(np.int64)),
-            pa.array((mine - found.first[row]).astype(np.int32)), pa.array(found.own[mine].astype(np.int32)),
+            batch.column(0).take(pa.array(found.row)), pa.array(found.gram.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(found.own.astype(np.int32)),
         ], ["row", "gram", "place", "own"])
 
     return map_arrow(read.select("row", "text"), "row long, gram long, place int, own int", explode)
@@ -141,20 +146,19 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def known(read: DataFrame, order: int) -> tuple[list[DataFrame], int]:
-    """By order and slice ``row, n, places, counts``: for each row what the others hold of its n-grams, if anything. And the
+    """By order and slice, numbered by ``n`` from 1, ``row, n, places, counts``: for each row what the others hold of its n-grams, if anything. And the
     number of all words."""
     spark, out, total = read.sparkSession, [], 0
     for n in range(1, order + 1):
-        parts = SLICES if n > 1 else 1
-        for part in range(parts):
-            counts = gram_counts(read, n, part, parts)
+        for part in range(SLICES):
+            counts = gram_counts(read, n, part, SLICES)
             counts = cut(counts if n == 1 else counts.where("rows > 1"), "counts")
             if n == 1:
-                total = counts.agg(F.sum("count")).first()[0] or 0
-            met = exploded(read, n, part, parts).join(counts.where("rows > 1").select("gram", "count"), "gram")
+                total += counts.agg(F.sum("count")).first()[0] or 0
+            met = exploded(read, n, part, SLICES).join(counts.where("rows > 1").select("gram", "count"), "gram")
             left = met.select("row", "place", (F.col("count") - F.col("own")).alias("count"))
             lists = left.repartition("row").sortWithinPartitions("row").mapInArrow(_lists, "row long, places array<int>, counts array<long>")
-            out.append(cut(lists.select("row", F.lit(n).alias("n"), "places", "counts"), "known"))
+            out.append(cut(lists.select("row", F.lit((n - 1) * SLICES + part + 1).alias("n"), "places", "counts"), "known"))
             free(spark, counts)
     return out, total
 
@@ -164,18 +168,18 @@ def _micro(ratio: np.ndarray) -> np.ndarray:
 
 
 def micros(texts: pa.Array, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: int, lost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and score of each text in millionths of a nat. ``held`` has by order the row, place and number of n-grams that
-    other rows hold, which have all of ``words`` but the row's own."""
-    grams = Grams(texts, len(held))
-    counts = [np.zeros(len(grams.row), np.int64)]
-    for n, (row, place, number) in enumerate(held, 1):
-        found = grams.distinct(n)
-        by_gram, count = np.zeros(len(found.row), np.int64), np.zeros(len(grams.row), np.int64)
+    """Words and score of each text in millionths of a nat. ``held`` has by order and slice the row, place and number of
+    n-grams that other rows hold, which have all of ``words`` but the row's own."""
+    order = len(held) // SLICES
+    grams = Grams(texts, order)
+    counts = [np.zeros(len(grams.row), np.int64) for _ in range(order + 1)]
+    for k, (row, place, number) in enumerate(held):
+        found = grams.distinct(k // SLICES + 1, k % SLICES, SLICES)
+        by_gram = np.zeros(len(found.row), np.int64)
         by_gram[found.first[row] + place] = number
-        count[found.at] = by_gram[found.of]
-        counts.append(count)
+        counts[k // SLICES + 1][found.at] = by_gram[found.of]
     others = (words - grams.sizes)[grams.row]
-    longest = np.minimum(grams.place + 1, len(held))
+    longest = np.minimum(grams.place + 1, order)
     # From the shortest to the longest: what is known last stands.
     total, steps = _micro(1 / (others + 1)), longest.copy()
     for k in range(1, len(counts)):
@@ -192,7 +196,7 @@ def _scorer(order: int, words: int, lost: int, names: list[str]) -> Callable[[It
 
     def emit(rows: list[tuple[pa.Scalar, str | None, int, list[tuple[int, np.ndarray, np.ndarray]]]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         held = []
-        for n in range(1, order + 1):
+        for n in range(1, order * SLICES + 1):
             mine = [(k, places, counts) for k, (*_, lists) in enumerate(rows) for m, places, counts in lists if m == n]
             none = [np.empty(0, np.int64)]
             row = np.repeat([k for k, *_ in mine], [len(places) for _, places, _ in mine]).astype(np.int64)
