@@ -148,7 +148,7 @@ def histograms(images: DataFrame) -> DataFrame:
 
     def work(image: np.ndarray, row: dict) -> Iterator[dict]:
         if (mask := largest_mask(image)) is not None:
-            yield {"total": int(mask.sum()), "counts": kernels.channel_counts(image, mask).ravel().tolist()}
+            yield {"total": int(mask.sum()), "counts": kernels.channel_counts(image, mask).ravel()}
 
     counted = kernels.map_images(images, work, "total long, counts array<long>")
     each = counted.select("image_id", "total", F.posexplode("counts").alias("at", "n"))

@@ -1,10 +1,13 @@
 """Contact sheets pixel by pixel, and duplicates told over several batches of a stream."""
 
 import hashlib
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from pixelframe.functions import kernels, sheets
 from pixelframe.operators import features
@@ -57,6 +60,52 @@ def test_areas_of_any_size():
         sheets.sheet([], 0)
 
 
+def test_shrinking_copies_an_image_once():
+    chart = np.random.default_rng(4).integers(0, 256, (400, 700, 3)).astype(np.uint8)
+    sheets.shrink(chart, 2, 5)
+    tracemalloc.start()
+    sheets.shrink(chart, 2, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * 8 * chart.size
+
+
+def test_later_curves_over_earlier_ones():
+    x, y = np.array([0, 4, 8]), np.array([[0, 5, 1], [5, 0, 5], [2, 2, 9]])
+    colours = [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
+    one, all_at_once = np.zeros((7, 9, 3), np.uint8), np.zeros((7, 9, 3), np.uint8)
+    for curve, colour in zip(y, colours, strict=True):
+        for k in range(2):
+            kernels.line(one, (x[k], curve[k]), (x[k + 1], curve[k + 1]), colour)
+    kernels.polylines(all_at_once, x, y, colours)
+    assert np.array_equal(one, all_at_once) and len(np.unique(one.reshape(-1, 3), axis=0)) == 4
+
+
+class Rows:
+    """What map_images() asks of a DataFrame, and the function that it would run in tasks."""
+
+    schema = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("class", T.IntegerType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_lists_count_in_what_a_task_holds(monkeypatch):
+    monkeypatch.setattr(kernels, "SENT", 1 << 18)
+    one = {"image_id": 1, "class": 0, "height": 8, "width": 8, "data": bytes(192)}
+    batch = pa.RecordBatch.from_pylist([one] * 100)
+    for counts in (np.arange(2304), list(range(2304))):
+        rows = Rows()
+        kernels.map_images(rows, lambda image, row, counts=counts: iter([{"counts": counts}]), "counts array<long>")
+        sent = list(rows.run(iter([batch])))
+        assert sum(b.num_rows for b in sent) == 100 and max(b.nbytes for b in sent) < 2 * kernels.SENT
+        assert sent[0].column("counts")[0].as_py() == list(range(2304))
+
+
 def picture(i):
     image = np.full((12, 12, 3), (40, 150 + i, 60), np.uint8)
     image[0] = 0
