@@ -38,7 +38,7 @@ WORDS, PART, CROWD, MISSED = 32, 8, 1024, 0.005
 #: Nodes of one prefix that a task holds together, and pairs below two trie nodes that are not worth a walk.
 PIECE, FEW = 4096, 1 << 16
 #: Pairs whose bits a task compares at once.
-_HELD = 1 << 17
+_HELD = 1 << 15
 _STEPS = np.random.default_rng(43).integers(0, 1 << 63, WORDS, np.uint64)
 
 

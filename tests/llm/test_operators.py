@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pixelframe.llm import common
 from pixelframe.llm import op1_sentencepiece as op1
 from pixelframe.llm import op2_topk as op2
 from pixelframe.llm import op3_decontaminate as op3
@@ -470,3 +472,23 @@ def test_keywords_hide_no_alternative_of_a_rule(spark):
     assert labels(RULES) == labels([r._replace(keyword="zzz") for r in RULES])
     real = spark.createDataFrame([(1, "GNU Library General Public License version 2")], "doc_id long, text string")
     assert op10.scan(real).first().labels == "LGPL-2.0,gpl"
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    """32 MB of texts in one task: Spark's own limit would send them together."""
+    docs = spark.range(256).coalesce(1).select(F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.repeat(F.lit("x"), 1 << 17)).alias("text"))
+    rows = common.map_arrow(docs, "n int", lambda batch: pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32())], ["n"])).collect()
+    assert sum(r.n for r in rows) == 256 and max(r.n for r in rows) <= 2 * common.BATCH_BYTES >> 17
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    common.small_batches(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("1m", "1048576b")
+
+
+def test_backoff_drops_counting_shuffles_first(spark, monkeypatch):
+    """What counted the n-grams of a slice is dropped before the slice's exploded n-grams are made."""
+    done = []
+    for name in ("cut", "free", "exploded"):
+        monkeypatch.setattr(op5, name, lambda *a, name=name, f=getattr(op5, name): done.append(name) or f(*a))
+    op5.known(spark.createDataFrame([(1, "a b"), (2, "a c")], "row long, text string"), 1)
+    assert done == ["cut", "free", "exploded", "cut", "free"] * op5.SLICES
