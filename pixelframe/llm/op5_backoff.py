@@ -153,6 +153,7 @@ def known(read: DataFrame, order: int) -> tuple[list[DataFrame], int]:
         for part in range(SLICES):
             counts = gram_counts(read, n, part, SLICES)
             counts = cut(counts if n == 1 else counts.where("rows > 1"), "counts")
+            free(spark)  # the shuffle that counted, before that of the exploded n-grams is written
             if n == 1:
                 total += counts.agg(F.sum("count")).first()[0] or 0
             met = exploded(read, n, part, SLICES).join(counts.where("rows > 1").select("gram", "count"), "gram")
