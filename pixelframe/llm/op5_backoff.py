@@ -1,4 +1,4 @@
-"""Operator 5: language-model scores by stupid backoff, computed relationally, each row under the model of all others.
+"""Operator 5: language-model scores by stupid backoff, each row under the model of all others.
 
 A row's own words are no evidence for it, so its n-grams are counted out: an n-gram that only this row holds is unknown to
 the model. A word scores ln(c(gram) / c(gram without its last word)) for the longest known n-gram (of up to ``order`` words)
@@ -6,21 +6,21 @@ that ends in it, plus ln(``backoff``) for each order given up, c being what all
 ln(c(word) / words of all other rows), and an unknown one as if it stood there once. Scores are whole millionths of a nat, so
 sums do not depend on their order.
 
-Order by order, and within an order by slices of the hashes (each slice on its own, so that what is on disk at a time is
-a part), the n-grams of a row, each with its number in it, are exploded as hashes; a count table, partitioned by hash and
-counted before and after the shuffle, keeps those that two rows or more hold, for no other can be known to anybody; it is
-joined to the exploded n-grams, and what is left of each count goes back to its row by the n-gram's place among the row's
-own of that slice, not by its hash. There the counts are lists, and lists are summed per document. What a slice leaves behind is dropped
-before the next one begins. The joins are plain equi-joins of shuffled tables, which Spark splits where a gram is frequent;
-a row sends a frequent gram once, not for each of its places; nothing is broadcast or collected but the number of all words.
+Texts are tokenised once, into blocks of a few MB of text: their words as numbers into a list of the block's different words.
+Then, order by order, a block's n-grams are exploded as hashes, each once with its number in the block, in lists by ranges of
+the hashes (buckets). A shuffle by bucket brings the lists of all blocks together, and each is answered by a list that has, in
+the same order, what the whole corpus holds; what one order leaves behind is dropped before the next begins. Answers meet their
+block again by its number, and there the row's own n-grams are counted out. So a block sends a frequent gram once, whatever its
+number of places, and a count needs no key to find its n-gram again. Nothing is broadcast or collected but the number of all
+words, by which the number of buckets grows, so that a task holds a bucket of bounded size.
 
-Words, n-grams and rows are told apart by 64-bit hashes, which are not verified: among 10 ** 9 different ones some 0.03 pairs
-are expected to share a hash, among 10 ** 12 some 27,000.
+Words and n-grams are told apart by 64-bit hashes, which are not verified: among 10 ** 9 different ones some 0.03 pairs are
+expected to share a hash, among 10 ** 12 some 27,000.
 
 Words are runs of anything but ASCII white space, A-Z in lower case.
 
-Cases: null and empty texts have no words and no score (null); repeated rows are evidence for each other and each get a row
-(rows of one key and one text meet in one task, which holds the text once); a null key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result; a corpus of one
+Cases: null and empty texts have no words and no score (null); repeated rows are evidence for each other and each get a row;
+a null key is allowed; other columns are ignored, whatever their names; an empty table gives an empty result; a corpus of one
 row knows nothing.
 """
 
@@ -28,21 +28,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import BATCH_ROWS, cut, discard, free, map_arrow, table
+from pixelframe.llm.common import cut, discard, free, shuffles_dropped, small_batches, table
 
 ORDER, BACKOFF = 3, 0.4
 _MICRO = 1_000_000
-#: Slices of the hashes of n-grams, and of rows in the last step: the same at every size.
-SLICES, ROW_SLICES = 3, 2
+#: Slices of the hashes of an order, and of the blocks in the last step: the same at every size.
+SLICES, BLOCK_SLICES = 1, 2
+#: Bytes of text in a block (a row counts as 64 more, so there are 65,536 at most), where no single text is longer.
+BLOCK_BYTES, ROW_BYTES = 4 << 20, 64
+#: Places of n-grams for which there is a bucket, and the fewest buckets.
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 21, 64
+#: Rows of blocks and of answers that Parquet files hold, and readers take, together: their lists are long.
+_FEW, _SOME = ({"parquet.block.row.count.limit": str(rows)} for rows in (4, 128))
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -55,22 +61,74 @@ def _bytes(words: pa.StringArray) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new value begins, in any of the arrays."""
+    new = np.zeros(len(sorted_by[0]), bool)
+    new[:1] = True
+    for values in sorted_by:
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pc.list_flatten(lists).to_numpy()
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; hashes of the different words; and each word's place among those."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten().dictionary_encode()
+    names, codes = _bytes(words.dictionary), words.indices.to_numpy()
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, names)), ">u8").astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    if b"" in names:  # before or after white space
+        there = codes != names.index(b"")
+        row, codes = row[there], codes[there]
+    return np.bincount(row, minlength=len(texts)).astype(np.int32), hashes, codes.astype(np.int32)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """``block, n_words, keys, sizes, names, codes`` of rows of a key and a text, in the order in which they are read."""
+    kind = docs.schema[0].dataType.simpleString()
+
+    def pack(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, texts = (pa.concat_arrays([batch.column(k) for batch in held]) for k in (0, 1))
+        sizes, names, codes = _tokens(texts)
+        lists = [_lists(values, np.array([0, len(values)])) for values in (keys, sizes, names.view(np.int64), codes)]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(codes)]), *lists], ["block", "n_words", "keys", "sizes", "names", "codes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, begun, now, held = TaskContext.get().partitionId() << 33, 0, 0, []
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + ROW_BYTES
+            of = (begun + np.cumsum(size) - size) // BLOCK_BYTES
+            begun += int(size.sum())
+            starts = _runs(of).tolist()
+            for start, end in zip(starts, [*starts[1:], len(of)]):
+                if held and of[start] != now:
+                    yield pack(first + now, held)
+                    held = []
+                now = int(of[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield pack(first + now, held)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(gather, f"block long, n_words long, keys array<{kind}>, sizes array<int>, names array<long>, codes array<int>")
+
+
 class Grams:
-    """The n-grams of some texts: ``row`` and ``place`` of each word, and by order the hash of the n-gram that ends there."""
-
-    def __init__(self, texts: pa.Array, order: int) -> None:
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        words = split.flatten().dictionary_encode()
-        names, codes = _bytes(words.dictionary), words.indices.to_numpy()
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, names)), ">u8").astype(np.uint64)
-        row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        if b"" in names:  # before or after white space
-            there = codes != names.index(b"")
-            row, codes = row[there], codes[there]
-        self.rows, self.row = len(texts), row
-        self.sizes = np.bincount(row, minlength=self.rows)
-        self.place = np.arange(len(row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        first = hashes[codes]
+    """The n-grams of a block: ``row`` and ``place`` of each word, and by order the hash of the n-gram that ends there."""
+
+    def __init__(self, sizes: np.ndarray, names: np.ndarray, codes: np.ndarray, order: int) -> None:
+        self.sizes = sizes.astype(np.int64)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int64), sizes)
+        self.place = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, sizes)
+        first = names.view(np.uint64)[codes]
         self.hashes = [first]
         for n in range(1, order):
             longer = np.zeros_like(first)
@@ -78,160 +136,107 @@ class Grams:
             longer = (longer ^ (longer >> np.uint64(31))) * _STEPS[2]
             self.hashes.append(longer ^ (longer >> np.uint64(29)))
 
-    def distinct(self, n: int, part: int, parts: int) -> Distinct:
-        """Of one of the ``parts`` that hashes are split into."""
-        at = np.flatnonzero((self.place >= n - 1) & ((self.hashes[n - 1] >> np.uint64(32)) % np.uint64(parts) == part))
-        row, gram = self.row[at].astype(np.uint16 if self.rows <= 1 << 16 else np.int64), self.hashes[n - 1][at]
+    def sorted(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that an n-gram ends in, by its hash; the hashes; and where each different one begins."""
+        at = np.flatnonzero(self.place >= n - 1)
+        gram = self.hashes[n - 1][at]
         by = np.argsort(gram)
-        by = by[np.argsort(row[by], kind="stable")]
-        row, gram = row[by], gram[by]
-        starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(by)])
-        own = np.diff(np.append(starts, len(by)))
-        of = np.empty(len(by), np.int64)
-        of[by] = np.repeat(np.arange(len(starts)), own)
-        row = row[starts].astype(np.int64)
-        return Distinct(at, of, row, gram[starts], own, np.searchsorted(row, np.arange(self.rows)))
-
-
-class Distinct(NamedTuple):
-    """The n-grams of an order, each once for a row, sorted by row and hash: words ``at`` which one ends, ``of`` each of those
-    its n-gram; and by n-gram its ``row``, hash and ``own`` number; and by row its ``first``."""
-
-    at: np.ndarray
-    of: np.ndarray
-    row: np.ndarray
-    gram: np.ndarray
-    own: np.ndarray
-    first: np.ndarray
-
-
-def gram_counts(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
-    """``gram, count, rows`` of the n-grams of ``text``: how often it stands, and in how many rows."""
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = Grams(batch.column(0), n).distinct(n, part, parts)
-        by = np.argsort(found.gram)
-        gram, own = found.gram[by], found.own[by]
-        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
-        sums = np.add.reduceat(own, starts) if len(starts) else own
-        return pa.RecordBatch.from_arrays([pa.array(gram[starts].view(np.int64)), pa.array(sums), pa.array(np.diff(np.append(starts, len(gram))))], ["gram", "count", "rows"])
-
-    grams = map_arrow(read.select("text"), "gram long, count long, rows long", count)
-    return grams.groupBy("gram").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows"))
-
-
-def exploded(read: DataFrame, n: int, part: int, parts: int) -> DataFrame:
-    """``row, gram, place, own`` of the n-grams of ``row, text``: each once for a row, with its number in it and its place
-    among the row's n-grams of this part in the order of their hashes."""
-
-    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = Grams(batch.column(1), n).distinct(n, part, parts)
-        place = np.arange(len(found.row)) - found.first[found.row]
-        return pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array(found.row)), pa.array(found.gram.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(found.own.astype(np.int32)),
-        ], ["row", "gram", "place", "own"])
-
-    return map_arrow(read.select("row", "text"), "row long, gram long, place int, own int", explode)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that follow each other become lists; a row that a batch ends in has two."""
-    for batch in batches:
-        row = batch.column(0).to_numpy()
-        if len(row):
-            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            ends = pa.array(np.append(starts, len(row)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, batch.column(k)) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(row[starts]), *lists], ["row", "places", "counts"])
-
-
-def known(read: DataFrame, order: int) -> tuple[list[DataFrame], int]:
-    """By order and slice, numbered by ``n`` from 1, ``row, n, places, counts``: for each row what the others hold of its n-grams, if anything. And the
-    number of all words."""
-    spark, out, total = read.sparkSession, [], 0
+        gram = gram[by]
+        return at[by], gram, _runs(gram)
+
+    def others(self, n: int, totals: np.ndarray) -> np.ndarray:
+        """By word, what other rows hold of the n-gram that ends there; ``totals`` has what all rows hold, by hash."""
+        at, gram, starts = self.sorted(n)
+        if len(totals) != len(starts):
+            raise ValueError(f"{len(totals)} answers for {len(starts)} n-grams")
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gram))))
+        by = np.argsort(self.row[at], kind="stable")
+        at, of = at[by], of[by]
+        own = np.diff(np.append(_runs(self.row[at], of), len(of)))
+        out = np.zeros(len(self.row), np.int64)
+        out[at] = totals[of] - np.repeat(own, own)
+        return out
+
+
+def exploded(read: DataFrame, n: int, buckets: int) -> DataFrame:
+    """``bucket, block, grams, counts`` of the n-grams of blocks: each once for a block, by hash, with its number in it."""
+    shift = np.uint64(65 - buckets.bit_length())
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sizes, names, codes = (batch.column(c)[k].values.to_numpy() for c in (1, 2, 3))
+                _, gram, starts = Grams(sizes, names, codes, n).sorted(n)
+                counts, gram = np.diff(np.append(starts, len(gram))).astype(np.int32), gram[starts]
+                bucket = (gram >> shift).astype(np.int32)
+                firsts = _runs(bucket)
+                ends = np.append(firsts, len(gram))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[firsts]), pa.repeat(batch.column(0)[k], len(firsts)), _lists(gram.view(np.int64), ends), _lists(counts, ends),
+                ], ["bucket", "block", "grams", "counts"])
+
+    return read.select("block", "sizes", "names", "codes").mapInArrow(explode, "bucket int, block long, grams array<long>, counts array<int>")
+
+
+def _answer(lists: pa.Table) -> pa.Table:
+    """For the lists of one bucket, as many lists of what all blocks hold together."""
+    gram, counts = _flat(lists["grams"]), _flat(lists["counts"])
+    by = np.argsort(gram)
+    starts = _runs(gram[by])
+    sums = np.add.reduceat(counts[by], starts, dtype=np.int64)
+    totals = np.empty(len(gram), np.int64)
+    totals[by] = np.repeat(sums, np.diff(np.append(starts, len(gram))))
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists["grams"]).to_numpy()))
+    return pa.table([lists["block"], lists["bucket"], _lists(totals, ends)], ["block", "bucket", "totals"])
+
+
+def known(docs: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """The blocks of rows of a key and a text; by order ``block, bucket, totals, n``: what all rows hold of a block's n-grams;
+    and the number of all words."""
+    spark, out = docs.sparkSession, []
+    read = cut(blocks(docs), "blocks", _FEW)
+    free(spark)  # what earlier queries and the reading of ``docs`` left, before the large shuffles
+    words = read.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, 1 << (words // BUCKET_WORDS).bit_length())
     for n in range(1, order + 1):
-        for part in range(SLICES):
-            counts = gram_counts(read, n, part, SLICES)
-            counts = cut(counts if n == 1 else counts.where("rows > 1"), "counts")
-            free(spark)  # the shuffle that counted, before that of the exploded n-grams is written
-            if n == 1:
-                total += counts.agg(F.sum("count")).first()[0] or 0
-            met = exploded(read, n, part, SLICES).join(counts.where("rows > 1").select("gram", "count"), "gram")
-            left = met.select("row", "place", (F.col("count") - F.col("own")).alias("count"))
-            lists = left.repartition("row").sortWithinPartitions("row").mapInArrow(_lists, "row long, places array<int>, counts array<long>")
-            out.append(cut(lists.select("row", F.lit((n - 1) * SLICES + part + 1).alias("n"), "places", "counts"), "known"))
-            free(spark, counts)
-    return out, total
+        lists = exploded(read, n, buckets)
+        totals = lists.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, totals array<long>")
+        with shuffles_dropped(spark):
+            out.append(cut(totals.withColumn("n", F.lit(n)), "totals", _SOME))
+        free(spark)
+    return read, out, words
 
 
 def _micro(ratio: np.ndarray) -> np.ndarray:
     return np.floor(np.log(ratio) * _MICRO + 0.5).astype(np.int64)
 
 
-def micros(texts: pa.Array, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: int, lost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and score of each text in millionths of a nat. ``held`` has by order and slice the row, place and number of
-    n-grams that other rows hold, which have all of ``words`` but the row's own."""
-    order = len(held) // SLICES
-    grams = Grams(texts, order)
-    counts = [np.zeros(len(grams.row), np.int64) for _ in range(order + 1)]
-    for k, (row, place, number) in enumerate(held):
-        found = grams.distinct(k // SLICES + 1, k % SLICES, SLICES)
-        by_gram = np.zeros(len(found.row), np.int64)
-        by_gram[found.first[row] + place] = number
-        counts[k // SLICES + 1][found.at] = by_gram[found.of]
+def micros(grams: Grams, totals: list[np.ndarray], words: int, lost: int) -> np.ndarray:
+    """Score of each row of a block in millionths of a nat. ``totals`` has by order what all rows hold, of all ``words``."""
+    order = len(totals)
     others = (words - grams.sizes)[grams.row]
     longest = np.minimum(grams.place + 1, order)
     # From the shortest to the longest: what is known last stands.
-    total, steps = _micro(1 / (others + 1)), longest.copy()
-    for k in range(1, len(counts)):
-        at = np.flatnonzero(counts[k])
-        of = counts[k - 1][at - 1] if k > 1 else others[at]
-        total[at], steps[at] = _micro(counts[k][at] / of), longest[at] - k
+    total, steps, before = _micro(1 / (words - grams.sizes + 1))[grams.row], longest.copy(), others
+    for n in range(1, order + 1):
+        counts = grams.others(n, totals[n - 1])
+        at = np.flatnonzero(counts)
+        total[at], steps[at] = _micro(counts[at] / before[at - 1 if n > 1 else at]), longest[at] - n
+        before = counts
     ends = np.cumsum(grams.sizes)
     sums = np.append(0, np.cumsum(total + lost * steps))
-    return grams.sizes, sums[ends] - sums[ends - grams.sizes]
-
-
-def _scorer(order: int, words: int, lost: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by ``row``, texts and lists of what others hold: one row for each text. A few rows are held at a time."""
-
-    def emit(rows: list[tuple[pa.Scalar, str | None, int, list[tuple[int, np.ndarray, np.ndarray]]]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        held = []
-        for n in range(1, order * SLICES + 1):
-            mine = [(k, places, counts) for k, (*_, lists) in enumerate(rows) for m, places, counts in lists if m == n]
-            none = [np.empty(0, np.int64)]
-            row = np.repeat([k for k, *_ in mine], [len(places) for _, places, _ in mine]).astype(np.int64)
-            held.append((row, np.concatenate([places for _, places, _ in mine] or none), np.concatenate([counts for *_, counts in mine] or none)))
-        sizes, sums = micros(pa.array([text for _, text, *_ in rows], pa.string()), held, words, lost)
-        times = [times for _, _, times, _ in rows]
-        keys = pa.array([key for key, *_ in rows], kind)
-        for at in range(0, sum(times), 1 << 16) if max(times) > 1 else [0]:
-            of = np.repeat(np.arange(len(rows)), times)[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(sizes[of].astype(np.int64)), pa.array(sums[of])], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, now, key, text, times, lists, kind = [], None, None, None, 0, [], pa.int64()
-        for batch in batches:
-            row, n = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            kind = batch.column(1).type
-            for k, (name, order_of) in enumerate(zip(row, n, strict=True)):
-                if name != now:
-                    if now is not None:
-                        done.append((key, text, times, lists))
-                        if len(done) == BATCH_ROWS:
-                            yield from emit(done, kind)
-                            done = []
-                    now, times, lists = name, 0, []
-                if order_of:
-                    # Rows alike in key and text find everything as often as there are such rows; one of each is enough.
-                    found = (order_of, batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy())
-                    if times < 2 or not any(a == order_of and np.array_equal(p, found[1]) for a, p, _ in lists):
-                        lists.append(found)
-                else:
-                    key, text, times = batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), times + 1
-        if now is not None:
-            done.append((key, text, times, lists))
-            yield from emit(done, kind)
+    return sums[ends] - sums[ends - grams.sizes]
+
+
+def _scorer(order: int, words: int, lost: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block and the answers to it, the list of the scores of its texts."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, names, codes = (_flat(block[name]) for name in ("sizes", "names", "codes"))
+        answers = answers.sort_by("bucket")
+        totals = [_flat(answers.filter(pc.equal(answers["n"], n))["totals"]) for n in range(1, order + 1)]
+        micro = micros(Grams(sizes, names, codes, order), totals, words, lost)
+        return pa.table([block["block"], _lists(micro, np.array([0, len(micro)]))], ["block", "micro"])
 
     return run
 
@@ -242,20 +247,22 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, key: st
     if order < 1 or not 0 < backoff <= 1:
         raise ValueError("the order must be positive, and backoff above 0 and at most 1")
     lost, spark = math.floor(math.log(backoff) * _MICRO + 0.5), docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    found, words = known(read, order)
-    names, out = ["doc_id", "n_words", "micro"], None
-    texts = read.select("row", "doc_id", "text", F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<long>").alias("counts"))
-    met = texts
-    for lists in found:
-        met = met.unionByName(lists.withColumns({"doc_id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")}))
-    for part in range(ROW_SLICES):
-        mine = met.where(F.pmod("row", F.lit(ROW_SLICES)) == part).repartition("row").sortWithinPartitions("row")
-        scored = cut(mine.mapInArrow(_scorer(order, words, lost, names), f"doc_id {kind}, n_words long, micro long"), "scored")
+    out = None
+    read, found, words = known(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), order)
+    answers = found[0]
+    for totals in found[1:]:
+        answers = answers.unionByName(totals)
+    for part in range(BLOCK_SLICES):
+        left, right = (df.where(F.pmod(F.xxhash64("block"), F.lit(BLOCK_SLICES)) == part) for df in (read, answers))
+        both = left.select("block", "sizes", "names", "codes").groupBy("block").cogroup(right.groupBy("block"))
+        micro = both.applyInArrow(_scorer(order, words, lost), "block long, micro array<long>")
+        # Keys stay out of the groups: what a grouped function returns must have its types to the letter.
+        rows = left.select("block", "keys", "sizes").join(micro, "block").select(F.inline(F.arrays_zip("keys", "sizes", "micro")))
+        with shuffles_dropped(spark):
+            scored = cut(rows.select(F.col("keys").alias("doc_id"), F.col("sizes").cast("long").alias("n_words"), "micro"), "scored")
         free(spark)
         out = scored if out is None else out.unionByName(scored)
-    discard(*found)
+    discard(read, *found)
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / _MICRO / F.col("n_words")))
 
 

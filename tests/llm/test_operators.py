@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -492,3 +493,56 @@ def test_backoff_drops_counting_shuffles_first(spark, monkeypatch):
         monkeypatch.setattr(op5, name, lambda *a, name=name, f=getattr(op5, name): done.append(name) or f(*a))
     op5.known(spark.createDataFrame([(1, "a b"), (2, "a c")], "row long, text string"), 1)
     assert done == ["cut", "free", "exploded", "cut", "free"] * op5.SLICES
+
+
+def test_backoff_leaves_no_shuffle_behind(spark, monkeypatch):
+    """When a table of an order is written, the shuffle that made it is off the disk, before anything else is."""
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    found = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    names, real = [], op5.cut
+
+    def cut(df, name, *more):
+        before = found()
+        out = real(df, name, *more)
+        names.append((name, len(found() - before)))
+        return out
+
+    monkeypatch.setattr(op5, "cut", cut)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    docs = spark.createDataFrame([(k, f"a b c {k % 5}") for k in range(50)], "doc_id long, text string")
+    assert op5.score(docs).count() == 50
+    assert names and not any(files for _, files in names), names
+    assert spark.conf.get(key) == was
+
+
+def test_backoff_sends_a_gram_once_for_a_block(spark):
+    docs = spark.range(1000).coalesce(1).select("id", F.lit("a b a b").alias("text"))
+    blocks = op5.blocks(docs)
+    assert [(r.n_words, len(r.keys), len(r.names)) for r in blocks.collect()] == [(4000, 1000, 2)]
+    sent = lambda n: sorted(count for r in op5.exploded(blocks, n, 64).collect() for count in r.counts)
+    assert (sent(1), sent(2), sent(3)) == ([2000, 2000], [1000, 2000], [1000, 1000])
+
+
+def test_backoff_does_not_depend_on_blocks(spark, monkeypatch):
+    """Blocks of a row or two, one text longer than a block, more buckets than n-grams in most blocks."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(30)))) for k in range(60)] + [(60, None), (61, " "), (None, "a b c " * 200), (60, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda: sorted(map(tuple, op5.score(docs).collect()), key=repr)
+    whole = score()
+    monkeypatch.setattr(op5, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(op5, "BUCKET_WORDS", 16)
+    assert op5.blocks(docs.select("doc_id", "text")).count() > 40
+    assert score() == whole and len(whole) == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "struct<at:timestamp,name:string>", "array<date>", "decimal(9,2)", "binary"])
+def test_backoff_takes_keys_of_any_type(spark, kind):
+    made = {"t": F.timestamp_seconds("id"), "s": F.struct(F.timestamp_seconds("id").alias("at"), F.lit("x").alias("name")), "a": F.array(F.date_from_unix_date(F.col("id").cast("int"))), "d": F.col("id").cast("decimal(9,2)"), "b": F.encode(F.col("id").cast("string"), "UTF-8")}
+    docs = spark.range(1, 4).select(F.when(F.col("id") < 3, made[kind[0]]).alias("doc_id"), F.lit("a b").alias("text"))
+    assert docs.schema["doc_id"].dataType.simpleString() == kind
+    got = op5.score(docs)
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    keys = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    assert keys(got) == keys(docs)
