@@ -41,8 +41,10 @@ from pixelframe.llm.common import cut, discard, free, shuffles_dropped, small_ba
 
 ORDER, BACKOFF = 3, 0.4
 _MICRO = 1_000_000
-#: Slices of the hashes of an order, and of the blocks in the last step: the same at every size.
-SLICES, BLOCK_SLICES = 1, 2
+#: An order is taken whole, in one slice of its hashes (nothing but a test of the order of steps reads this).
+SLICES = 1
+#: Slices of the blocks in the last step: the same at every size.
+BLOCK_SLICES = 2
 #: Bytes of text in a block (a row counts as 64 more, so there are 65,536 at most), where no single text is longer.
 BLOCK_BYTES, ROW_BYTES = 4 << 20, 64
 #: Places of n-grams for which there is a bucket, and the fewest buckets.
